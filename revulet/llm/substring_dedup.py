@@ -4,7 +4,7 @@ A set D of residues modulo V is a difference cover when every residue is a diffe
 places i, j of two documents have a shift d < V with (i + d) mod V and (j + d) mod V both in D: two equal runs of
 WINDOW words share an anchor of WINDOW - V + 1 words that starts at a cover place of both. Only anchors are hashed and
 exchanged (a fifth of all places), those in two documents or more are extended to whole windows, and windows are
-compared by 128-bit hashes of all their words.
+compared by 96-bit hashes of all their words.
 """
 
 from __future__ import annotations
@@ -49,7 +49,8 @@ def cover(period: int) -> tuple[int, ...]:
     return tuple(found)
 
 
-def _anchors(batches: Iterator[pa.RecordBatch], window: int, period: int) -> Iterator[pa.RecordBatch]:
+def _anchors(batches: Iterator[pa.RecordBatch], window: int, period: int, distinct: bool) -> Iterator[pa.RecordBatch]:
+    """Anchors with doc_id and place, or only the distinct anchors of each text."""
     chosen = np.zeros(period, bool)
     chosen[list(cover(period))] = True
     for batch in C.steps(batches):
@@ -58,7 +59,15 @@ def _anchors(batches: Iterator[pa.RecordBatch], window: int, period: int) -> Ite
         starts, ends, index = C.words(data, offsets)
         row, place, anchor = C.windows(C.byte_hash(data, starts, ends), index, window - period + 1)
         keep = chosen[place % period] & (np.diff(index)[row] >= window)
-        yield pa.RecordBatch.from_arrays([pa.array(C.signed(anchor[keep])), pa.array(ids[row[keep]]), pa.array(place[keep].astype(np.int32))], names=["anchor", "doc_id", "place"])
+        row, place, anchor = row[keep], place[keep], anchor[keep]
+        if distinct:
+            order = np.lexsort((anchor, row))
+            row, anchor = row[order], anchor[order]
+            new = np.ones(len(row), bool)
+            new[1:] = (row[1:] != row[:-1]) | (anchor[1:] != anchor[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(C.signed(anchor[new]))], names=["anchor"])
+        else:
+            yield pa.RecordBatch.from_arrays([pa.array(C.signed(anchor)), pa.array(ids[row]), pa.array(place.astype(np.int32))], names=["anchor", "doc_id", "place"])
 
 
 def _windows(batches: Iterator[pa.RecordBatch], window: int, period: int) -> Iterator[pa.RecordBatch]:
@@ -76,7 +85,8 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int, period: int) -> Ite
         count = np.cumsum(count)
         start = index[:-1][row] + place
         keep = count[np.minimum(start + period, len(starts))] > count[start]
-        yield pa.RecordBatch.from_arrays([pa.array(C.signed(x[keep])) for x in (one, two)] + [pa.array(ids[row[keep]]), pa.array(place[keep].astype(np.int32))], names=["one", "two", "doc_id", "place"])
+        two = (two[keep] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(C.signed(one[keep])), pa.array(two), pa.array(ids[row[keep]]), pa.array(place[keep].astype(np.int32))], names=["one", "two", "doc_id", "place"])
 
 
 def _finish(batches: Iterator[pa.RecordBatch], window: int, texts: bool) -> Iterator[pa.RecordBatch]:
@@ -91,7 +101,7 @@ def _finish(batches: Iterator[pa.RecordBatch], window: int, texts: bool) -> Iter
                 gone = C.covered(places.values.to_numpy().astype(np.int64), window, n)
                 kept = [own[i] for i in np.flatnonzero(~gone)]
             joined = b" ".join(kept)
-            out.append((doc, n, n - len(kept), hashlib.sha256(joined).hexdigest(), joined.decode() if texts else None))
+            out.append((doc, n, n - len(kept), hashlib.sha256(joined).hexdigest(), (text if len(kept) == n else joined.decode()) if texts else None))
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*out, strict=True)) or [()] * 5, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
 
@@ -101,19 +111,36 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, period: int = PERIOD,
     Removed is each word in a run of `window` words that also starts in a document with a smaller doc_id, judged on
     the input. Null and empty texts have no words and stay, as do texts shorter than the window. Of equal texts only
     that with the smallest doc_id counts as first; a doc_id is expected once, and rows without one are left out. Other
-    columns are ignored. kept is the words left, joined by one space (null unless texts).
+    columns are ignored. kept is the words left, joined by one space, or the text as it is if none are removed (always
+    null unless texts); kept_sha256 is of the words left, joined by one space.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    anchors = rows.mapInArrow(lambda it: _anchors(it, window, period), "anchor long, doc_id long, place int")
-    shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
-    places = anchors.join(shared, "anchor").groupBy("doc_id").agg(F.collect_list("place").alias("places"))
-    # Whole copies: all but the first lose all their words, so only the first has to offer its windows.
+    # Whole copies: all but the first lose all their words, so only the first offers anchors and windows. Every step
+    # that needs texts reads them from the one exchange by doc_id.
     digest = rows.select("doc_id", F.md5("text").alias("digest"))
     first = digest.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     copies = digest.join(first, "digest").where("doc_id > first").select("doc_id", F.lit(True).alias("copy"))
-    offering = places.join(copies, "doc_id", "left_anti")
-    candidates = rows.join(offering, "doc_id").select("doc_id", "text", "places").mapInArrow(lambda it: _windows(it, window, period), "one long, two long, doc_id long, place int")
-    lowest = candidates.groupBy("one", "two").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("one", "two", "low")
+    marked = rows.join(copies, "doc_id", "left")
+    own = marked.where("copy is null").select("doc_id", "text")
+    anchors = own.mapInArrow(lambda it: _anchors(it, window, period, False), "anchor long, doc_id long, place int")
+    distinct = own.mapInArrow(lambda it: _anchors(it, window, period, True), "anchor long")
+    shared = distinct.groupBy("anchor").agg(F.count("*").alias("docs")).where("docs > 1").select("anchor")
+    places = anchors.join(shared, "anchor").groupBy("doc_id").agg(F.collect_list("place").alias("places"))
+    candidates = own.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(lambda it: _windows(it, window, period), "one long, two int, doc_id long, place int")
+    lowest = candidates.groupBy("one", "two").agg(F.min("doc_id").alias("low"))
     gone = candidates.join(lowest, ["one", "two"]).where("doc_id > low").groupBy("doc_id").agg(F.collect_list("place").alias("gone"))
-    marks = gone.join(copies, "doc_id", "full_outer")
-    return rows.join(marks, "doc_id", "left").select("doc_id", "text", "copy", "gone").mapInArrow(lambda it: _finish(it, window, texts), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    return marked.join(gone, "doc_id", "left").select("doc_id", "text", "copy", "gone").mapInArrow(lambda it: _finish(it, window, texts), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+
+
+def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of docs (doc_id, text, n_chars and any others) with the texts that substring_dedup() leaves.
+
+    Rows that lose all their words go; n_chars, where there, follows the text. Rows without doc_id stay as they are.
+    """
+    left = substring_dedup(docs, window).select(F.col("doc_id").alias("_id"), "n_words", "n_removed", "kept")
+    rows = docs.join(left, docs["doc_id"] == left["_id"], "left").where("n_removed is null or n_removed = 0 or n_removed < n_words")
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(docs["text"])
+    new = {"text": text.alias("text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("n_removed") > 0, F.char_length("kept")).otherwise(docs["n_chars"]).cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return rows.select(*(new.get(c, docs[c]) for c in docs.columns))
