@@ -101,6 +101,13 @@ def proximity_matches(index: DataFrame, windows: DataFrame, slop: int) -> DataFr
     return found.where("n = total").select("doc_id", "window", F.col("at").alias("position"))
 
 
+def _matches(docs: DataFrame, items: DataFrame, window: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    windows, of_items = test_windows(items, window)
+    windows = C.written(windows, "windows")
+    index = C.written(build_index(docs, windows.select(F.explode("terms").alias("term"))), "postings")
+    return index, of_items, C.written(phrase_matches(index, windows), "matches")
+
+
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """For each row of docs (doc_id, text): doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
@@ -108,10 +115,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     occurring windows; items_sha256 is of their ids, sorted as strings and joined by commas. Null and empty texts have
     no words. Rows without doc_id or item_id are left out; a doc_id is expected once; other columns are ignored.
     """
-    windows, of_items = test_windows(items, window)
-    windows = C.written(windows, "windows")
-    index = C.written(build_index(docs, windows.select(F.explode("terms").alias("term"))), "postings")
-    matches = C.written(phrase_matches(index, windows), "matches")
+    index, of_items, matches = _matches(docs, items, window)
     covered = matches.select("doc_id", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)).alias("position")).distinct()
     hits = covered.groupBy("doc_id").agg(F.count("*").alias("n_hit"))
     found = matches.select("doc_id", "window").distinct().join(of_items, "window").select("doc_id", F.col("item_id").cast("string").alias("item")).distinct()
@@ -127,3 +131,9 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
         F.sha2(F.concat_ws(",", items_of), 256).alias("items_sha256"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
     )
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of docs in which no window of items occurs, with all their columns; rows without doc_id stay."""
+    hit = _matches(docs, items, window)[2].select(F.col("doc_id").alias("_hit")).distinct()
+    return docs.join(hit, docs["doc_id"] == hit["_hit"], "left_anti")

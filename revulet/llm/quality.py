@@ -151,3 +151,20 @@ def quality(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED
     """doc_id, held_out, score, predicted (1 from the threshold on) of each row of docs."""
     held = C.bucket_of("doc_id", HELD_OUT_OF) == HELD_OUT
     return score(docs, train(docs, labels, max_labelled)).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def _accept(batches: Iterator[pa.RecordBatch], model: Model, threshold: float, text: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        name = batch.schema.names[text]
+        for step in C.steps(iter([batch]), name):
+            yield step.filter(pa.array(model.score(features(*C.utf8(step.column(text)))) >= threshold))
+
+
+def keep_accepted(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs (doc_id, text and any others) that score the threshold or more, with all their columns.
+
+    Null and empty texts score the sample's share of label 1 and so stay, unless most labels are 0.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, max_labelled))
+    text = docs.columns.index("text")
+    return docs.mapInArrow(lambda it: _accept(it, shared.value, threshold, text), docs.schema)
