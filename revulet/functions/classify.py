@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fixed
-from .text import WHITE, collapse, contains_word, portable, word_pattern
+from .text import ENDINGS, LETTERS, collapse, contains_word, portable, word_pattern
 
 SOFTWARE_THEMES = ("stability", "performance", "account", "sync", "notifications")
 POLICY_THEMES = ("pricing", "privacy", "usability")
@@ -19,22 +21,29 @@ def _strings(words) -> Column:
     return F.array(*(F.lit(w) for w in words)).cast("array<string>")
 
 
-def any_pattern(words) -> str:
-    """One pattern that matches where any of the words may: most reviews have no word of a theme, and this settles it."""
-    parts = [p for w in words if (p := word_pattern(w))]
-    plain = [w for w in words if not word_pattern(w)]
-    return "|".join([*(p.replace(r"\s", WHITE) for p in parts), *plain])
-
-
 def haystack() -> Column:
     return F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("body", F.lit(""))))
 
 
-def theme_hits(text: Column, theme: str) -> Column:
-    """The words of a theme that a lower-case text has, in the list's order."""
+def tokens(text: Column) -> Column:
+    """The distinct runs of letters of a lower-case text."""
+    return F.array_distinct(F.split(text, f"[^{LETTERS}]+"))
+
+
+def theme_hits(text: Column, letters: Column, theme: str) -> Column:
+    """The words of a theme that a lower-case text with these tokens has, in the list's order.
+
+    Words of letters alone are looked up among the tokens, with their inflections; phrases are matched as patterns and
+    words of other scripts as substrings.
+    """
     words = fixed.THEMES[theme][2]
-    found = F.array_compact(F.array(*(F.when(contains_word(text, w), F.lit(w)) for w in words)))
-    return F.when(text.rlike(any_pattern(words)), found).otherwise(_strings([]))
+    single = [w for w in words if re.fullmatch(f"[{LETTERS}]+", w)]
+    inside = [w for w in words if word_pattern(w) is None]
+    phrases = [w for w in words if w not in single and w not in inside]
+    forms = F.array(*(F.struct(F.lit(w).alias("word"), _strings([w + e for e in (("", *ENDINGS) if len(w) >= 4 else ("",))]).alias("forms")) for w in single))
+    found = F.transform(F.filter(forms, lambda x: F.arrays_overlap(letters, x["forms"])), lambda x: x["word"])
+    found = F.concat(found, F.filter(_strings(inside), lambda w: text.contains(w)), F.array_compact(F.array(F.lit(None).cast("string"), *(F.when(contains_word(text, w), F.lit(w)) for w in phrases))))
+    return F.array_intersect(_strings(words), found)
 
 
 def rule_hits(text: Column, rules) -> Column:
@@ -67,8 +76,8 @@ def only_requested(theme: str) -> Column:
 
 def with_themes(reviews: DataFrame) -> DataFrame:
     """reviews (title, body) with hits: a struct of the words found for each theme. Null texts have none."""
-    text = haystack()
-    return reviews.withColumn("_text", text).withColumn("hits", F.struct(*(theme_hits(F.col("_text"), t).alias(t) for t in fixed.THEMES))).drop("_text")
+    rows = reviews.withColumn("_text", haystack()).withColumn("_tokens", tokens(F.col("_text")))
+    return rows.withColumn("hits", F.struct(*(theme_hits(F.col("_text"), F.col("_tokens"), t).alias(t) for t in fixed.THEMES))).drop("_text", "_tokens")
 
 
 def confidence(count: Column) -> Column:

@@ -7,11 +7,13 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-WHITE = r"[\t\n\x0B\f\r\x20   -     　﻿]"
+WHITE = r"[\t\n\x0B\f\r\x20\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 LETTERS = "a-zà-öø-ÿ"
+#: Endings that a theme word of four letters or more may have.
+ENDINGS = ("s", "es", "ed", "ing")
 #: An ASCII word boundary; the engine's own \b counts accented letters as word characters.
 BOUNDARY = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
-CJK = "㐀-鿿぀-ヿ"
+CJK = r"\u3400-\u9fff\u3040-\u30ff"
 
 
 def collapse(text: Column) -> Column:
@@ -33,7 +35,7 @@ def word_pattern(word: str) -> str | None:
     """The pattern of a theme word that stands between non-letters, with plain inflections; None for substring words."""
     if re.search(rf"[^{LETTERS}\s'-]", word):
         return None
-    ending = "(?:s|es|ed|ing)?" if " " not in word and len(word) >= 4 else ""
+    ending = f"(?:{'|'.join(ENDINGS)})?" if " " not in word and len(word) >= 4 else ""
     inner = re.escape(word).replace(r"\ ", " ").replace(" ", r"\s+")
     return f"(?:^|[^{LETTERS}]){inner}{ending}(?:$|[^{LETTERS}])"
 
