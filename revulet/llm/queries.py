@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import decontaminate, html_text, language_id, near_dedup, packing, quality, substring_dedup, token_counts, top_k
+from . import decontaminate, html_text, language_id, near_dedup, packing, quality, substring_dedup, suffix_dedup, token_counts, top_k
 from .common import documents, table
 
 
@@ -20,6 +20,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(documents(spark, sf_dir), texts=False).drop("kept")
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
