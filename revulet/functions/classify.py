@@ -30,20 +30,33 @@ def tokens(text: Column) -> Column:
     return F.array_distinct(F.split(text, f"[^{LETTERS}]+"))
 
 
-def theme_hits(text: Column, letters: Column, theme: str) -> Column:
-    """The words of a theme that a lower-case text with these tokens has, in the list's order.
+EVERY_WORD = tuple(dict.fromkeys(w for _, _, words in fixed.THEMES.values() for w in words))
+SINGLE = [w for w in EVERY_WORD if re.fullmatch(f"[{LETTERS}]+", w)]
+INSIDE = [w for w in EVERY_WORD if word_pattern(w) is None]
+PHRASES = [w for w in EVERY_WORD if w not in SINGLE and w not in INSIDE]
+
+
+def _forms() -> dict[str, list[str]]:
+    """The theme words of letters alone, by each of their inflections."""
+    out: dict[str, list[str]] = {}
+    for word in SINGLE:
+        for ending in ("", *ENDINGS) if len(word) >= 4 else ("",):
+            out.setdefault(word + ending, []).append(word)
+    return out
+
+
+def matched_words(text: Column, letters: Column) -> Column:
+    """All theme words that a lower-case text with these tokens has.
 
     Words of letters alone are looked up among the tokens, with their inflections; phrases are matched as patterns and
     words of other scripts as substrings.
     """
-    words = fixed.THEMES[theme][2]
-    single = [w for w in words if re.fullmatch(f"[{LETTERS}]+", w)]
-    inside = [w for w in words if word_pattern(w) is None]
-    phrases = [w for w in words if w not in single and w not in inside]
-    forms = F.array(*(F.struct(F.lit(w).alias("word"), _strings([w + e for e in (("", *ENDINGS) if len(w) >= 4 else ("",))]).alias("forms")) for w in single))
-    found = F.transform(F.filter(forms, lambda x: F.arrays_overlap(letters, x["forms"])), lambda x: x["word"])
-    found = F.concat(found, F.filter(_strings(inside), lambda w: text.contains(w)), F.array_compact(F.array(F.lit(None).cast("string"), *(F.when(contains_word(text, w), F.lit(w)) for w in phrases))))
-    return F.array_intersect(_strings(words), found)
+    forms = _forms()
+    of = F.create_map(*(x for form, words in forms.items() for x in (F.lit(form), _strings(words))))
+    single = F.flatten(F.transform(F.array_intersect(letters, _strings(forms)), lambda t: F.element_at(of, t)))
+    inside = F.when(text.rlike(r"[^\x00-\x7F]"), F.filter(_strings(INSIDE), lambda w: text.contains(w))).otherwise(_strings([]))
+    phrases = F.array_compact(F.array(*(F.when(contains_word(text, w), F.lit(w)) for w in PHRASES)))
+    return F.concat(single, inside, phrases)
 
 
 def rule_hits(text: Column, rules) -> Column:
@@ -77,7 +90,8 @@ def only_requested(theme: str) -> Column:
 def with_themes(reviews: DataFrame) -> DataFrame:
     """reviews (title, body) with hits: a struct of the words found for each theme. Null texts have none."""
     rows = reviews.withColumn("_text", haystack()).withColumn("_tokens", tokens(F.col("_text")))
-    return rows.withColumn("hits", F.struct(*(theme_hits(F.col("_text"), F.col("_tokens"), t).alias(t) for t in fixed.THEMES))).drop("_text", "_tokens")
+    rows = rows.withColumn("_words", matched_words(F.col("_text"), F.col("_tokens")))
+    return rows.withColumn("hits", F.struct(*(F.array_intersect(_strings(words), F.col("_words")).alias(t) for t, (_, _, words) in fixed.THEMES.items()))).drop("_text", "_tokens", "_words")
 
 
 def confidence(count: Column) -> Column:
