@@ -116,6 +116,10 @@ def with_link(reviews: DataFrame) -> DataFrame:
     return out.withColumn("link", F.struct(kind.alias("kind"), F.col("_explicit").alias("explicit_hits"), F.col("_change").alias("change_hits"))).drop("_plain", "_explicit", "_change")
 
 
+def _named(theme: str) -> Column:
+    return F.transform(hit(theme), lambda w: F.concat(F.lit(f"theme-{theme}:"), w))
+
+
 def with_scope(classified: DataFrame) -> DataFrame:
     """A frame with hits gets scope: (primary, actionable, software, product_policy, community, support, software_themes)."""
     out = classified.withColumn("_plain", _plain())
@@ -132,7 +136,7 @@ def with_scope(classified: DataFrame) -> DataFrame:
 
     order = [t for t in fixed.THEMES if t in SOFTWARE_THEMES]
     software = F.array_compact(F.array(*(F.when(usable(t), F.lit(t)) for t in order)))
-    named = [F.transform(hit(t), lambda w, t=t: F.concat(F.lit(f"theme-{t}:"), w)) for t in [*(t for t in fixed.THEMES if t in POLICY_THEMES), *REQUESTS]]
+    named = [_named(t) for t in [*(t for t in fixed.THEMES if t in POLICY_THEMES), *REQUESTS]]
     out = out.withColumn("_themes", software).withColumn("_policy", F.array_distinct(F.concat("_policy", *named)))
     primary = (
         F.when(F.size("_strong") > 0, "software")

@@ -239,12 +239,14 @@ def scope_evidence(classified: DataFrame, count: int = 3) -> DataFrame:
 def known_issues(classified: DataFrame) -> DataFrame:
     """Software themes that at least two low-rated software reviews of a version share, and whether releases support them."""
     keys = [*APP, "app_version"]
-    rows = classified.where(low() & F.col("app_version").isNotNull()).select(*keys, "link", (F.col("scope.primary") == "software").alias("software"), F.col("scope.software_themes").alias("themes"))
-    total = rows.groupBy(*keys).agg(F.count("*").alias("total"))
-    counts = rows.where("software").withColumn("theme", F.explode("themes")).groupBy(*keys, "theme").agg(
-        F.count("*").alias("count"), _count(F.col("link.kind") != "none").alias("release_linked_count"), _count(_linked("explicit")).alias("explicit_release_count")
-    )
-    out = counts.where("count >= 2").join(total, keys)
+    software = F.col("scope.primary") == "software"
+    wide, names = [], {"count": F.lit(True), "release_linked_count": F.col("link.kind") != "none", "explicit_release_count": _linked("explicit")}
+    for t in K.SOFTWARE_THEMES:
+        own = software & F.array_contains("scope.software_themes", t)
+        wide += [_count(own & condition).alias(f"{t}.{name}") for name, condition in names.items()]
+    sums = classified.where(low() & F.col("app_version").isNotNull()).groupBy(*keys).agg(F.count("*").alias("total"), *wide)
+    rows = F.array(*(F.struct(F.lit(t).alias("theme"), *(F.col(f"`{t}.{n}`").alias(n) for n in names)) for t in K.SOFTWARE_THEMES))
+    out = sums.select(*keys, "total", F.explode(F.filter(rows, lambda x: x["count"] >= 2)).alias("x")).select(*keys, "total", "x.*")
     labels = F.element_at(F.create_map(*(x for t, (label, _, _) in fixed.THEMES.items() for x in (F.lit(t), F.lit(label)))), F.col("theme"))
     return out.select(
         *keys,
