@@ -41,12 +41,30 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(True)
 
 
-def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """df by way of Parquet in the shared folder."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df by way of Parquet in the shared folder; it stays there."""
+    return Scratch().written(df, name)
+
+
+class Scratch:
+    """Tables in the shared folder that go when the block ends: with Scratch() as tmp: tmp.written(df, name)."""
+
+    def __init__(self) -> None:
+        self.paths: list[tuple[SparkSession, str]] = []
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+        self.paths.append((df.sparkSession, path))
+        df.write.parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *failure) -> None:
+        for spark, path in self.paths:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def bucket_of(col: str, modulus: int):

@@ -67,9 +67,10 @@ def _offsets(windows: DataFrame, index: DataFrame) -> DataFrame:
     return ranked.where("found = length").select("window", "length", "offset", "term", "rank")
 
 
-def phrase_matches(index: DataFrame, windows: DataFrame) -> DataFrame:
+def phrase_matches(index: DataFrame, windows: DataFrame, tmp: C.Scratch | None = None) -> DataFrame:
     """doc_id, window, start, length: every exact occurrence of every window (window, terms)."""
-    offsets = C.written(_offsets(windows, index), "offsets")
+    tmp = tmp or C.Scratch()
+    offsets = tmp.written(_offsets(windows, index), "offsets")
 
     def shifted(rank: int) -> DataFrame:
         own = bounded(offsets.where(F.col("rank") == rank))
@@ -77,7 +78,7 @@ def phrase_matches(index: DataFrame, windows: DataFrame) -> DataFrame:
 
     single = shifted(1).where("length = 1")
     begun = shifted(1).where("length > 1").join(shifted(2).select("doc_id", "window", "start"), ["doc_id", "window", "start"], "left_semi")
-    begun = C.written(begun, "begun")
+    begun = tmp.written(begun, "begun")
     own = bounded(begun.select("doc_id").distinct())
     lists = index.join(own, "doc_id", "left_semi")
     wanted = begun.join(bounded(offsets.where("rank > 2").select("window", "offset", "term")), "window").select("doc_id", "window", "start", "length", (F.col("start") + F.col("offset")).alias("position"), "term")
@@ -101,11 +102,11 @@ def proximity_matches(index: DataFrame, windows: DataFrame, slop: int) -> DataFr
     return found.where("n = total").select("doc_id", "window", F.col("at").alias("position"))
 
 
-def _matches(docs: DataFrame, items: DataFrame, window: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _matches(docs: DataFrame, items: DataFrame, window: int, tmp: C.Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
     windows, of_items = test_windows(items, window)
-    windows = C.written(windows, "windows")
-    index = C.written(build_index(docs, windows.select(F.explode("terms").alias("term"))), "postings")
-    return index, of_items, C.written(phrase_matches(index, windows), "matches")
+    windows = tmp.written(windows, "windows")
+    index = tmp.written(build_index(docs, windows.select(F.explode("terms").alias("term"))), "postings")
+    return index, of_items, tmp.written(phrase_matches(index, windows, tmp), "matches")
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -115,25 +116,28 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     occurring windows; items_sha256 is of their ids, sorted as strings and joined by commas. Null and empty texts have
     no words. Rows without doc_id or item_id are left out; a doc_id is expected once; other columns are ignored.
     """
-    index, of_items, matches = _matches(docs, items, window)
-    covered = matches.select("doc_id", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)).alias("position")).distinct()
-    hits = covered.groupBy("doc_id").agg(F.count("*").alias("n_hit"))
-    found = matches.select("doc_id", "window").distinct().join(of_items, "window").select("doc_id", F.col("item_id").cast("string").alias("item")).distinct()
-    lists = found.groupBy("doc_id").agg(F.array_sort(F.collect_list("item")).alias("items"))
-    marks = hits.join(lists, "doc_id", "full_outer")
-    base = index.where("term = ''").select("doc_id", F.col("position").cast("long").alias("n_words"))
-    items_of = F.coalesce("items", F.array().cast("array<string>"))
-    return base.join(marks, "doc_id", "left").select(
-        "doc_id",
-        "n_words",
-        F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
-        F.size(items_of).cast("long").alias("n_items"),
-        F.sha2(F.concat_ws(",", items_of), 256).alias("items_sha256"),
-        (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
-    )
+    with C.Scratch() as tmp:
+        index, of_items, matches = _matches(docs, items, window, tmp)
+        covered = matches.select("doc_id", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)).alias("position")).distinct()
+        hits = covered.groupBy("doc_id").agg(F.count("*").alias("n_hit"))
+        found = matches.select("doc_id", "window").distinct().join(of_items, "window").select("doc_id", F.col("item_id").cast("string").alias("item")).distinct()
+        lists = found.groupBy("doc_id").agg(F.array_sort(F.collect_list("item")).alias("items"))
+        marks = hits.join(lists, "doc_id", "full_outer")
+        base = index.where("term = ''").select("doc_id", F.col("position").cast("long").alias("n_words"))
+        items_of = F.coalesce("items", F.array().cast("array<string>"))
+        out = base.join(marks, "doc_id", "left").select(
+            "doc_id",
+            "n_words",
+            F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
+            F.size(items_of).cast("long").alias("n_items"),
+            F.sha2(F.concat_ws(",", items_of), 256).alias("items_sha256"),
+            (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+        )
+        return C.written(out, "contamination")
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of docs in which no window of items occurs, with all their columns; rows without doc_id stay."""
-    hit = _matches(docs, items, window)[2].select(F.col("doc_id").alias("_hit")).distinct()
+    with C.Scratch() as tmp:
+        hit = C.written(_matches(docs, items, window, tmp)[2].select(F.col("doc_id").alias("_hit")).distinct(), "hit")
     return docs.join(hit, docs["doc_id"] == hit["_hit"], "left_anti")
