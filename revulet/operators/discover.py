@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import fixed
 from ..functions.numeric import half_up, mean0, share, trend
@@ -18,7 +19,7 @@ LIMIT, OVERLAP, PHRASE_BOOST = 6, 0.65, 1.35
 _STOP = fixed.PHRASE_STOP_WORDS
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
