@@ -138,9 +138,9 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     Rows that lose all their words go; n_chars, where there, follows the text. Rows without doc_id stay as they are.
     """
     left = substring_dedup(docs, window).select(F.col("doc_id").alias("_id"), "n_words", "n_removed", "kept")
-    rows = docs.join(left, docs["doc_id"] == left["_id"], "left").where("n_removed is null or n_removed = 0 or n_removed < n_words")
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(docs["text"])
-    new = {"text": text.alias("text")}
+    removed = left["n_removed"]
+    rows = docs.join(left, docs["doc_id"] == left["_id"], "left").where(removed.isNull() | (removed == 0) | (removed < left["n_words"]))
+    new = {"text": F.when(removed > 0, left["kept"]).otherwise(docs["text"]).alias("text")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("n_removed") > 0, F.char_length("kept")).otherwise(docs["n_chars"]).cast(docs.schema["n_chars"].dataType).alias("n_chars")
+        new["n_chars"] = F.when(removed > 0, F.char_length(left["kept"])).otherwise(docs["n_chars"]).cast(docs.schema["n_chars"].dataType).alias("n_chars")
     return rows.select(*(new.get(c, docs[c]) for c in docs.columns))

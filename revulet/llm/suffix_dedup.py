@@ -86,7 +86,7 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     step = 7
     for k in range(step):
         packed <<= 9
-        packed[: n - k] |= text[k:]
+        packed[: max(n - k, 0)] |= text[k:]
     order = np.argsort(packed, kind="stable")
     while True:
         sorted_key = packed[order]
@@ -102,7 +102,7 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
         tied[:-1] |= ~new[1:]
         where = np.flatnonzero(tied)
         packed = rank * (n + 1)
-        packed[: n - step] += rank[step:]
+        packed[: max(n - step, 0)] += rank[step:]
         mine = order[where]
         order[where] = mine[np.argsort(packed[mine], kind="stable")]
         step *= 2
