@@ -138,9 +138,11 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     Rows that lose all their words go; n_chars, where there, follows the text. Rows without doc_id stay as they are.
     """
     left = substring_dedup(docs, window).select(F.col("doc_id").alias("_id"), "n_words", "n_removed", "kept")
-    removed = left["n_removed"]
-    rows = docs.join(left, docs["doc_id"] == left["_id"], "left").where(removed.isNull() | (removed == 0) | (removed < left["n_words"]))
-    new = {"text": F.when(removed > 0, left["kept"]).otherwise(docs["text"]).alias("text")}
+    removed, n_words, kept = left["n_removed"], left["n_words"], left["kept"]
+    # Texts come with the operator's rows; of docs only the other columns are exchanged, and texts without doc_id.
+    others = docs.withColumn("text", F.when(F.col("doc_id").isNull(), F.col("text")))
+    rows = others.join(left, others["doc_id"] == left["_id"], "left").where(removed.isNull() | (removed == 0) | (removed < n_words))
+    new = {"text": F.when(removed.isNull(), others["text"]).otherwise(kept).alias("text")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(removed > 0, F.char_length(left["kept"])).otherwise(docs["n_chars"]).cast(docs.schema["n_chars"].dataType).alias("n_chars")
-    return rows.select(*(new.get(c, docs[c]) for c in docs.columns))
+        new["n_chars"] = F.when(removed > 0, F.char_length(kept)).otherwise(others["n_chars"]).cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return rows.select(*(new.get(c, others[c]) for c in docs.columns))
