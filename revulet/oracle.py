@@ -235,7 +235,7 @@ QUERIES = {
         SELECT {APP}, review_id, created_ms, position, term, min(i) AS place FROM (SELECT *, unnest(tokens) AS term, generate_subscripts(tokens, 1) AS i FROM (SELECT *, regexp_extract_all(lower(body), '{KEYWORD}') AS tokens FROM reviews WHERE rating <= 3)) GROUP BY ALL)
       LEFT JOIN {_APPS} USING (source, app_id) WHERE NOT list_contains({_list(fixed.KEYWORD_STOP_WORDS)}, term) AND NOT list_contains(string_split(coalesce(own, ''), ' '), term) GROUP BY {APP}, term)) WHERE rank <= 20""",
     "app_comparison": "SELECT * EXCLUDE (ordinal) FROM gaps",
-    "comparison_opportunities": "SELECT * EXCLUDE (ordinal, rank, theme), 'competitor-' || theme AS id, row_number() OVER (PARTITION BY source, app_id, other_source, other_app_id ORDER BY abs(share_gap) DESC, ordinal)::INTEGER AS rank FROM gaps WHERE competitor_count >= 2 AND share_gap >= 0.03::DOUBLE QUALIFY rank <= 4",
+    "comparison_opportunities": "SELECT * EXCLUDE (ordinal, rank, theme, r), 'competitor-' || theme AS id, r::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY source, app_id, other_source, other_app_id ORDER BY abs(share_gap) DESC, ordinal) AS r FROM gaps WHERE competitor_count >= 2 AND share_gap >= 0.03::DOUBLE) WHERE r <= 4",
     "comparison_rating_gap": f"SELECT p.*, a.average_rating AS primary_rating, b.average_rating AS competitor_rating, {_rnd('a.average_rating - b.average_rating', 2)} AS rating_gap FROM pairs p JOIN samples a USING ({APP}) JOIN samples b ON b.source = other_source AND b.app_id = other_app_id",
     "insights": f"""WITH found AS (
       SELECT {APP}, 1 AS ordinal, 'trend-' || theme AS id, 'emerging' AS kind, CASE WHEN complaint_average_rating <= 2.2::DOUBLE THEN 'high' ELSE 'medium' END AS severity FROM (SELECT * FROM themes WHERE intent = 'problem' AND recent_complaint_count >= 2 AND complaint_trend_percent > 20 QUALIFY {_FIRST})
