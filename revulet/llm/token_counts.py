@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
 from .tokens import default_vocabulary, encoder
 
 #: Lengths in one block of the running sums.
@@ -92,4 +93,5 @@ def length_at_quantile(counts: DataFrame, q: float) -> DataFrame:
 
 
 def token_counts(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    return limits(histogram(token_lengths(docs, vocabulary)))
+    """limits() of all rows of docs (doc_id, text). Texts are encoded once; the histogram is cut off from them."""
+    return limits(cut(histogram(token_lengths(docs, vocabulary))))
