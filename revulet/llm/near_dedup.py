@@ -7,9 +7,10 @@ their weighted Jaccard similarity. Only darts before a time that the total weigh
 of a long text throw none; the few texts left with an empty coordinate throw on.
 
 Banded signatures name candidates, which are compared exactly. Equal sets count once. A bucket's members are compared
-with its hub, the member that shares most buckets with others, and with their neighbours in the order of another band,
-not all with each other: links that matter for classes mostly run through hubs, so pairs stay linear in a bucket's
-size. Buckets that then hold several classes get further hubs.
+with its hub, the member that shares most buckets with others, and with their neighbours in the order of another band:
+most links that matter for classes run through hubs, so these pairs stay linear in a bucket's size. The members of all
+buckets that then hold several classes are joined once more, each with those of all other classes, by a prefix filter
+that loses no pair; so no pair of different classes in a common bucket stays uncompared, unless it can't be similar.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from . import common as C
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 4
-#: Rounds with further hubs for buckets that hold several classes, as long as they find links.
-ROUNDS = 1
+#: Members that share a unit and meet in one task; more are dealt by a salt.
+MEET = 256
 _SYMBOL = C.Powers(0x9FB21C651E98DF25)
 
 
@@ -167,6 +168,40 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return second.select("a", "b", "one", "other").mapInArrow(lambda it: _similar(it, least), "a long, b long")
 
 
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, label, size and unit: a row for each unit of weight of the sets (doc_id, label, units)."""
+    for batch in batches:
+        sets = [np.unique(np.frombuffer(x.as_buffer(), "<u4")) for x in batch.column(2)]
+        sizes = np.array([len(x) for x in sets], np.int64)
+        at = pa.array(np.repeat(np.arange(len(sets)), sizes))
+        unit = np.concatenate([*sets, np.zeros(0, "<u4")]).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(sizes).take(at), pa.array(unit)], names=["doc_id", "label", "size", "unit"])
+
+
+def _across(members: DataFrame, labels: DataFrame, sets: DataFrame, least: float, tmp: C.Scratch) -> DataFrame:
+    """Pairs (a, b) of different classes, among the members of buckets with several classes, that can be similar.
+
+    Units that only one class has come first in the order, then rare ones. Similar sets have their first common unit
+    among the first size - least * size + 1 of both, and at a place after which enough is left in both.
+    """
+    classed = members.select("doc_id", "band", "bucket").join(labels, "doc_id", "left").select("doc_id", "band", "bucket", F.coalesce("label", "doc_id").alias("label"))
+    mixed = classed.groupBy("band", "bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band", "bucket")
+    left = classed.join(mixed, ["band", "bucket"]).select("doc_id", "label").distinct()
+    units = tmp.written(sets.join(left, "doc_id").select("doc_id", "label", "units").mapInArrow(_units, "doc_id long, label long, size long, unit long"), "units")
+    common = units.groupBy("unit").agg(F.count("*").alias("having"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("unit", "having")
+    own = Window.partitionBy("doc_id")
+    place = F.col("size") - F.count("*").over(own) + F.row_number().over(own.orderBy("having", "unit"))
+    placed = units.join(common, "unit").withColumn("place", place)
+    prefix = tmp.written(placed.where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1).select("unit", "doc_id", "label", "size", "place"), "prefix")
+    parts = prefix.groupBy("unit").agg(F.ceil(F.count("*") / MEET).alias("parts"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("unit", "parts")
+    dealt = prefix.join(parts, "unit")
+    one = dealt.select("unit", F.pmod(F.xxhash64("doc_id"), F.col("parts")).alias("part"), *(F.col(c).alias(f"{c}_a") for c in ("doc_id", "label", "size", "place")))
+    other = dealt.select("unit", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), *(F.col(c).alias(f"{c}_b") for c in ("doc_id", "label", "size", "place")))
+    rest = 1 + F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))
+    fits = (F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("label_a") != F.col("label_b")) & (rest >= (F.col("size_a") + F.col("size_b")) * (least / (1 + least)) - 1e-9)
+    return one.join(other, (one["unit"] == other["unit"]) & (one["part"] == other["part"]) & fits).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int = SHINGLE, count: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, class_id of each row of docs (doc_id, text).
 
@@ -198,18 +233,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int
         sets = tmp.written(texts.join(needed, "doc_id", "left_semi").mapInArrow(lambda it: _sets(it, width), "doc_id long, units binary"), "sets")
         links = tmp.written(_verified(pairs, sets, similarity), "links")
         labels = components(links)
-        # Buckets that still hold several classes: their most central member outside the hub's class is the next hub.
-        for _ in range(ROUNDS):
-            classed = members.join(labels, "doc_id", "left").select("doc_id", "band", "bucket", "degree", F.coalesce("label", "doc_id").alias("label"))
-            main = hubs.join(labels.withColumnRenamed("doc_id", "hub"), "hub", "left").select("band", "bucket", F.coalesce("label", "hub").alias("main"))
-            outside = tmp.written(classed.join(main, ["band", "bucket"]).where("label <> main"), "outside")
-            next_hubs = outside.groupBy("band", "bucket").agg(F.max(F.struct("degree", (-F.col("doc_id")).alias("hub"), "label")).alias("best")).select("band", "bucket", (-F.col("best.hub")).alias("hub"), F.col("best.label").alias("hub_label"))
-            more = tmp.written(_pairs(classed.join(next_hubs.select("band", "bucket", "hub_label"), ["band", "bucket"]).where("label <> hub_label"), next_hubs.drop("hub_label")).join(pairs, ["a", "b"], "left_anti"), "pairs")
-            found = tmp.written(_verified(more, sets, similarity), "links")
-            if found.isEmpty():
-                break
-            links, pairs, hubs = links.union(found), pairs.union(more), next_hubs.drop("hub_label")
-            labels = components(links)
+        # What hubs and neighbours don't show: all members of buckets that still hold several classes.
+        more = tmp.written(_across(members, labels, sets, similarity, tmp).join(pairs, ["a", "b"], "left_anti"), "pairs")
+        found = tmp.written(_verified(more, sets, similarity), "links")
+        if not found.isEmpty():
+            labels = components(links.union(found))
         classes = of_set.join(labels.withColumnRenamed("doc_id", "rep"), "rep", "left").select("doc_id", F.coalesce("label", "rep").alias("class_id"))
         # What was written for it goes, so the result, two numbers a row, is written too.
         return C.written(texts.select("doc_id").join(classes, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id")), "classes")

@@ -277,6 +277,30 @@ def test_near_duplicates_against_all_pairs(spark, none):
     assert near_dedup.near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_in_buckets_of_many_classes(spark):
+    """Texts with a long passage in common fall into the same buckets; every two of them have a near copy far away."""
+    rng = np.random.default_rng(11)
+    passage, texts = words(900, 120).split(), []
+    for one in range(40):
+        own = words(1000 + one, 60).split()
+        for _ in range(2):
+            new = list(own)
+            new[int(rng.integers(5, 55))] = "edit" + str(rng.integers(0, 10**6))
+            texts.append(" ".join(passage + new))
+    texts = [texts[i] for i in rng.permutation(len(texts))]
+    data, offsets = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts)])
+    own = near_dedup.bands(near_dedup.signatures(*near_dedup.shingles(data, offsets), len(texts), 4), 4, 1)
+    of = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if (own[i] == own[j]).any() and jaccard(texts[i], texts[j]) >= 0.8:
+                old, new = max(of[i], of[j]), min(of[i], of[j])
+                of = [new if x == old else x for x in of]
+    assert len(set(of)) < 45
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs, count=4, rows=1).collect()} == dict(enumerate(of))
+
+
 def test_darts_estimate_similarity():
     a, b = words(1, 400), words(1, 400).replace(" ", "  ", 3)
     c = " ".join(words(1, 400).split()[:330] + words(2, 70).split())
