@@ -310,31 +310,24 @@ def provenance_hash(spark, d):
     return provenance.content_hash(normalize(raw_reviews(spark, d), RUN))
 
 
-def _theme_verdicts(spark, d):
-    rows, ready, compared = _compared(spark, d)
-    found = regression.violations(compared, regression.theme_changes(compared, A.version_theme_signals(rows)), None, POLICY)
-    return regression.verdicts(ready, compared, found), found, rows
-
-
 @query
 def cohort_summary(spark, d):
-    return cohort.summary(_theme_verdicts(spark, d)[0])
+    return cohort.summary(_gate(spark, d).verdicts)
 
 
 @query
 def cohort_violation_counts(spark, d):
-    return cohort.violation_counts(_theme_verdicts(spark, d)[1])
+    return cohort.violation_counts(_gate(spark, d).violations)
 
 
 @query
 def cohort_insufficient_reasons(spark, d):
-    return cohort.insufficient_reasons(_theme_verdicts(spark, d)[0])
+    return cohort.insufficient_reasons(_gate(spark, d).verdicts)
 
 
 @query
 def cohort_coverage(spark, d):
-    verdicts, _, rows = _theme_verdicts(spark, d)
-    return cohort.complaint_coverage(rows, verdicts)
+    return cohort.complaint_coverage(themed(spark, d), _gate(spark, d).verdicts)
 
 
 def _examples(spark, d):

@@ -5,6 +5,7 @@ from datetime import datetime, timezone
 import pytest
 from pyspark.sql import functions as F
 
+from revulet import queries
 from revulet.functions import classify as K
 from revulet.operators import aggregate as A
 from revulet.operators import cohort, compare, discover, evaluate, regression
@@ -66,6 +67,13 @@ def test_policy_ranges(wrong):
         regression.Policy(**wrong)
 
 
+def test_cohort_queries_count_discovered_issues(spark, monkeypatch):
+    monkeypatch.setattr(queries, "raw_reviews", lambda spark, d: demo_reviews(spark))
+    monkeypatch.setattr(queries, "POLICY", regression.Policy(max_rating_drop=4, max_negative_share_increase=1, max_theme_share_increase=1))
+    assert [tuple(r) for r in queries.cohort_violation_counts(spark, "").collect()] == [("discovered-66e943a4d5da", 1)]
+    assert {(r.total, r.passed, r.failed) for r in queries.cohort_summary(spark, "").collect()} == {(1, 0, 1)}
+
+
 def test_exit_codes():
     assert [regression.exit_code(s) for s in ("pass", "fail", "insufficient-data")] == [0, 1, 0] and regression.exit_code("insufficient-data", True) == 1
 
