@@ -48,7 +48,7 @@ def raw_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(d % 2 == 0, "google-play").otherwise("apple-app-store").alias("source"),
         F.concat(F.lit("app-"), (d % 3).cast("string")).alias("appId"),
         d.cast("string").alias("reviewId"),
-        F.concat(_template(index), F.lit(". "), F.substring("text", 1, 120)).alias("body"),
+        F.concat(_template(index), F.lit(". "), F.col("text")).alias("body"),
         rating.cast("double").alias("score"),
         F.col("lang").alias("language"),
         F.element_at(F.array(F.lit("us"), F.lit("gb"), F.lit("ca"), F.lit(None).cast("string")), (d % 4 + 1).cast("int")).alias("country"),
