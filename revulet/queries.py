@@ -357,8 +357,7 @@ def classifier_exact_match(spark, d):
 def csv_cells_guarded(spark, d):
     from .plans.render import csv_guard
 
-    text = F.substring("text", 1, 60)
-    marked = F.concat(F.element_at(F.array(*(F.lit(x) for x in ("=", "+", "-", "@", '"', ""))), (F.col("doc_id") % 6 + 1).cast("int")), text)
+    marked = F.concat(F.element_at(F.array(*(F.lit(x) for x in ("=", "+", "-", "@", '"', ""))), (F.col("doc_id") % 6 + 1).cast("int")), F.col("text"))
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", csv_guard(marked).alias("cell"))
 
 
