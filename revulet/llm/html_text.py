@@ -20,9 +20,11 @@ from pyspark.sql import functions as F
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("script style template head title noscript iframe noembed noframes object audio video canvas svg math datalist select option map".split())
+HIDDEN = frozenset("script style template head title noscript iframe noembed noframes object audio video canvas datalist".split())
+#: Not shown within svg or math.
+UNSEEN = {"svg": frozenset("desc metadata defs symbol".split()), "math": frozenset("annotation annotation-xml".split())}
 BLOCK = frozenset(
-    "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul caption".split()
+    "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul caption xmp".split()
 )
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure hr".split())
 #: An open element that a start tag closes, if no element of the second set is opened between them.
@@ -136,15 +138,19 @@ def parse(page: str) -> Node:
             stack[-1].children.append(row)
             stack.append(row)
         hidden = tag in HIDDEN or bool(attributes and _MAY_HIDE.search(attributes) and _hides(attributes))
+        foreign = next((n.tag for n in reversed(stack) if n.tag in UNSEEN), None)
+        hidden = hidden or foreign is not None and tag in UNSEEN[foreign]
         start = int(s.group(1)) if tag == "ol" and attributes and (s := _START.search(attributes)) else 1
         node = Node(tag, hidden, start)
         stack[-1].children.append(node)
-        if tag in VOID:
+        if tag in VOID or (foreign or tag in UNSEEN) and attributes and attributes.rstrip().endswith("/"):
             continue
         if tag in RAW:
             end = _raw_end(tag).search(page, at)
             if tag == "textarea":
                 node.children.append(html.unescape(page[at : end.start() if end else size]))
+            elif tag == "xmp":
+                node.children.append(page[at : end.start() if end else size])
             at = end.end() if end else size
             continue
         if tag == "plaintext":
@@ -259,7 +265,7 @@ def _render(node: Node, out: Canvas, pre: bool = False) -> None:
             _list(child, out, tag == "ol")
         elif tag in BLOCK:
             (out.space if tag in SPACED else out.line)()
-            _render(child, out, pre or tag == "pre")
+            _render(child, out, pre or tag in ("pre", "xmp"))
             (out.space if tag in SPACED else out.line)()
         else:
             _render(child, out, pre or tag == "textarea")

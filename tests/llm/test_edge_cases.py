@@ -335,6 +335,13 @@ def test_html(spark):
     assert html_text.extract_pages(spark.createDataFrame([], "page_id long, html string")).count() == 0
 
 
+def test_html_shown_elements():
+    page = """a<math><mi>x</mi><annotation>no</annotation></math><svg><title>no</title><desc>no</desc><path d="m"/><text>label</text></svg>
+<select><option>one<option>two</select><map name=m>mapped<area></map><xmp><b> &amp;</xmp>end<datalist><option>no</datalist>"""
+    text = html_text.extract(page)
+    assert [x for x in ("x", "label", "one", "two", "mapped", "<b> &amp;", "end") if x not in text] == [] and "no" not in text
+
+
 def test_pipeline(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     names = [name for name, _ in corpus_pipeline.STAGES]
