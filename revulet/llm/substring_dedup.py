@@ -4,7 +4,7 @@ A set D of residues modulo V is a difference cover when every residue is a diffe
 places i, j of two documents have a shift d < V with (i + d) mod V and (j + d) mod V both in D: two equal runs of
 WINDOW words share an anchor of WINDOW - V + 1 words that starts at a cover place of both. Only anchors are hashed and
 exchanged (a fifth of all places), those in two documents or more are extended to whole windows, and windows are
-compared by 96-bit hashes of all their words.
+compared by 96-bit hashes of all their words. A window's first document owns it: the others' words in it go.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,35 +71,52 @@ def _anchors(batches: Iterator[pa.RecordBatch], window: int, period: int, distin
             yield pa.RecordBatch.from_arrays([pa.array(C.signed(anchor)), pa.array(ids[row]), pa.array(place.astype(np.int32))], names=["anchor", "doc_id", "place"])
 
 
+def _candidates(data: np.ndarray, offsets: np.ndarray, found: pa.ListArray, window: int, period: int, two: bool):
+    """Row, place and hashes of the windows that hold a shared anchor at one of the period starts that alignment
+    allows; found has the places of each row's shared anchors."""
+    starts, ends, index = C.words(data, offsets)
+    row, place, *hashes = C.windows(C.byte_hash(data, starts, ends), index, window, two=two)
+    where = np.diff(found.offsets.to_numpy()) if len(found) else np.zeros(0, np.int64)
+    at = index[:-1][np.repeat(np.arange(len(where)), where)] + found.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    count = np.zeros(len(starts) + 1, np.int64)
+    np.add.at(count, at + 1, 1)
+    count = np.cumsum(count)
+    start = index[:-1][row] + place
+    keep = count[np.minimum(start + period, len(starts))] > count[start]
+    return row[keep], place[keep], *(h[keep] for h in hashes)
+
+
 def _windows(batches: Iterator[pa.RecordBatch], window: int, period: int) -> Iterator[pa.RecordBatch]:
-    """Windows that hold a shared anchor at one of the period starts that alignment allows."""
     for batch in C.steps(batches):
-        data, offsets = C.utf8(batch.column(1))
-        ids = C.longs(batch.column(0))
-        starts, ends, index = C.words(data, offsets)
-        row, place, one, two = C.windows(C.byte_hash(data, starts, ends), index, window, two=True)
-        found = batch.column(2)
-        where = np.diff(found.offsets.to_numpy()) if len(found) else np.zeros(0, np.int64)
-        at = index[:-1][np.repeat(np.arange(len(ids)), where)] + found.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        count = np.zeros(len(starts) + 1, np.int64)
-        np.add.at(count, at + 1, 1)
-        count = np.cumsum(count)
-        start = index[:-1][row] + place
-        keep = count[np.minimum(start + period, len(starts))] > count[start]
-        two = (two[keep] >> np.uint64(32)).astype(np.uint32).view(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(C.signed(one[keep])), pa.array(two), pa.array(ids[row[keep]]), pa.array(place[keep].astype(np.int32))], names=["one", "two", "doc_id", "place"])
-
-
-def _finish(batches: Iterator[pa.RecordBatch], window: int, texts: bool) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for doc, text, copy, places in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
+        row, _, one, two = _candidates(*C.utf8(batch.column(1)), batch.column(2), window, period, True)
+        two = (two >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(C.signed(one)), pa.array(two), pa.array(C.longs(batch.column(0))[row])], names=["one", "two", "doc_id"])
+
+
+def _disowned(batch: pa.RecordBatch, window: int, period: int) -> dict[int, np.ndarray]:
+    """By row, the places of windows that hold a shared anchor and that the row does not own."""
+    touched = np.flatnonzero(pa.compute.fill_null(pa.compute.list_value_length(batch.column(3)), 0).to_numpy() > 0)
+    part = batch.take(pa.array(touched))
+    row, place, one = _candidates(*C.utf8(part.column(1)), part.column(3), window, period, False)
+    of = np.repeat(np.arange(len(touched)), pa.compute.fill_null(pa.compute.list_value_length(part.column(4)), 0).to_numpy())
+    tagged = lambda key, at: C.mix(key) + at.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    owned = tagged(part.column(4).flatten().to_numpy(zero_copy_only=False).view(np.uint64), of)
+    gone = ~np.isin(tagged(one, row), owned)
+    row, place = row[gone], place[gone]
+    cut = np.searchsorted(row, np.arange(len(touched) + 1))
+    return {int(t): place[cut[i] : cut[i + 1]] for i, t in enumerate(touched) if cut[i] < cut[i + 1]}
+
+
+def _finish(batches: Iterator[pa.RecordBatch], window: int, period: int, texts: bool) -> Iterator[pa.RecordBatch]:
+    for batch in C.steps(batches):
+        out, gone_of = [], _disowned(batch, window, period)
+        for at, (doc, text, copy) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)):
             own = (text or "").encode().split()  # bytes.split() parts at exactly the six ASCII white-space bytes
             n, kept = len(own), own
             if copy and n >= window:
                 kept = []
-            elif places.is_valid and len(places):
-                gone = C.covered(places.values.to_numpy().astype(np.int64), window, n)
+            elif at in gone_of:
+                gone = C.covered(gone_of[at], window, n)
                 kept = [own[i] for i in np.flatnonzero(~gone)]
             joined = b" ".join(kept)
             out.append((doc, n, n - len(kept), hashlib.sha256(joined).hexdigest(), (text if len(kept) == n else joined.decode()) if texts else None))
@@ -126,10 +144,12 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, period: int = PERIOD,
     distinct = own.mapInArrow(lambda it: _anchors(it, window, period, True), "anchor long")
     shared = distinct.groupBy("anchor").agg(F.count("*").alias("docs")).where("docs > 1").select("anchor")
     places = anchors.join(shared, "anchor").groupBy("doc_id").agg(F.collect_list("place").alias("places"))
-    candidates = own.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(lambda it: _windows(it, window, period), "one long, two int, doc_id long, place int")
-    lowest = candidates.groupBy("one", "two").agg(F.min("doc_id").alias("low"))
-    gone = candidates.join(lowest, ["one", "two"]).where("doc_id > low").groupBy("doc_id").agg(F.collect_list("place").alias("gone"))
-    return marked.join(gone, "doc_id", "left").select("doc_id", "text", "copy", "gone").mapInArrow(lambda it: _finish(it, window, texts), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    candidates = own.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(lambda it: _windows(it, window, period), "one long, two int, doc_id long")
+    # The first document of each window owns it, and a document loses those that it doesn't own. So what goes back to
+    # documents is a row for each different window, and no row of a window that thousands share meets the others.
+    owned = candidates.groupBy("one", "two").agg(F.min("doc_id").alias("doc_id")).groupBy("doc_id").agg(F.collect_list("one").alias("owned"))
+    rows = marked.join(places, "doc_id", "left").join(owned, "doc_id", "left").select("doc_id", "text", "copy", F.when(F.col("copy").isNull(), F.col("places")).alias("places"), "owned")
+    return rows.mapInArrow(lambda it: _finish(it, window, period, texts), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
