@@ -36,9 +36,9 @@ def _template(i):
 def raw_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw review records: every document once, those divisible by 11 a second time with a later update and another
     sentence, those divisible by 13 a second time with an equal update."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("d"), "text", "lang")
     d = F.col("d")
-    row = docs.select(d, "text", "lang", F.lit(0).alias("again")).union(docs.where(d % 11 == 0).select(d, "text", "lang", F.lit(1))).union(docs.where(d % 13 == 0).select(d, "text", "lang", F.lit(2)))
+    copies = F.array_compact(F.array(F.lit(0), F.when(d % 11 == 0, 1), F.when(d % 13 == 0, 2)))
+    row = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("d"), "text", "lang").withColumn("again", F.explode(copies))
     again = F.col("again")
     version = F.when((d % 3 == 2) & (d < 30), "5.0.0").otherwise(F.element_at(F.array(F.lit("4.10.0"), F.lit("4.8.0"), F.lit("4.7.2"), F.lit(None).cast("string")), (F.expr("d div 6") % 4 + 1).cast("int")))
     rating = F.when((d % 3 == 0) & (version == "4.10.0"), 1 + F.expr("d div 24") % 2).otherwise(1 + d * 7 % 5)

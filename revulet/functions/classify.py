@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fixed
-from .text import ENDINGS, LETTERS, collapse, contains_word, portable, word_pattern
+from .prefilter import dotted, folded, matching
+from .text import APART, CJK, ENDINGS, LETTERS, collapse, strings, wide, word_pattern
 
 SOFTWARE_THEMES = ("stability", "performance", "account", "sync", "notifications")
 POLICY_THEMES = ("pricing", "privacy", "usability")
@@ -17,17 +18,9 @@ PROBLEMS = [t for t, (_, intent, _) in fixed.THEMES.items() if intent == "proble
 REQUESTS = [t for t, (_, intent, _) in fixed.THEMES.items() if intent == "request"]
 
 
-def _strings(words) -> Column:
-    return F.array(*(F.lit(w) for w in words)).cast("array<string>")
-
-
 def haystack() -> Column:
-    return F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("body", F.lit(""))))
-
-
-def tokens(text: Column) -> Column:
-    """The distinct runs of letters of a lower-case text."""
-    return F.array_distinct(F.split(text, f"[^{LETTERS}]+"))
+    """Title and body as one text with collapsed white space."""
+    return collapse(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("body", F.lit(""))))
 
 
 EVERY_WORD = tuple(dict.fromkeys(w for _, _, words in fixed.THEMES.values() for w in words))
@@ -37,31 +30,45 @@ PHRASES = [w for w in EVERY_WORD if w not in SINGLE and w not in INSIDE]
 
 
 def _forms() -> dict[str, list[str]]:
-    """The theme words of letters alone, by each of their inflections."""
+    """The theme words that a run of letters shows: words of letters alone by each of their inflections, phrases by
+    their longest run."""
     out: dict[str, list[str]] = {}
     for word in SINGLE:
         for ending in ("", *ENDINGS) if len(word) >= 4 else ("",):
             out.setdefault(word + ending, []).append(word)
+    for phrase in PHRASES:
+        out.setdefault(max(re.findall(f"[{LETTERS}]+", phrase), key=len), []).append(phrase)
     return out
 
 
-def matched_words(text: Column, letters: Column) -> Column:
-    """All theme words that a lower-case text with these tokens has.
+def matched_words(text: Column) -> Column:
+    """All theme words that a lower-case text with collapsed white space has.
 
-    Words of letters alone are looked up among the tokens, with their inflections; phrases are matched as patterns and
-    words of other scripts as substrings.
+    Words are looked up by the text's runs of letters; phrases found so must match their patterns. Words of other
+    scripts are substrings.
     """
     forms = _forms()
-    of = F.create_map(*(x for form, words in forms.items() for x in (F.lit(form), _strings(words))))
-    single = F.flatten(F.transform(F.array_intersect(letters, _strings(forms)), lambda t: F.element_at(of, t)))
-    inside = F.when(text.rlike(r"[^\x00-\x7F]"), F.filter(_strings(INSIDE), lambda w: text.contains(w))).otherwise(_strings([]))
-    phrases = F.array_compact(F.array(*(F.when(contains_word(text, w), F.lit(w)) for w in PHRASES)))
-    return F.concat(single, inside, phrases)
+    of = F.str_to_map(F.lit(",".join(f"{form}:{'|'.join(words)}" for form, words in forms.items())))
+    runs = F.array_intersect(strings(forms), F.split(text, APART))
+    found = F.flatten(F.transform(runs, lambda t: F.split(F.element_at(of, t), r"\|")))
+    pattern = F.str_to_map(F.lit("\n".join(f"{w}\t{word_pattern(w).replace(chr(92) + 's+', ' ')}" for w in PHRASES)), F.lit("\n"), F.lit("\t"))
+    words = F.filter(found, lambda w: ~F.map_contains_key(pattern, w) | F.rlike(text, F.element_at(pattern, w)))
+    inside = F.when(wide(text) & text.rlike(f"[ß{CJK}]"), F.filter(strings(INSIDE), lambda w: text.contains(w))).otherwise(strings([]))
+    return F.concat(words, inside)
+
+
+def rule_hits(rules) -> Column:
+    """The ids of the rules whose patterns a row matches, in order; for rows with_plain()."""
+    return matching(rules, F.col("_plain"), F.col("_folded"), F.col("_wide"), F.col("_dotted"))
+
 
+PLAIN = ("_plain", "_text", "_folded", "_wide", "_dotted")
 
-def rule_hits(text: Column, rules) -> Column:
-    """The ids of the rules whose patterns a text matches, in order."""
-    return F.array_compact(F.array(*(F.when(text.rlike(portable(p)), F.lit(i)) for i, p in rules)))
+
+def with_plain(rows: DataFrame) -> DataFrame:
+    """rows with what the rules look at."""
+    text = F.col("_plain")
+    return rows.withColumn("_plain", haystack()).withColumns({"_text": F.lower(text), "_folded": folded(text), "_wide": wide(text), "_dotted": dotted(text)})
 
 
 def hit(theme: str) -> Column:
@@ -84,14 +91,17 @@ def only_requested(theme: str) -> Column:
     """Whether a problem theme's words all name something that is asked for, in a review that asks."""
     if theme not in REQUESTABLE:
         return F.lit(False)
-    return asks() & has(theme) & (F.size(F.array_except(hit(theme), _strings(REQUESTABLE[theme]))) == 0)
+    return asks() & has(theme) & (F.size(F.array_except(hit(theme), strings(REQUESTABLE[theme]))) == 0)
 
 
 def with_themes(reviews: DataFrame) -> DataFrame:
     """reviews (title, body) with hits: a struct of the words found for each theme. Null texts have none."""
-    rows = reviews.withColumn("_text", haystack()).withColumn("_tokens", tokens(F.col("_text")))
-    rows = rows.withColumn("_words", matched_words(F.col("_text"), F.col("_tokens")))
-    return rows.withColumn("hits", F.struct(*(F.array_intersect(_strings(words), F.col("_words")).alias(t) for t, (_, _, words) in fixed.THEMES.items()))).drop("_text", "_tokens", "_words")
+    return _themed(with_plain(reviews)).drop(*PLAIN)
+
+
+def _themed(rows: DataFrame) -> DataFrame:
+    rows = rows.withColumn("_words", matched_words(F.col("_text")))
+    return rows.withColumn("hits", F.struct(*(F.array_intersect(strings(words), F.col("_words")).alias(t) for t, (_, _, words) in fixed.THEMES.items()))).drop("_words")
 
 
 def confidence(count: Column) -> Column:
@@ -104,16 +114,15 @@ def themes() -> Column:
     return F.filter(F.array(*every), lambda x: F.size(x["hits"]) > 0)
 
 
-def _plain() -> Column:
-    return collapse(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("body", F.lit(""))))
+def _linked(rows: DataFrame) -> DataFrame:
+    out = rows.withColumns({"_explicit": rule_hits(fixed.EXPLICIT_RULES), "_change": rule_hits(fixed.CHANGE_RULES)})
+    kind = F.when(F.size("_explicit") > 0, "explicit").when(F.size("_change") > 0, "change").otherwise("none")
+    return out.withColumn("link", F.struct(kind.alias("kind"), F.col("_explicit").alias("explicit_hits"), F.col("_change").alias("change_hits"))).drop("_explicit", "_change")
 
 
 def with_link(reviews: DataFrame) -> DataFrame:
     """reviews with link: (kind, explicit_hits, change_hits)."""
-    out = reviews.withColumn("_plain", _plain())
-    out = out.withColumn("_explicit", rule_hits(F.col("_plain"), fixed.EXPLICIT_RULES)).withColumn("_change", rule_hits(F.col("_plain"), fixed.CHANGE_RULES))
-    kind = F.when(F.size("_explicit") > 0, "explicit").when(F.size("_change") > 0, "change").otherwise("none")
-    return out.withColumn("link", F.struct(kind.alias("kind"), F.col("_explicit").alias("explicit_hits"), F.col("_change").alias("change_hits"))).drop("_plain", "_explicit", "_change")
+    return _linked(with_plain(reviews)).drop(*PLAIN)
 
 
 def _named(theme: str) -> Column:
@@ -122,12 +131,15 @@ def _named(theme: str) -> Column:
 
 def with_scope(classified: DataFrame) -> DataFrame:
     """A frame with hits gets scope: (primary, actionable, software, product_policy, community, support, software_themes)."""
-    out = classified.withColumn("_plain", _plain())
+    return _scoped(with_plain(classified)).drop(*PLAIN)
+
+
+def _scoped(rows: DataFrame) -> DataFrame:
     rules = {"_strong": fixed.SOFTWARE_RULES, "_community": fixed.COMMUNITY_RULES, "_support": fixed.SUPPORT_RULES, "_policy": fixed.POLICY_RULES}
-    out = out.withColumns({name: rule_hits(F.col("_plain"), r) for name, r in rules.items()})
+    out = rows.withColumns({name: rule_hits(r) for name, r in rules.items()})
 
     def usable(theme: str) -> Column:
-        left = lambda words: F.size(F.array_except(hit(theme), _strings(words))) > 0
+        left = lambda words: F.size(F.array_except(hit(theme), strings(words))) > 0
         if theme == "account":
             return left(fixed.AMBIGUOUS_ACCOUNT)
         if theme in REQUESTABLE:
@@ -156,9 +168,9 @@ def with_scope(classified: DataFrame) -> DataFrame:
         F.col("_support").alias("support"),
         F.col("_themes").alias("software_themes"),
     )
-    return out.withColumn("scope", scope).drop("_plain", "_themes", *rules)
+    return out.withColumn("scope", scope).drop("_themes", *rules)
 
 
 def classify(reviews: DataFrame) -> DataFrame:
     """reviews with hits, link and scope."""
-    return with_scope(with_link(with_themes(reviews)))
+    return _scoped(_linked(_themed(with_plain(reviews)))).drop(*PLAIN)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify as K
 from ..functions import fixed
+from ..functions.text import kept_apart, strings
 from ..functions.numeric import half_up, mean0, share, trend
 from .reviews import APP, best_evidence, evidence, iso, newest, top, with_anchor
 
@@ -66,7 +67,7 @@ def keywords(reviews: DataFrame, apps: DataFrame | None = None, limit: int = 20)
     apps (source, app_id, name, developer) names the terms to leave out. Ties are in order of appearance.
     """
     tokens = F.array_distinct(F.regexp_extract_all(F.lower("body"), F.lit(KEYWORD), F.lit(0)))
-    stop = F.array(*(F.lit(w) for w in fixed.KEYWORD_STOP_WORDS))
+    stop = strings(fixed.KEYWORD_STOP_WORDS)
     rows = reviews.where(low()).select(*APP, "created_at", "position", F.array_except(tokens, stop).alias("tokens"))
     if apps is not None:
         own = F.regexp_extract_all(F.lower(F.concat_ws(" ", F.coalesce("name", F.lit("")), F.coalesce("developer", F.lit("")))), F.lit(KEYWORD), F.lit(0))
@@ -77,13 +78,17 @@ def keywords(reviews: DataFrame, apps: DataFrame | None = None, limit: int = 20)
     return top(counts, APP, [F.desc("count"), F.asc("_seen")], limit).select(*APP, "term", "count", "rank")
 
 
-def _per_theme(df: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
-    """A row for each theme of columns named <theme>.<name>, where the theme's count is not 0."""
-    rows = [
-        F.struct(F.lit(i).alias("ordinal"), F.lit(t).alias("theme"), F.lit(label).alias("label"), F.lit(intent).alias("intent"), *(F.col(f"`{t}.{n}`").alias(n) for n in names))
-        for i, (t, (label, intent, _)) in enumerate(fixed.THEMES.items())
-    ]
-    return df.select(*keys, F.explode(F.filter(F.array(*rows), lambda x: x["count"] > 0)).alias("x")).select(*keys, "x.*")
+def _mentioned(classified: DataFrame, keys: list[str], *columns: str) -> DataFrame:
+    """keys, ordinal, theme, only_asked and these columns: a row for each review and theme that it mentions, of rows as
+    narrow as that. Reviews without a theme have none, so there are about as many rows as reviews."""
+    found = [F.when(K.has(t), F.struct(F.lit(i).alias("ordinal"), F.lit(t).alias("theme"), K.only_requested(t).alias("only_asked"))) for i, t in enumerate(fixed.THEMES)]
+    return classified.select(*keys, *columns, F.explode(F.array_compact(F.array(*found))).alias("x")).select(*keys, *columns, "x.*")
+
+
+def _described(rows: DataFrame) -> DataFrame:
+    """rows with label and intent of their theme."""
+    of = lambda k: F.element_at(F.str_to_map(F.lit("|".join(f"{t}:{about[k]}" for t, about in fixed.THEMES.items())), F.lit("[|]")), F.col("theme"))
+    return rows.withColumns({"label": of(0), "intent": of(1)})
 
 
 def theme_summary(classified: DataFrame) -> DataFrame:
@@ -91,27 +96,24 @@ def theme_summary(classified: DataFrame) -> DataFrame:
 
     Complaints are the low-rated mentions but those that only ask for something. negative_count counts complaints.
     """
-    dated = with_anchor(classified)
-    measures, names = [], []
-    for t in fixed.THEMES:
-        has, over = K.has(t), K.only_requested(t) & low()
-        complaint = has & low() & ~over
-        values = {
-            "count": _count(has),
-            "average": F.avg(F.when(has, F.col("rating"))),
-            "negative_count": _count(complaint & negative()),
-            "complaint_count": _count(complaint),
-            "complaint_average": F.avg(F.when(complaint, F.col("rating"))),
-            "request_overlap_count": _count(has & over),
-            "recent_count": _count(has & F.col("recent")),
-            "previous_count": _count(has & F.col("previous")),
-            "recent_complaint_count": _count(complaint & F.col("recent")),
-            "previous_complaint_count": _count(complaint & F.col("previous")),
-        }
-        names = list(values)
-        measures += [value.alias(f"{t}.{name}") for name, value in values.items()]
-    rows = _per_theme(dated.groupBy(*APP).agg(F.count("*").alias("total"), *measures), [*APP, "total"], names)
-    rows = rows.withColumns(
+    # Totals and anchors of all applications, a row each.
+    apps = classified.groupBy(*APP).agg(F.count("*").alias("total"), F.max(F.unix_millis("created_at")).alias("_anchor"))
+    dated = with_anchor(_mentioned(classified, APP, "rating", "created_at"), apps)
+    over = F.col("only_asked") & low()
+    complaint = low() & ~F.col("only_asked")
+    rows = dated.groupBy(*APP, "total", "ordinal", "theme").agg(
+        F.count("*").alias("count"),
+        F.avg("rating").alias("average"),
+        _count(complaint & negative()).alias("negative_count"),
+        _count(complaint).alias("complaint_count"),
+        F.avg(F.when(complaint, F.col("rating"))).alias("complaint_average"),
+        _count(over).alias("request_overlap_count"),
+        _count(F.col("recent")).alias("recent_count"),
+        _count(F.col("previous")).alias("previous_count"),
+        _count(complaint & F.col("recent")).alias("recent_complaint_count"),
+        _count(complaint & F.col("previous")).alias("previous_complaint_count"),
+    )
+    rows = _described(rows).withColumns(
         {
             "share": share(F.col("count"), F.col("total")),
             "average_rating": half_up(F.coalesce("average", F.lit(0.0)), 2),
@@ -171,13 +173,13 @@ def version_negative_evidence(reviews: DataFrame, count: int = 3) -> DataFrame:
 def version_theme_signals(classified: DataFrame) -> DataFrame:
     """A row for each version and theme: counts and shares. negative_count counts all negative mentions."""
     keys = [*APP, "app_version"]
-    measures = []
-    for t in fixed.THEMES:
-        has, over = K.has(t), K.only_requested(t) & low()
-        for name, condition in (("count", has), ("negative_count", has & negative()), ("complaint_count", has & low() & ~over), ("request_overlap_count", has & over)):
-            measures.append(_count(condition).alias(f"{t}.{name}"))
-    wide = classified.where("app_version is not null").groupBy(*keys).agg(F.count("*").alias("total"), *measures)
-    rows = _per_theme(wide, [*keys, "total"], ["count", "negative_count", "complaint_count", "request_overlap_count"])
+    versioned = classified.where("app_version is not null")
+    totals = versioned.groupBy(*keys).agg(F.count("*").alias("total"))
+    over = F.col("only_asked") & low()
+    rows = _mentioned(versioned, keys, "rating").groupBy(*keys, "ordinal", "theme").agg(
+        F.count("*").alias("count"), _count(negative()).alias("negative_count"), _count(low() & ~F.col("only_asked")).alias("complaint_count"), _count(over).alias("request_overlap_count")
+    )
+    rows = _described(rows.join(totals, keys))
     return rows.withColumns({"share": share(F.col("count"), F.col("total")), "complaint_share": share(F.col("complaint_count"), F.col("total"))}).drop("total")
 
 
@@ -208,7 +210,8 @@ def link_rank() -> Column:
 
 def release_link_evidence(classified: DataFrame, count: int = 4) -> DataFrame:
     """Linked low-rated reviews of each version, explicit ones first."""
-    return best_evidence(classified.where(low() & (F.col("link.kind") != "none") & F.col("app_version").isNotNull()), [*APP, "app_version"], count, [F.desc(link_rank())])
+    rows = kept_apart(classified.where(low() & F.col("app_version").isNotNull()), "link").where(F.col("link.kind") != "none")
+    return best_evidence(rows, [*APP, "app_version"], count, [F.desc(link_rank())])
 
 
 def version_scope_counts(classified: DataFrame) -> DataFrame:

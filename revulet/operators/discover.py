@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions import fixed
 from ..functions.numeric import half_up, mean0, share, trend
-from ..functions.text import CJK, LETTERS, stem
+from ..functions.text import CJK, LETTERS, kept_apart, stem, strings
 from ..storage import cut
 from .reviews import APP, DAY_MS, best_evidence, top
 
@@ -33,7 +33,7 @@ def composed(text: Column) -> Column:
 def features(text: Column) -> Column:
     """Features of a lower-case text, in order, as array of (feature, label): stems, pairs of neighbouring stems, and two
     and three letters of CJK runs. A stem's label is the word, a pair's the words."""
-    stop = F.array(*(F.lit(w) for w in _STOP))
+    stop = strings(_STOP)
     raw = F.regexp_extract_all(text, F.lit(f"[{LETTERS}][{LETTERS}'-]{{2,}}"), F.lit(0))
     pairs = F.transform(raw, lambda t: F.struct(stem(t).alias("feature"), t.alias("label")))
     tokens = F.filter(pairs, lambda t: (F.char_length(t["feature"]) >= 3) & ~F.array_contains(stop, t["feature"]))
@@ -52,7 +52,7 @@ def features(text: Column) -> Column:
 
 def phrase_features(reviews: DataFrame) -> DataFrame:
     """A row for each low-rated review and feature: keys, rating, created_at, position, feature, label, place."""
-    rows = reviews.where((F.col("rating") <= 3) & (F.col("body") != ""))
+    rows = kept_apart(reviews.where(F.col("rating") <= 3), "body").where("body <> ''")
     rows = rows.withColumn("_composed", composed(F.col("body"))).withColumn("features", features(F.lower("_composed"))).drop("_composed")
     flat = rows.select("*", F.posexplode("features").alias("place", "x")).select(*[c for c in rows.columns if c != "features"], "place", "x.feature", "x.label")
     # A review counts once for a feature, with the label it used last.

@@ -6,43 +6,53 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import whole
-from .reviews import APP, top
+from .reviews import APP
 
 KINDS = ("emerging", "pain", "regression", "opportunity", "baseline")
 
 
-def _finding(rows: DataFrame, kind: str, name: Column, severity: Column, statement: Column) -> DataFrame:
-    return rows.select(*APP, F.lit(KINDS.index(kind) + 1).alias("ordinal"), name.alias("id"), F.lit(kind).alias("kind"), severity.alias("severity"), statement.alias("statement"))
-
-
 def insights(themes: DataFrame, versions: DataFrame, samples: DataFrame) -> DataFrame:
     """ordinal, id, kind, severity, statement, of the theme, version and sample tables of aggregate.
 
-    The first theme or version in the tables' order that meets a rule stands for it. An application without any finding
-    gets the baseline.
+    The first theme or version in the tables' order that meets a rule stands for it: one aggregation over each table
+    finds all of them. An application without any finding gets the baseline.
     """
-    order = [F.desc("priority_score"), F.desc("count"), F.asc("ordinal")]
     problem, request = F.col("intent") == "problem", F.col("intent") == "request"
-    first = lambda rows: top(rows, APP, order, 1)
-    high = lambda c, other="medium": F.when(c, "high").otherwise(other)
-    percent = lambda c: whole(c * 100).cast("string")
-    growing = first(themes.where(problem & (F.col("recent_complaint_count") >= 2) & (F.col("complaint_trend_percent") > 20)))
-    painful = first(themes.where(problem & (F.col("negative_count") >= 2)))
-    asked = first(themes.where(request & (F.col("count") >= 2)))
-    worse = top(versions.where("count >= 3 and average_rating <= 2.8").withColumnRenamed("rank", "order"), APP, [F.asc("order")], 1)
-    sign = F.when(F.col("complaint_trend_percent") >= 0, "+").otherwise("")
-    found = _finding(
-        growing,
-        "emerging",
-        F.concat(F.lit("trend-"), "theme"),
-        high(F.col("complaint_average_rating") <= 2.2),
-        F.concat("label", F.lit(": "), F.col("recent_complaint_count").cast("string"), F.lit(" recent complaints, "), sign, F.col("complaint_trend_percent").cast("string"), F.lit("% against the window before")),
+    place = [(-F.col("priority_score")).alias("a"), (-F.col("count")).alias("b"), F.col("ordinal").alias("c")]
+    first = lambda condition, *order: F.min(F.when(condition, F.struct(*order)))
+    theme = (*place, "theme", "label", "count", "share", "negative_count", "complaint_count", "complaint_average_rating", "recent_complaint_count", "complaint_trend_percent")
+    of_themes = themes.groupBy(*APP).agg(
+        first(problem & (F.col("recent_complaint_count") >= 2) & (F.col("complaint_trend_percent") > 20), *theme).alias("growing"),
+        first(problem & (F.col("negative_count") >= 2), *theme).alias("painful"),
+        first(request & (F.col("count") >= 2), *theme).alias("asked"),
     )
-    worst = F.col("negative_count") >= F.greatest(F.lit(4.0), F.col("complaint_count") * F.lit(0.6))
-    found = found.unionByName(_finding(painful, "pain", F.concat(F.lit("pain-"), "theme"), high(worst), F.concat("label", F.lit(": "), F.col("negative_count").cast("string"), F.lit(" of "), F.col("complaint_count").cast("string"), F.lit(" complaints have one or two stars"))))
-    found = found.unionByName(
-        _finding(worse, "regression", F.concat(F.lit("version-"), "app_version"), high(F.col("average_rating") <= 2), F.concat(F.lit("Version "), "app_version", F.lit(": "), F.col("count").cast("string"), F.lit(" reviews, "), percent(F.col("negative_share")), F.lit("% with one or two stars")))
+    of_versions = versions.groupBy(*APP).agg(first((F.col("count") >= 3) & (F.col("average_rating") <= 2.8), "rank", "app_version", "count", "average_rating", "negative_share").alias("worse"))
+    rows = samples.where("total > 0").select(*APP, "total").join(of_themes, APP, "left").join(of_versions, APP, "left")
+
+    def finding(of: str, kind: str, name: Column, severity: Column, *statement: Column | str) -> Column:
+        words = F.concat(*(F.lit(x) if isinstance(x, str) else x.cast("string") for x in statement))
+        return F.when(F.col(of).isNotNull(), F.struct(F.lit(KINDS.index(kind) + 1).alias("ordinal"), name.alias("id"), F.lit(kind).alias("kind"), severity.alias("severity"), words.alias("statement")))
+
+    high = lambda c: F.when(c, "high").otherwise("medium")
+    percent = lambda c: whole(F.col(c) * 100)
+    worst = F.col("painful.negative_count") >= F.greatest(F.lit(4.0), F.col("painful.complaint_count") * F.lit(0.6))
+    sign = F.when(F.col("growing.complaint_trend_percent") >= 0, "+").otherwise("")
+    found = F.array_compact(
+        F.array(
+            finding(
+                "growing", "emerging", F.concat(F.lit("trend-"), "growing.theme"), high(F.col("growing.complaint_average_rating") <= 2.2),
+                F.col("growing.label"), ": ", F.col("growing.recent_complaint_count"), " recent complaints, ", sign, F.col("growing.complaint_trend_percent"), "% against the window before",
+            ),
+            finding(
+                "painful", "pain", F.concat(F.lit("pain-"), "painful.theme"), high(worst),
+                F.col("painful.label"), ": ", F.col("painful.negative_count"), " of ", F.col("painful.complaint_count"), " complaints have one or two stars",
+            ),
+            finding(
+                "worse", "regression", F.concat(F.lit("version-"), "worse.app_version"), high(F.col("worse.average_rating") <= 2),
+                "Version ", F.col("worse.app_version"), ": ", F.col("worse.count"), " reviews, ", percent("worse.negative_share"), "% with one or two stars",
+            ),
+            finding("asked", "opportunity", F.lit("feature-demand"), F.lit("low"), F.col("asked.count"), " reviews ask for something, ", percent("asked.share"), "% of the sample"),
+        )
     )
-    found = found.unionByName(_finding(asked, "opportunity", F.lit("feature-demand"), F.lit("low"), F.concat(F.col("count").cast("string"), F.lit(" reviews ask for something, "), percent(F.col("share")), F.lit("% of the sample"))))
-    calm = samples.where("total > 0").join(found.select(*APP).distinct(), APP, "left_anti")
-    return found.unionByName(_finding(calm, "baseline", F.lit("baseline"), F.lit("low"), F.concat(F.col("total").cast("string"), F.lit(" reviews show no concentrated risk"))))
+    calm = F.array(finding("total", "baseline", F.lit("baseline"), F.lit("low"), F.col("total"), " reviews show no concentrated risk"))
+    return rows.select(*APP, F.explode(F.when(F.size(found) > 0, found).otherwise(calm)).alias("x")).select(*APP, "x.*")

@@ -7,7 +7,7 @@ from datetime import datetime, timezone
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_text
+from ..functions.text import clean_text, kept_apart
 
 APP = ["source", "app_id"]
 KEY = [*APP, "review_id"]
@@ -26,47 +26,60 @@ def iso(time: Column) -> Column:
     return F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
-def normalize(raw: DataFrame, run_time: datetime | None = None) -> DataFrame:
-    """Records of any of the accepted shapes as reviews of 15 fields and ordinal.
-
-    Accepted are camel or snake case and the stores' own names (text, score, date, version, userName, thumbsUp, id).
-    Texts lose their markup; ratings are held to 1..5, 0 if not a number; dates that can't be read become run_time
-    (now, if not given). A missing review id is made of source, body and date. ordinal, the row's place in its source
-    and the last tie-break everywhere, is taken over if there, else numbered in file order.
-    """
+def _keyed(raw: DataFrame, run_time: datetime | None) -> DataFrame:
+    """Records of any of the accepted shapes with the fields of reviews, texts as they are."""
     moment = F.lit(run_time or datetime.now(timezone.utc)).cast("timestamp")
-    text = lambda c: F.coalesce(clean_text(c.cast("string")), F.lit(""))
-    when = lambda *names: F.coalesce(_first(raw, *names).cast("string").try_cast("timestamp"), moment)
-    number = lambda c: c.cast("string").try_cast("double")
-    some = lambda c: F.nullif(c, F.lit(""))
-    rating = number(_first(raw, "rating", "score"))
+    plain = lambda *names: _first(raw, *names).cast("string")
+    when = lambda *names: F.coalesce(plain(*names).try_cast("timestamp"), moment)
+    number = lambda *names: plain(*names).try_cast("double")
+    rating = number("rating", "score")
     fine = rating.isNotNull() & ~F.isnan(rating) & (F.abs(rating) != float("inf"))
-    helpful = number(_first(raw, "helpful_count", "helpfulCount", "thumbs_up", "thumbsUp"))
+    helpful = number("helpful_count", "helpfulCount", "thumbs_up", "thumbsUp")
     reply = _first(raw, "reply")
     if "reply" not in [c.lower() for c in raw.columns] and "replytext" in [c.lower() for c in raw.columns]:
-        reply = F.when(some(_first(raw, "replyText")).isNotNull(), F.struct(_first(raw, "replyText").cast("string").alias("body"), _first(raw, "replyDate").cast("string").alias("created_at")))
+        reply = F.when(F.nullif(_first(raw, "replyText"), F.lit("")).isNotNull(), F.struct(plain("replyText").alias("body"), plain("replyDate").alias("created_at")))
     out = raw.select(
-        F.coalesce(_first(raw, "source").cast("string"), F.lit("unknown")).alias("source"),
-        F.coalesce(_first(raw, "app_id", "appId").cast("string"), F.lit("unknown")).alias("app_id"),
-        _first(raw, "review_id", "reviewId", "id").cast("string").alias("review_id"),
-        text(_first(raw, "title")).alias("title"),
-        text(_first(raw, "body", "text")).alias("body"),
+        F.coalesce(plain("source"), F.lit("unknown")).alias("source"),
+        F.coalesce(plain("app_id", "appId"), F.lit("unknown")).alias("app_id"),
+        plain("review_id", "reviewId", "id").alias("review_id"),
+        plain("title").alias("title"),
+        plain("body", "text").alias("body"),
         F.when(fine, F.least(F.lit(5.0), F.greatest(F.lit(1.0), rating))).otherwise(F.lit(0.0)).alias("rating"),
-        _first(raw, "language").cast("string").alias("language"),
-        F.upper(_first(raw, "country").cast("string")).alias("country"),
-        some(text(_first(raw, "app_version", "appVersion", "version"))).alias("app_version"),
-        F.coalesce(some(text(_first(raw, "author", "user_name", "userName"))), F.lit("Anonymous")).alias("author"),
+        plain("language").alias("language"),
+        F.upper(plain("country")).alias("country"),
+        plain("app_version", "appVersion", "version").alias("app_version"),
+        plain("author", "user_name", "userName").alias("author"),
         F.when(helpful.isNull() | F.isnan(helpful), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), helpful)).alias("helpful_count"),
         reply.cast("struct<body:string,created_at:string>").alias("reply"),
-        _first(raw, "source_url", "sourceUrl").cast("string").alias("source_url"),
+        plain("source_url", "sourceUrl").alias("source_url"),
         when("created_at", "createdAt", "date", "updated_at", "updatedAt").alias("created_at"),
         when("updated_at", "updatedAt", "created_at", "createdAt", "date").alias("updated_at"),
         (F.col("ordinal").cast("long") if "ordinal" in raw.columns else F.monotonically_increasing_id()).alias("ordinal"),
     )
-    made = F.substring(F.sha2(F.concat_ws(":", "source", "body", iso(F.col("created_at"))), 256), 1, 24)
+    made = F.substring(F.sha2(F.concat_ws(":", "source", _text("body"), iso(F.col("created_at"))), 256), 1, 24)
     return out.withColumn("review_id", F.coalesce("review_id", made))
 
 
+def _text(name: str) -> Column:
+    return F.coalesce(clean_text(F.col(name)), F.lit(""))
+
+
+def _cleaned(rows: DataFrame) -> DataFrame:
+    some = lambda name: F.nullif(_text(name), F.lit(""))
+    return rows.withColumns({"title": _text("title"), "body": _text("body"), "app_version": some("app_version"), "author": F.coalesce(some("author"), F.lit("Anonymous"))})
+
+
+def normalize(raw: DataFrame, run_time: datetime | None = None) -> DataFrame:
+    """Records of any of the accepted shapes as reviews of 15 fields and ordinal.
+
+    Accepted are camel or snake case and the stores' own names (text, score, date, version, userName, thumbsUp, id).
+    Texts lose their markup; ratings are held to 1..5, 0 if not a number; dates that can't be read become run_time
+    (now, if not given). A missing review id is made of source, body and date. ordinal, the row's place in its source
+    and the last tie-break everywhere, is taken over if there, else numbered in file order.
+    """
+    return _cleaned(_keyed(raw, run_time))
+
+
 def deduplicate(reviews: DataFrame) -> DataFrame:
     """Of rows with the same (source, app_id, review_id) the one updated last, the first of equals.
 
@@ -77,18 +90,22 @@ def deduplicate(reviews: DataFrame) -> DataFrame:
     return reviews.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n").join(first, KEY)
 
 
+def latest(raw: DataFrame, run_time: datetime | None = None) -> DataFrame:
+    """Normalised and deduplicated reviews. Texts are cleaned behind the exchange, and of the kept rows alone."""
+    return _cleaned(deduplicate(_keyed(raw, run_time)))
+
+
 def clean(raw: DataFrame, run_time: datetime | None = None) -> DataFrame:
     """Normalised and deduplicated reviews that have a body."""
-    return deduplicate(normalize(raw, run_time)).where("body <> ''")
+    return kept_apart(latest(raw, run_time), "body").where("body <> ''")
 
 
-def with_anchor(reviews: DataFrame) -> DataFrame:
-    """reviews with recent and previous: whether they fall in the last 30 days up to the application's newest review,
-    or in the 30 days before. The anchors are one row for each application."""
-    anchors = reviews.groupBy(*APP).agg(F.max(F.unix_millis("created_at")).alias("_anchor"))
+def with_anchor(rows: DataFrame, apps: DataFrame) -> DataFrame:
+    """rows with all columns of apps but _anchor, and recent and previous: whether they fall in the last 30 days up to
+    the application's newest review (apps: a row each, _anchor in ms), or in the 30 days before."""
     age = F.col("_anchor") - F.unix_millis("created_at")
     recent, earlier = age <= 30 * DAY_MS, (age > 30 * DAY_MS) & (age <= 60 * DAY_MS)
-    return reviews.join(anchors, APP).withColumns({"recent": recent, "previous": earlier}).drop("_anchor")
+    return rows.join(apps, APP).withColumns({"recent": recent, "previous": earlier}).drop("_anchor")
 
 
 def excerpt(body: Column) -> Column:

@@ -102,7 +102,7 @@ _index = "(d * 5 + d // 24 + CASE WHEN again = 1 THEN 3 ELSE 0 END) % 16"
 CTES = {
     "raw": f"""SELECT d, again,
       CASE WHEN d % 2 = 0 THEN 'google-play' ELSE 'apple-app-store' END AS source, 'app-' || (d % 3) AS app_id, d::VARCHAR AS review_id, '' AS title,
-      {_list(t for t, _ in TEMPLATES)}[({_index}) + 1] || '. ' || substr(text, 1, 120) AS body, lang AS language,
+      {_list(t for t, _ in TEMPLATES)}[({_index}) + 1] || '. ' || text AS body, lang AS language,
       ['US', 'GB', 'CA', NULL][d % 4 + 1] AS country, 'user ' || (d % 17) AS author, (d * 7 % 43)::DOUBLE AS helpful_count,
       CASE WHEN d % 3 = 2 AND d < 30 THEN '5.0.0' ELSE ['4.10.0', '4.8.0', '4.7.2', NULL][(d // 6) % 4 + 1] END AS app_version,
       ({ANCHOR} - d * 5400) * 1000 AS created_ms, ({ANCHOR} - d * 5400 + CASE WHEN again = 1 THEN 86400 ELSE 0 END) * 1000 AS updated_ms,
@@ -170,6 +170,76 @@ CTES = {
 }
 
 
+def _mining(p: str, rows: str, limit: int) -> dict[str, str]:
+    """CTEs <p>_... that mine phrases of rows (source, app_id, review_id, body, rating, created_ms, position,
+    app_version): features, candidates, one round of selection after the other, and the issues."""
+    letters = LETTER
+    cut = lambda k: f"w[1:length(w) - {k}]"
+    stem = f"""CASE WHEN length(w) > 5 AND w LIKE '%ies' THEN {cut(3)} || 'y' ELSE
+      CASE WHEN length(c) >= 2 AND right(c, 1) BETWEEN 'a' AND 'z' AND right(c, 1) = left(right(c, 2), 1) THEN c[1:length(c) - 1] ELSE c END END"""
+    shorter = f"""CASE WHEN length(w) > 5 AND w LIKE '%ing' THEN {cut(3)}
+      WHEN length(w) > 4 AND w LIKE '%ed' THEN CASE WHEN regexp_matches({cut(2)}, '(at|iz)$') THEN {cut(2)} || 'e' ELSE {cut(2)} END
+      WHEN length(w) > 4 AND w LIKE '%es' THEN {cut(2)} WHEN length(w) > 4 AND w LIKE '%s' THEN {cut(1)} ELSE w END"""
+    stop = _list(fixed.PHRASE_STOP_WORDS)
+    cjk = r"\x{3400}-\x{9fff}\x{3040}-\x{30ff}"
+    own = f"{APP}, review_id, rating, created_ms, position, app_version"
+    out = {
+        "texts": f"SELECT {own}, lower(nfc_normalize(body)) AS t FROM {rows} WHERE rating <= 3 AND body <> ''",
+        "words": f"SELECT {own}, unnest(raw) AS label, generate_subscripts(raw, 1) AS i FROM (SELECT *, regexp_extract_all(t, '[{letters}][{letters}''-]{{2,}}') AS raw FROM {p}_texts)",
+        "stems": f"SELECT {own}, label, i, {stem} AS feature FROM (SELECT *, {shorter} AS c FROM (SELECT *, regexp_replace(label, '^''+|''+$', '', 'g') AS w FROM {p}_words))",
+        "tokens": f"SELECT *, lead(feature) OVER o AS feature2, lead(label) OVER o AS label2 FROM {p}_stems WHERE length(feature) >= 3 AND NOT list_contains({stop}, feature) WINDOW o AS (PARTITION BY {APP}, review_id ORDER BY i)",
+        "runs": f"SELECT {own}, unnest(raw) AS run, generate_subscripts(raw, 1) AS j FROM (SELECT *, regexp_extract_all(t, '[{cjk}]{{3,}}') AS raw FROM {p}_texts)",
+        "grams": f"SELECT {own}, substr(run, k, g) AS label, j * 1000000 + g * 100000 + k AS i FROM (SELECT *, unnest(range(1, length(run) - g + 2)) AS k FROM (SELECT *, unnest([2, 3]) AS g FROM {p}_runs))",
+        "every": f"""SELECT {own}, feature, label, i AS place FROM {p}_tokens
+          UNION ALL SELECT {own}, feature || ' ' || feature2, label || ' ' || label2, 1000000000000 + i FROM {p}_tokens WHERE feature2 IS NOT NULL
+          UNION ALL SELECT {own}, label, label, 2000000000000 + i FROM {p}_grams WHERE NOT list_contains({stop}, label)""",
+        "flat": f"SELECT {own}, feature, min(place) AS place, arg_max(label, place) AS label FROM {p}_every GROUP BY {own}, feature",
+        "sizes": f"SELECT {APP}, count(DISTINCT review_id) AS documents FROM {p}_flat GROUP BY {APP} HAVING documents >= 2",
+        "counted": f"SELECT {APP}, feature, count(*) AS count, {_rnd('avg(rating)', 2)} AS average_rating, min((-created_ms, position, place)) AS seen FROM {p}_flat WHERE contains(feature, ' ') OR regexp_matches(feature, '[{cjk}]') GROUP BY {APP}, feature",
+        "left0": f"""SELECT {APP}, feature, count, average_rating, seen, {_rnd("count * (6 - average_rating) * (ln((documents + 1) / (count + 0.5::DOUBLE)) + 1) * CASE WHEN contains(feature, ' ') THEN 1.35::DOUBLE ELSE 1 END", 3)} AS score
+          FROM {p}_counted JOIN {p}_sizes USING ({APP}) WHERE count >= 2 AND count <= greatest(3, ceil(documents * 0.8::DOUBLE))""",
+    }
+    for k in range(1, limit + 1):
+        out[f"best{k}"] = f"SELECT *, {k} AS rank FROM {p}_left{k - 1} QUALIFY row_number() OVER (PARTITION BY {APP} ORDER BY score DESC, count DESC, seen) = 1"
+        out[f"common{k}"] = f"""SELECT x.source, x.app_id, x.feature, count(*) AS common FROM {p}_flat x JOIN {p}_flat y ON x.source = y.source AND x.app_id = y.app_id AND x.review_id = y.review_id
+          JOIN {p}_best{k} b ON b.source = y.source AND b.app_id = y.app_id AND b.feature = y.feature GROUP BY ALL"""
+        out[f"left{k}"] = f"""SELECT l.* FROM {p}_left{k - 1} l JOIN {p}_best{k} b USING ({APP}) LEFT JOIN {p}_common{k} c USING ({APP}, feature)
+          WHERE coalesce(c.common, 0)::DOUBLE / least(l.count, b.count) < 0.65::DOUBLE""".replace("USING (source, app_id, feature)", "ON c.source = l.source AND c.app_id = l.app_id AND c.feature = l.feature")
+    out["chosen"] = " UNION ALL ".join(f"SELECT * FROM {p}_best{k}" for k in range(1, limit + 1))
+    out["items"] = f"SELECT f.*, 'discovered-' || substr(sha256(f.feature), 1, 12) AS id FROM {p}_flat f JOIN {p}_chosen USING ({APP}, feature)"
+    out["labels"] = f"SELECT {APP}, feature, label FROM (SELECT {APP}, feature, label, count(*) AS uses, min((-created_ms, position)) AS first FROM {p}_items GROUP BY {APP}, feature, label) QUALIFY row_number() OVER (PARTITION BY {APP}, feature ORDER BY uses DESC, length(label) DESC, first) = 1"
+    return {f"{p}_{name}": sql for name, sql in out.items()}
+
+
+_THEMELESS = " AND ".join(f"len({_col(t)}) = 0" for t in THEMES)
+CTES |= {"unthemed": f"SELECT * FROM hits WHERE {_THEMELESS}"}
+CTES |= _mining("m", "unthemed", 6)
+CTES |= {
+    "issues": f"""SELECT {APP}, id, label, feature AS fingerprint, count, {_share("count", "total")} AS share, average_rating, recent_count, previous_count, {_trend("recent_count", "previous_count")} AS trend_percent, score, rank
+      FROM (SELECT {APP}, feature, any_value(id) AS id, count(*) FILTER (anchor - created_ms <= 2592000000) AS recent_count, count(*) FILTER (anchor - created_ms > 2592000000 AND anchor - created_ms <= 5184000000) AS previous_count
+        FROM m_items JOIN anchors USING ({APP}) GROUP BY {APP}, feature) JOIN m_chosen USING ({APP}, feature) JOIN m_labels USING ({APP}, feature) JOIN anchors USING ({APP})""",
+    "issue_changes0": f"""SELECT i.source, i.app_id, i.id, i.label, i.rank, count(*) FILTER (m.app_version = p.current_version) AS count, count(*) FILTER (m.app_version = p.baseline_version) AS baseline_count,
+      any_value(p.current_count) AS size, any_value(p.baseline_count) AS size0 FROM issues i JOIN compared p USING ({APP}) JOIN m_items m USING ({APP}, id) GROUP BY ALL""",
+    "issue_changes": f"""SELECT {APP}, id, label, rank, count, baseline_count, {_rnd("count::DOUBLE / size", 3)} AS current_share, {_rnd("baseline_count::DOUBLE / size0", 3)} AS baseline_share, {_rnd("count::DOUBLE / size - baseline_count::DOUBLE / size0", 3)} AS share_increase FROM issue_changes0""",
+    "all_violations": f"""SELECT * FROM violations UNION ALL SELECT {APP}, 4, id, CASE WHEN baseline_count = 0 THEN 'high' ELSE 'medium' END, share_increase, 0.05::DOUBLE, 'share' FROM issue_changes WHERE count >= 3 AND share_increase > 0.05::DOUBLE""",
+    "low_totals": f"SELECT {APP}, app_version, count(*) AS total FROM scopes WHERE rating <= 3 AND app_version IS NOT NULL GROUP BY ALL",
+    "known": f"""SELECT {APP}, app_version, 'software-' || theme AS id, 'known-theme' AS kind, label, n AS count, {_share('n', 'total')} AS share, l AS release_linked_count, e AS explicit_release_count, l >= 2 AND e >= 1 AS supported FROM (
+      SELECT {APP}, app_version, theme, count(*) AS n, count(*) FILTER (kind <> 'none') AS l, count(*) FILTER (kind = 'explicit') AS e FROM (SELECT *, unnest(software_themes) AS theme FROM scopes WHERE rating <= 3 AND scope = 'software' AND app_version IS NOT NULL) GROUP BY ALL HAVING n >= 2)
+      JOIN low_totals USING ({APP}, app_version) JOIN (VALUES {", ".join(f"({_q(t)}, {_q(fixed.THEMES[t][0])})" for t in THEMES)}) x(theme, label) USING (theme)""",
+    "unexplained": "SELECT * REPLACE (app_id || ' @ ' || app_version AS app_id) FROM scopes WHERE rating <= 3 AND app_version IS NOT NULL AND scope = 'software' AND len(software_themes) = 0 AND kind = 'explicit'",
+}
+CTES |= _mining("v", "unexplained", 4)
+CTES |= {
+    "actionable": f"""SELECT * FROM known UNION ALL SELECT source, split_part(v.app_id, ' @ ', 1), split_part(v.app_id, ' @ ', 2), 'software-discovered-' || substr(sha256(feature), 1, 12), 'discovered', label, count, {_share("count", "total")}, count, count, count >= 2
+      FROM v_chosen v JOIN v_labels USING ({APP}, feature) JOIN (SELECT source, app_id || ' @ ' || app_version AS app_id, total FROM low_totals) USING ({APP})""",
+    "all_verdicts": f"""SELECT {APP}, status, CASE WHEN status <> 'fail' THEN 'observe' WHEN supported_issues > 0 THEN 'software-regression' ELSE 'manual-review' END AS decision, status = 'fail' AS blocking, reason, current_version, current_count,
+      coalesce(baseline_version, candidate_version) AS baseline_version, rating_drop, negative_share_increase, violations, supported_issues FROM (
+      SELECT r.*, p.rating_drop, p.negative_share_increase, coalesce(v.n, 0) AS violations, coalesce(a.n, 0) AS supported_issues, CASE WHEN r.reason IS NOT NULL THEN 'insufficient-data' WHEN coalesce(v.n, 0) > 0 THEN 'fail' ELSE 'pass' END AS status
+      FROM ready r LEFT JOIN compared p USING ({APP}) LEFT JOIN (SELECT {APP}, count(*) AS n FROM all_violations GROUP BY ALL) v USING ({APP})
+      LEFT JOIN (SELECT {APP}, app_version AS current_version, count(*) AS n FROM actionable WHERE supported GROUP BY ALL) a ON a.source = r.source AND a.app_id = r.app_id AND a.current_version = r.current_version)""",
+}
+
+
 def _top(rows: str, keys: str, order: str, count: int, select: str) -> str:
     return f"SELECT {select}, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY {order}) AS rank FROM {rows}) WHERE rank <= {count}"
 
@@ -227,9 +297,14 @@ QUERIES = {
     "version_scope_counts": f"SELECT {APP}, app_version, s AS scope, count(*) FILTER (rating <= 3 AND scope = s) AS count, {_share('count(*) FILTER (rating <= 3 AND scope = s)', 'count(*) FILTER (rating <= 3)')} AS share FROM scopes, (SELECT unnest({_list(fixed.SCOPES)}) AS s) WHERE app_version IS NOT NULL GROUP BY {APP}, app_version, s",
     "version_actionability": f"SELECT {APP}, app_version, count(*) FILTER (rating <= 3) AS low_rating_count, count(*) FILTER ({_SOFT}) AS software_count, count(*) FILTER ({_SOFT} AND kind <> 'none') AS release_linked_software_count, count(*) FILTER ({_SOFT} AND kind = 'explicit') AS explicit_release_software_count, {_share(f'count(*) FILTER ({_SOFT})', 'count(*) FILTER (rating <= 3)')} AS software_share FROM scopes WHERE app_version IS NOT NULL GROUP BY {APP}, app_version",
     "scope_evidence": _top("(SELECT *, scope AS category FROM scopes WHERE rating <= 3 AND app_version IS NOT NULL)", f"{APP}, app_version, category", f"{SCORE} DESC, {NEWEST}", 3, f"{APP}, app_version, category, review_id"),
-    "actionable_known_issues": f"""SELECT {APP}, app_version, 'software-' || theme AS id, 'known-theme' AS kind, label, n AS count, {_share('n', 'total')} AS share, l AS release_linked_count, e AS explicit_release_count, l >= 2 AND e >= 1 AS supported FROM (
-      SELECT {APP}, app_version, theme, count(*) AS n, count(*) FILTER (kind <> 'none') AS l, count(*) FILTER (kind = 'explicit') AS e FROM (SELECT *, unnest(software_themes) AS theme FROM scopes WHERE {_SOFT} AND app_version IS NOT NULL) GROUP BY ALL HAVING n >= 2)
-      JOIN (SELECT {APP}, app_version, count(*) AS total FROM scopes WHERE rating <= 3 GROUP BY ALL) USING ({APP}, app_version) JOIN (VALUES {", ".join(f"({_q(t)}, {_q(fixed.THEMES[t][0])})" for t in THEMES)}) x(theme, label) USING (theme)""",
+    "actionable_known_issues": "SELECT * FROM known",
+    "actionable_issues": "SELECT * FROM actionable",
+    "phrase_features_df": f"SELECT {APP}, feature, count(*) AS df FROM m_flat GROUP BY ALL",
+    "phrase_candidates": f"SELECT {APP}, feature, count, average_rating, score FROM m_left0",
+    "discovered_issues": "SELECT * FROM issues",
+    "regression_issue_changes": "SELECT * FROM issue_changes",
+    "regression_violations": "SELECT * FROM all_violations",
+    "regression_verdict": "SELECT * FROM all_verdicts",
     "keyword_top20": f"""SELECT {APP}, term, count, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY {APP} ORDER BY count DESC, seen) AS rank FROM (
       SELECT {APP}, term, count(*) AS count, min((-created_ms, position, place)) AS seen FROM (
         SELECT {APP}, review_id, created_ms, position, term, min(i) AS place FROM (SELECT *, unnest(tokens) AS term, generate_subscripts(tokens, 1) AS i FROM (SELECT *, regexp_extract_all(lower(body), '{KEYWORD}') AS tokens FROM reviews WHERE rating <= 3)) GROUP BY ALL)
@@ -248,16 +323,16 @@ QUERIES = {
     "regression_theme_changes": "SELECT * FROM changes",
     "regression_theme_violations": "SELECT * FROM violations",
     "cohort_summary": f"""SELECT level, name, total, passed, failed, insufficient, 0::BIGINT AS errors, total AS completed, passed + failed AS decidable, {_rnd('(passed + failed)::DOUBLE / total', 3, False)} AS decidable_rate FROM (
-      SELECT CASE WHEN source IS NULL THEN 'all' ELSE 'store' END AS level, * EXCLUDE (source) FROM ({_GROUP} FROM verdicts GROUP BY GROUPING SETS ((source), ()))
-      UNION ALL SELECT 'storefront', * EXCLUDE (source) FROM ({_GROUP.replace("source, coalesce(source, 'all')", "'' AS source, 'unknown'")} FROM verdicts))""",
-    "cohort_violation_counts": "SELECT id, count(*) AS cases FROM violations GROUP BY id",
+      SELECT CASE WHEN source IS NULL THEN 'all' ELSE 'store' END AS level, * EXCLUDE (source) FROM ({_GROUP} FROM all_verdicts GROUP BY GROUPING SETS ((source), ()))
+      UNION ALL SELECT 'storefront', * EXCLUDE (source) FROM ({_GROUP.replace("source, coalesce(source, 'all')", "'' AS source, 'unknown'")} FROM all_verdicts))""",
+    "cohort_violation_counts": "SELECT id, count(*) AS cases FROM all_violations GROUP BY id",
     "cohort_insufficient_reasons": "SELECT reason, count(*) AS cases FROM verdicts WHERE status = 'insufficient-data' GROUP BY reason",
     "cohort_coverage": f"SELECT {APP}, count(*) AS complaints, count(*) FILTER ({' OR '.join(f'len({_col(t)}) > 0' for t in THEMES)}) AS matched, {_share('count(*) FILTER (' + ' OR '.join(f'len({_col(t)}) > 0' for t in THEMES) + ')', 'count(*)')} AS rate FROM hits JOIN (SELECT {APP}, current_version AS app_version FROM ready) USING ({APP}, app_version) WHERE rating <= 3 GROUP BY {APP}",
     "classifier_confusion": "SELECT * FROM confusion",
     "classifier_micro_metrics": f"""SELECT level, name, tp, fp, fn, {_metric('tp', 'tp + fp')} AS "precision", {_metric('tp', 'tp + fn')} AS recall, {_metric('2 * tp', '2 * tp + fp + fn')} AS f1 FROM (
       SELECT CASE WHEN label IS NOT NULL THEN 'label' WHEN language IS NOT NULL THEN 'language' ELSE 'all' END AS level, coalesce(label, language, 'all') AS name, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn FROM confusion GROUP BY GROUPING SETS ((label), (language), ()))""",
     "classifier_exact_match": f"SELECT coalesce(language, 'all') AS language, count(*) AS examples, count(*) FILTER (list_sort(predicted) = list_sort(expected)) AS exact, {_metric('count(*) FILTER (list_sort(predicted) = list_sort(expected))', 'count(*)')} AS exact_match FROM examples GROUP BY GROUPING SETS ((language), ())",
-    "csv_cells_guarded": "SELECT doc_id, CASE WHEN left(c, 1) IN ('=', '+', '-', '@') THEN '''' || c ELSE c END AS cell FROM (SELECT doc_id, ['=', '+', '-', '@', '\"', ''][doc_id % 6 + 1] || substr(text, 1, 60) AS c FROM documents)",
+    "csv_cells_guarded": "SELECT doc_id, CASE WHEN left(c, 1) IN ('=', '+', '-', '@') THEN '''' || c ELSE c END AS cell FROM (SELECT doc_id, ['=', '+', '-', '@', '\"', ''][doc_id % 6 + 1] || text AS c FROM documents)",
 }
 
 
@@ -277,7 +352,7 @@ def _needed(sql: str) -> list[str]:
 def oracle_sql() -> dict[str, str]:
     out = {}
     for key, sql in QUERIES.items():
-        parts = [f"{name} AS ({CTES[name]})" for name in _needed(sql)]
+        parts = [f"{name} AS MATERIALIZED ({CTES[name]})" for name in _needed(sql)]
         body = sql
         if body.startswith("WITH "):
             head, body = body[5:].split(")\n      SELECT", 1)

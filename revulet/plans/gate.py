@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify as K
 from ..functions import fixed
+from ..functions.text import kept_apart
 from ..operators import aggregate as A
 from ..operators import discover as D
 from ..operators import regression as R
@@ -20,7 +21,7 @@ def unclassified(classified: DataFrame) -> DataFrame:
     known = F.lit(False)
     for theme in fixed.THEMES:
         known = known | K.has(theme)
-    return classified.where(~known)
+    return kept_apart(classified, "hits").where(~known)
 
 
 def app_totals(reviews: DataFrame) -> DataFrame:

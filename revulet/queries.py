@@ -14,9 +14,10 @@ from .functions.text import clean_text
 from .operators import aggregate as A
 from .operators import cohort, compare, discover, evaluate, provenance, regression
 from .operators import insights as insight_rules
-from .operators.reviews import APP, clean, deduplicate, iso, normalize
+from .operators.reviews import APP, clean, iso, latest, normalize
 from .plans import gate
 from .sources.store_urls import source_ref
+from .storage import cut
 
 RUN = datetime(2024, 4, 1, tzinfo=timezone.utc)
 POLICY = regression.Policy(min_version_reviews=5)
@@ -68,7 +69,7 @@ def parse_page_source_refs(spark, d):
 
 @query
 def dedupe_latest(spark, d):
-    rows = deduplicate(normalize(raw_reviews(spark, d), RUN))
+    rows = latest(raw_reviews(spark, d), RUN)
     return rows.select(*APP, "review_id", "body", iso(F.col("updated_at")).alias("updated"), "ordinal", "position")
 
 
@@ -202,7 +203,7 @@ def actionable_known_issues(spark, d):
 
 @query
 def actionable_issues(spark, d):
-    return gate.actionable_issues(classified(spark, d))
+    return gate.actionable_issues(cut(classified(spark, d)))
 
 
 def _apps(spark):
