@@ -142,7 +142,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, period: int = PERIOD,
     own = marked.where("copy is null").select("doc_id", "text")
     anchors = own.mapInArrow(lambda it: _anchors(it, window, period, False), "anchor long, doc_id long, place int")
     distinct = own.mapInArrow(lambda it: _anchors(it, window, period, True), "anchor long")
-    shared = distinct.groupBy("anchor").agg(F.count("*").alias("docs")).where("docs > 1").select("anchor")
+    # An exchange of its own, so that the join can split an anchor that very many documents hold.
+    shared = distinct.groupBy("anchor").agg(F.count("*").alias("docs")).where("docs > 1").select("anchor").repartition("anchor")
     places = anchors.join(shared, "anchor").groupBy("doc_id").agg(F.collect_list("place").alias("places"))
     candidates = own.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(lambda it: _windows(it, window, period), "one long, two int, doc_id long")
     # The first document of each window owns it, and a document loses those that it doesn't own. So what goes back to
