@@ -3,8 +3,10 @@
 Each task takes its candidate vectors in blocks. A block has a list for each component, sorted by value: read from the
 top for queries whose weight is positive, from the bottom for negative ones. After reading all lists to a depth, a
 candidate's score lies between a lower bound (unread components at the list's far end) and an upper bound (unread
-components at the last value read). A query stops when no candidate outside those kept can reach its k-th best lower
-bound; the kept ones' lists are then read on until their scores are exact. Queries go out in blocks of bounded size.
+components at the last value read). A candidate is out once its upper bound is below the k-th best of all lower bounds
+and of the scores known from earlier blocks. For those that are still in, the lists are read on, at last to their
+ends, where both bounds are the score. Where the first depth rules out next to nothing (vectors of many independent
+components), reading goes on to the ends at once. Queries go out in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -19,8 +21,8 @@ from pyspark.sql import functions as F
 K, SCALE, EVERY = 10, 1024, 100
 #: Queries that are broadcast at once, and candidates in a block.
 QUERY_BLOCK, BLOCK = 4096, 4096
-#: Parts of a list that are read before bounds are compared.
-DEPTHS = (0.25, 0.6)
+#: Parts of a list to which it is read before bounds are compared, and the share that the first must rule out.
+DEPTHS, TELLING = (0.05, 0.2, 0.5), 0.05
 SCHEMA = "query_id long, vec_id long, score long"
 
 
@@ -57,45 +59,49 @@ class Search:
         self.best = np.full((len(ids), k), np.iinfo(np.int64).max)
 
     def add(self, ids: np.ndarray, x: np.ndarray) -> None:
+        """Takes a block of candidates in."""
         n, k = len(ids), self.k
-        own = self.ids[:, None] == ids[None, :]
-        if n <= 4 * k or not x.shape[1]:
-            self._merge(ids, np.ones_like(own) & ~own, x)
+        if not n:
             return
         lists = np.sort(x, axis=0)
-        alive = ~own
-        for depth in DEPTHS:
+        alive = self.ids[:, None] != ids[None, :]
+        for depth in DEPTHS if n > 4 * k else ():
             read = max(k, int(depth * n))
-            top, bottom = lists[n - read], lists[read - 1]
-            upper = self.up @ np.maximum(x, top).T + self.down @ np.minimum(x, bottom).T
-            lower = self.up @ np.where(x >= top, x, lists[0]).T + self.down @ np.where(x <= bottom, x, lists[-1]).T
-            lower[~alive] = -np.inf
-            # The k-th best of what is known: exact scores from earlier blocks and lower bounds of this one.
-            bounds = np.concatenate([self.score, np.partition(lower, n - k, axis=1)[:, n - k :]], axis=1)
-            need = np.partition(bounds, k, axis=1)[:, k]
-            alive &= upper >= need[:, None]
-            if alive.sum() <= 2 * k * len(self.ids):
+            still = np.flatnonzero(alive.any(axis=0))
+            lower, upper = self._bounds(x[still], lists, read)
+            lower[~alive[:, still]] = -np.inf
+            best = np.partition(lower, len(still) - k, axis=1)[:, len(still) - k :] if len(still) > k else lower
+            known = np.concatenate([self.score, best], axis=1)
+            need = np.partition(known, known.shape[1] - k, axis=1)[:, known.shape[1] - k]
+            out = alive[:, still] & (upper < need[:, None])
+            share = out.sum() / max(alive.sum(), 1)
+            alive[:, still] &= ~out
+            if share < TELLING or not alive.any():
                 break
-        self._merge(ids, alive, x)
-
-    def _merge(self, ids: np.ndarray, alive: np.ndarray, x: np.ndarray) -> None:
-        """Reads on for the candidates that are alive, until their scores are exact, and keeps the best k."""
-        if alive.mean() > 0.05:
-            scores = np.where(alive, self.queries @ x.T, -np.inf)
-            n = scores.shape[1]
-            kth = np.partition(scores, n - self.k, axis=1)[:, n - self.k] if n > self.k else np.full(len(scores), -np.inf)
-            q, c = np.nonzero(alive & (scores >= kth[:, None]))
-            value = scores[q, c]
-        else:
-            q, c = np.nonzero(alive)
-            value = np.einsum("ij,ij->i", self.queries[q], x[c])
-        q = np.concatenate([np.repeat(np.arange(len(self.ids)), self.k), q])
+        still = np.flatnonzero(alive.any(axis=0))
+        score, _ = self._bounds(x[still], lists, n)
+        self._merge(ids[still], np.where(alive[:, still], score, -np.inf))
+
+    def _bounds(self, x: np.ndarray, lists: np.ndarray, read: int) -> tuple[np.ndarray, np.ndarray]:
+        """Bounds of the candidates' scores after reading so many entries of each list; equal at the lists' ends."""
+        top, bottom = lists[len(lists) - read], lists[read - 1]
+        upper = self.up @ np.maximum(x, top).T + self.down @ np.minimum(x, bottom).T
+        if read == len(lists):
+            return upper, upper
+        lower = self.up @ np.where(x >= top, x, lists[0]).T + self.down @ np.where(x <= bottom, x, lists[-1]).T
+        return lower, upper
+
+    def _merge(self, ids: np.ndarray, score: np.ndarray) -> None:
+        """Keeps the best k of these scores and those known; of equal scores, the smaller id."""
+        n = score.shape[1]
+        kth = np.partition(score, n - self.k, axis=1)[:, n - self.k] if n > self.k else np.full(len(score), -np.inf)
+        q, c = np.nonzero(np.isfinite(score) & (score >= np.maximum(kth, self.score.min(axis=1))[:, None]))
+        value = np.concatenate([self.score.ravel(), score[q, c]])
         who = np.concatenate([self.best.ravel(), ids[c]])
-        value = np.concatenate([self.score.ravel(), value])
+        q = np.concatenate([np.repeat(np.arange(len(self.ids)), self.k), q])
         order = np.lexsort((who, -value, q))
         q, who, value = q[order], who[order], value[order]
-        first = np.searchsorted(q, np.arange(len(self.ids)))
-        at = first[:, None] + np.arange(self.k)
+        at = np.searchsorted(q, np.arange(len(self.ids)))[:, None] + np.arange(self.k)
         self.best, self.score = who[at], value[at]
 
     def rows(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:

@@ -7,7 +7,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from revulet.llm import decontaminate, html_text, language_id, near_dedup, packing, quality, substring_dedup, suffix_dedup, token_counts, top_k
 
 #: Names that operators use inside.
@@ -340,18 +339,3 @@ def test_html_shown_elements():
 <select><option>one<option>two</select><map name=m>mapped<area></map><xmp><b> &amp;</xmp>end<datalist><option>no</datalist>"""
     text = html_text.extract(page)
     assert [x for x in ("x", "label", "one", "two", "mapped", "<b> &amp;", "end") if x not in text] == [] and "no" not in text
-
-
-def test_pipeline(spark, small):
-    docs = spark.read.parquet(f"{small}/documents.parquet")
-    names = [name for name, _ in corpus_pipeline.STAGES]
-    assert names == ["quality", "near_duplicates", "substrings", "decontamination", "packing"]
-    before = docs
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        after = stage(spark, before, small)
-        assert after.columns == docs.columns
-        ids = {r.doc_id for r in after.select("doc_id").collect()}
-        assert ids <= {r.doc_id for r in before.select("doc_id").collect()} and len(ids) > 100
-        before = after
-    rows = corpus_pipeline.run(spark, small).collect()
-    assert {r.doc_id for r in rows} == ids
