@@ -136,14 +136,13 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, period: int = PERIOD,
     # Whole copies: all but the first lose all their words, so only the first offers anchors and windows. Every step
     # that needs texts reads them from the one exchange by doc_id.
     digest = rows.select("doc_id", F.md5("text").alias("digest"))
-    first = digest.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = C.counted_apart(digest, ["digest"], F.min("doc_id").alias("first")).where("n > 1")
     copies = digest.join(first, "digest").where("doc_id > first").select("doc_id", F.lit(True).alias("copy"))
     marked = rows.join(copies, "doc_id", "left")
     own = marked.where("copy is null").select("doc_id", "text")
     anchors = own.mapInArrow(lambda it: _anchors(it, window, period, False), "anchor long, doc_id long, place int")
     distinct = own.mapInArrow(lambda it: _anchors(it, window, period, True), "anchor long")
-    # An exchange of its own, so that the join can split an anchor that very many documents hold.
-    shared = distinct.groupBy("anchor").agg(F.count("*").alias("docs")).where("docs > 1").select("anchor").repartition("anchor")
+    shared = C.counted_apart(distinct, ["anchor"]).where("n > 1").select("anchor")
     places = anchors.join(shared, "anchor").groupBy("doc_id").agg(F.collect_list("place").alias("places"))
     candidates = own.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(lambda it: _windows(it, window, period), "one long, two int, doc_id long")
     # The first document of each window owns it, and a document loses those that it doesn't own. So what goes back to
