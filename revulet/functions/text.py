@@ -78,22 +78,25 @@ def contains_word(haystack: Column, word: str) -> Column:
 
 def stem(token: Column) -> Column:
     """A light English stem: plural, -ing, -ed and -es endings, then a doubled last letter."""
-    w = F.regexp_replace(token, "^'+|'+$", "")
-    n = F.char_length(w)
-
-    def less(k: int) -> Column:
-        return F.substring(w, F.lit(1), n - k)
-
-    ed = F.when(less(2).rlike("(at|iz)$"), F.concat(less(2), F.lit("e"))).otherwise(less(2))
-    cut = (
-        F.when((n > 5) & w.endswith("ing"), less(3))
-        .when((n > 4) & w.endswith("ed"), ed)
-        .when((n > 4) & w.endswith("es"), less(2))
-        .when((n > 4) & w.endswith("s"), less(1))
-        .otherwise(w)
-    )
-    single = F.regexp_replace(cut, r"([a-z])\1$", "$1")
-    return F.when((n > 5) & w.endswith("ies"), F.concat(less(3), F.lit("y"))).otherwise(single)
+    last = lambda w, k: F.substring(w, F.lit(-k), F.lit(1))
+
+    def single(w: Column) -> Column:
+        return F.when((F.char_length(w) > 1) & (last(w, 1) == last(w, 2)) & last(w, 1).between("a", "z"), F.substring(w, F.lit(1), F.char_length(w) - 1)).otherwise(w)
+
+    def cut(w: Column) -> Column:
+        n = F.char_length(w)
+        less = lambda k: F.substring(w, F.lit(1), n - k)
+        ed = F.when(less(2).endswith("at") | less(2).endswith("iz"), F.concat(less(2), F.lit("e"))).otherwise(less(2))
+        shorter = (
+            F.when((n > 5) & w.endswith("ing"), less(3))
+            .when((n > 4) & w.endswith("ed"), ed)
+            .when((n > 4) & w.endswith("es"), less(2))
+            .when((n > 4) & w.endswith("s"), less(1))
+            .otherwise(w)
+        )
+        return F.when((n > 5) & w.endswith("ies"), F.concat(less(3), F.lit("y"))).otherwise(once(shorter, single))
+
+    return once(F.when(token.contains("'"), F.regexp_replace(token, "^'+|'+$", "")).otherwise(token), cut)
 
 
 def kept_apart(rows: DataFrame, *names: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions import fixed
 from ..functions.numeric import half_up, mean0, share, trend
-from ..functions.text import CJK, LETTERS, kept_apart, stem, strings
+from ..functions.text import CJK, LETTERS, kept_apart, once, stem, wide
 from ..storage import cut
 from .reviews import APP, DAY_MS, best_evidence, top
 
@@ -33,28 +33,31 @@ def composed(text: Column) -> Column:
 def features(text: Column) -> Column:
     """Features of a lower-case text, in order, as array of (feature, label): stems, pairs of neighbouring stems, and two
     and three letters of CJK runs. A stem's label is the word, a pair's the words."""
-    stop = strings(_STOP)
     raw = F.regexp_extract_all(text, F.lit(f"[{LETTERS}][{LETTERS}'-]{{2,}}"), F.lit(0))
     pairs = F.transform(raw, lambda t: F.struct(stem(t).alias("feature"), t.alias("label")))
-    tokens = F.filter(pairs, lambda t: (F.char_length(t["feature"]) >= 3) & ~F.array_contains(stop, t["feature"]))
-    n = F.size(tokens)
+    tokens = F.filter(pairs, lambda t: (F.char_length(t["feature"]) >= 3) & ~t["feature"].isin(*_STOP))
     joined = lambda a, b: F.struct(F.concat_ws(" ", a["feature"], b["feature"]).alias("feature"), F.concat_ws(" ", a["label"], b["label"]).alias("label"))
-    couples = F.when(n > 1, F.zip_with(F.slice(tokens, F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice(tokens, F.lit(2), F.greatest(n - 1, F.lit(0))), joined)).otherwise(F.slice(tokens, 1, 0))
-    runs = F.regexp_extract_all(text, F.lit(f"[{CJK}]{{3,}}"), F.lit(0))
+
+    def couples(found: Column) -> Column:
+        less = F.greatest(F.size(found) - 1, F.lit(0))
+        return F.concat(found, F.zip_with(F.slice(found, F.lit(1), less), F.slice(found, F.lit(2), less), joined))
 
     def grams(run: Column, k: int) -> Column:
         return F.transform(F.sequence(F.lit(1), F.char_length(run) - k + 1), lambda i: F.substring(run, i, F.lit(k)))
 
+    runs = F.regexp_extract_all(text, F.lit(f"[{CJK}]{{3,}}"), F.lit(0))
     cut_runs = F.flatten(F.transform(runs, lambda r: F.concat(grams(r, 2), grams(r, 3))))
-    cjk = F.transform(F.filter(cut_runs, lambda x: ~F.array_contains(stop, x)), lambda x: F.struct(x.alias("feature"), x.alias("label")))
-    return F.concat(tokens, couples, cjk)
+    cjk = F.transform(F.filter(cut_runs, lambda x: ~x.isin(*_STOP)), lambda x: F.struct(x.alias("feature"), x.alias("label")))
+    words = once(tokens, couples)
+    return F.when(wide(text), F.concat(words, cjk)).otherwise(words)
 
 
 def phrase_features(reviews: DataFrame) -> DataFrame:
     """A row for each low-rated review and feature: keys, rating, created_at, position, feature, label, place."""
+    columns = [*APP, "review_id", "rating", "created_at", "position", "app_version"]
     rows = kept_apart(reviews.where(F.col("rating") <= 3), "body").where("body <> ''")
-    rows = rows.withColumn("_composed", composed(F.col("body"))).withColumn("features", features(F.lower("_composed"))).drop("_composed")
-    flat = rows.select("*", F.posexplode("features").alias("place", "x")).select(*[c for c in rows.columns if c != "features"], "place", "x.feature", "x.label")
+    rows = kept_apart(rows.select(*columns, composed(F.col("body")).alias("_text")), "_text")
+    flat = rows.select(*columns, F.posexplode(features(F.lower("_text"))).alias("place", "x")).select(*columns, "place", "x.feature", "x.label")
     # A review counts once for a feature, with the label it used last.
     one = flat.groupBy(*APP, "review_id", "feature").agg(F.min("place").alias("place"), F.max_by("label", "place").alias("label"), *(F.first(c).alias(c) for c in ("rating", "created_at", "position", "app_version")))
     return one
