@@ -188,12 +188,12 @@ def _across(members: DataFrame, labels: DataFrame, sets: DataFrame, least: float
     mixed = classed.groupBy("band", "bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band", "bucket")
     left = classed.join(mixed, ["band", "bucket"]).select("doc_id", "label").distinct()
     units = tmp.written(sets.join(left, "doc_id").select("doc_id", "label", "units").mapInArrow(_units, "doc_id long, label long, size long, unit long"), "units")
-    common = units.groupBy("unit").agg(F.count("*").alias("having"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("unit", "having")
+    common = C.counted_apart(units, ["unit"], F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("unit", F.col("n").alias("having"))
     own = Window.partitionBy("doc_id")
     place = F.col("size") - F.count("*").over(own) + F.row_number().over(own.orderBy("having", "unit"))
     placed = units.join(common, "unit").withColumn("place", place)
     prefix = tmp.written(placed.where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1).select("unit", "doc_id", "label", "size", "place"), "prefix")
-    parts = prefix.groupBy("unit").agg(F.ceil(F.count("*") / MEET).alias("parts"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("unit", "parts")
+    parts = C.counted_apart(prefix, ["unit"], F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("unit", F.ceil(F.col("n") / MEET).alias("parts"))
     dealt = prefix.join(parts, "unit")
     one = dealt.select("unit", F.pmod(F.xxhash64("doc_id"), F.col("parts")).alias("part"), *(F.col(c).alias(f"{c}_a") for c in ("doc_id", "label", "size", "place")))
     other = dealt.select("unit", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), *(F.col(c).alias(f"{c}_b") for c in ("doc_id", "label", "size", "place")))
@@ -215,12 +215,12 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int
     with C.Scratch() as tmp:
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
         signed = tmp.written(texts.mapInArrow(lambda it: _signed(it, count, rows, width), "doc_id long, key_a long, key_b long, bands array<long>"), "bands")
-        first = signed.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("rep"))
+        first = C.counted_apart(signed, ["key_a", "key_b"], F.min("doc_id").alias("rep"))
         of_set = signed.select("doc_id", "key_a", "key_b").join(first, ["key_a", "key_b"]).select("doc_id", "rep")
         reps = signed.join(first.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
         # A bucket's order is that of the next band, so texts with both bands in common lie side by side.
         placed = reps.select("doc_id", F.col("bands"), F.posexplode("bands").alias("band", "bucket")).select("doc_id", "band", "bucket", F.element_at("bands", (F.col("band") + 1) % count + 1).alias("next"))
-        sizes = placed.groupBy("band", "bucket").agg(F.count("*").alias("size")).where("size > 1")
+        sizes = C.counted_apart(placed, ["band", "bucket"]).where("n > 1").withColumnRenamed("n", "size")
         members = tmp.written(placed.join(sizes, ["band", "bucket"]), "members")
         central = members.groupBy("doc_id").agg(F.sum("size").alias("degree"))
         members = tmp.written(members.drop("size").join(central, "doc_id"), "members")
