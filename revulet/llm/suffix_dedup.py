@@ -272,14 +272,14 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most:
         raise ValueError("gram must be shorter than length")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     digest = rows.select("doc_id", F.md5("text").alias("digest"))
-    groups = digest.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    groups = C.counted_apart(digest, ["digest"], F.min("doc_id").alias("first")).where("n > 1")
     copied = digest.join(groups, "digest").select("doc_id", F.lit(True).alias("copied"), (F.col("doc_id") > F.col("first")).alias("later"))
     marked = rows.join(copied, "doc_id", "left")
     own = marked.where("later is null or not later").select("doc_id", "text")
     segments = C.written(own.mapInArrow(lambda it: _segments(it, length, gram), "doc_id long, start int, size int, middle int, least long, one long, two long"), "segments")
     content = segments.groupBy("one", "two").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start", "size", "middle", "least")).alias("rep"))
     content = C.written(content.select("one", "two", "n", "rep.*"), "contents")
-    sharing = content.groupBy("least").agg(F.count("*").alias("contents"), F.sum(F.col("size").cast("long") + 1).alias("held")).where("contents > 1")
+    sharing = C.counted_apart(content, ["least"], F.sum(F.col("size").cast("long") + 1).alias("held")).where("n > 1")
     wanted = content.join(sharing.select("least", "held"), "least")
     listed = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("least", "one", "two", "start", "size", "middle")).alias("found"))
     pieces = own.join(listed, "doc_id").select("text", "found").mapInArrow(_pieces, "least long, one long, two long, middle int, piece binary")
@@ -288,7 +288,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most:
     usual = pieces.where("not crowded").select("least", "one", "two", "middle", "piece")
     found = usual.repartition("least").sortWithinPartitions("least").mapInArrow(lambda it: _expand(it, length, gram), "one long, two long, from int, to int")
     strings = pieces.where("crowded").select("least", "one", "two", "middle", "piece").mapInArrow(lambda it: _strings(it, length), "a long, b long, one long, two long, from int")
-    again = strings.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b")
+    again = C.counted_apart(strings, ["a", "b"]).where("n > 1").select("a", "b")
     found = found.union(strings.join(again, ["a", "b"]).select("one", "two", "from", (F.col("from") + 1).alias("to")))
     # All strings of a content that occurs twice are repeated, whatever else holds them.
     often = content.where("n > 1").select("one", "two", F.lit(0).alias("from"), (F.col("size") - length + 1).alias("to"))
