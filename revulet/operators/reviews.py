@@ -7,7 +7,7 @@ from datetime import datetime, timezone
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_text, kept_apart
+from ..functions.text import WHITE, clean_text
 
 APP = ["source", "app_id"]
 KEY = [*APP, "review_id"]
@@ -95,9 +95,16 @@ def latest(raw: DataFrame, run_time: datetime | None = None) -> DataFrame:
     return _cleaned(deduplicate(_keyed(raw, run_time)))
 
 
+def has_words(text: Column) -> Column:
+    """Whether clean_text() leaves anything of a text; the pattern ends at the first sign that stays."""
+    return ~text.rlike(f"^(?:{WHITE}|<[^>]+>)*+$")
+
+
 def clean(raw: DataFrame, run_time: datetime | None = None) -> DataFrame:
-    """Normalised and deduplicated reviews that have a body."""
-    return kept_apart(latest(raw, run_time), "body").where("body <> ''")
+    """Normalised and deduplicated reviews that have a body. What uses no body exchanges none: whether there is one is
+    seen before the exchange."""
+    rows = deduplicate(_keyed(raw, run_time).withColumn("_filled", has_words(F.col("body"))))
+    return _cleaned(rows.where("_filled").drop("_filled"))
 
 
 def with_anchor(rows: DataFrame, apps: DataFrame) -> DataFrame:

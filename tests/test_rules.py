@@ -1,5 +1,6 @@
 """Normalising, classifying and stemming on literal rows."""
 
+import re
 from datetime import datetime, timezone
 
 from hypothesis import given, settings
@@ -9,8 +10,9 @@ from pyspark.sql import functions as F
 from revulet.functions import classify as K
 from revulet.functions import fixed
 from revulet.functions.numeric import half_up, trend
-from revulet.functions.text import BOUNDARY, clean_text, contains_word, stem
-from revulet.operators.reviews import clean, deduplicate, normalize
+from revulet.functions.prefilter import needed
+from revulet.functions.text import BOUNDARY, CJK, clean_text, contains_word, portable, stem
+from revulet.operators.reviews import clean, deduplicate, has_words, normalize
 
 RUN = datetime(2026, 1, 1, tzinfo=timezone.utc)
 
@@ -29,6 +31,34 @@ def test_clean_text_and_white_space(spark):
     assert one(spark, clean_text(F.lit("<b>a</b>\u00a0 b\u3000 c\ufeff\n"))) == "a b c"
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.sampled_from(["<", ">", "<b>", "<br/>", " ", "\u00a0", "\n", "x", "<>", "< a"]), max_size=7))
+def test_bodies_without_words(spark, parts):
+    text = F.lit("".join(parts))
+    assert one(spark, has_words(text)) == (one(spark, clean_text(text)) != "")
+
+
+def test_rules_by_needed_words(spark):
+    """The prefiltered rules find what the bare patterns find."""
+    rules = [r for n in ("SOFTWARE", "COMMUNITY", "SUPPORT", "POLICY", "EXPLICIT", "CHANGE") for r in getattr(fixed, f"{n}_RULES")]
+    texts = ["", "Since the latest UPDATE it crashes", "app 4.8.1 freezing; v2.10 after 3.2", "\u017Fuddenly no longer work\u017F", "depuis la dernière mise à jour", "nach dem Update nicht mehr", "ne s'ouvre plus", "更新后闪退，客服没有回复", "この最新のバージョン以降 3.2 から", "used  to work,\ncan't log in anymore", "scammers and BOTS", "Sin respuesta desde 2.0", "\u212Aeeps breaking", "a regression", "every update", "the last 3 updates"]
+    texts += [w for _, pattern in rules for w in (needed(pattern) or ())]
+    rows = K.with_plain(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, body string").withColumn("title", F.lit("")))
+    bare = F.array_compact(F.array(*(F.when(F.col("_plain").rlike(portable(p)), F.lit(i)) for i, p in rules)))
+    wrong = rows.select("body", K.rule_hits(rules).alias("got"), bare.alias("want")).where("got <> want").collect()
+    assert wrong == []
+
+
+def test_needed():
+    assert set(needed(r"\b(?:since|after)\s+(?:the\s+)?update\b")) == {"since the update", "since update", "after the update", "after update"}
+    assert needed(r"\bused\s+to\b") == ("used to",) and needed(r"[a-z]+") is None and needed(r"(?:ab|[a-z])c?") is None
+    assert set(needed(r"st[uü]rzt|\d+ friert")) == {"sturzt", "stürzt", " friert"}
+
+
+def test_words_of_other_scripts_have_their_signs():
+    assert all(re.search(f"[ß{CJK}]", w) for w in K.INSIDE)
+
+
 def test_ascii_boundaries(spark):
     tests = [("bloqué par", "bloqué", False), ("déplante", "plante", True), ("a plante b", "plante", True), ("implante", "plante", False)]
     for text, word, want in tests:
