@@ -262,6 +262,21 @@ _PAGE = "CASE WHEN page_id % 3 = 0 THEN 'https://apps.apple.com/gb/app/x/id' ||
 _APPS = "(VALUES ('google-play', 'app-0', 'crashes later gallery labs'), ('apple-app-store', 'app-1', 'photos')) a(source, app_id, own)"
 _GROUP = f"SELECT source, coalesce(source, 'all') AS name, count(*) AS total, count(*) FILTER (status = 'pass') AS passed, count(*) FILTER (status = 'fail') AS failed, count(*) FILTER (status = 'insufficient-data') AS insufficient"
 
+CTES |= {
+    "link_levels": f"""SELECT {APP}, app_version, count(*) FILTER (rating <= 3) AS low_rating_count, {_EXPLICIT} AS explicit_count, count(*) FILTER (rating <= 3 AND kind = 'change') AS change_count, {_LINKED} AS linked_count,
+      {_share(_LINKED, 'count(*) FILTER (rating <= 3)')} AS linked_share, CASE WHEN {_EXPLICIT} >= 2 OR ({_EXPLICIT} >= 1 AND {_LINKED} >= 2) THEN 'supported' WHEN {_LINKED} >= 1 THEN 'limited' ELSE 'none' END AS level FROM links WHERE app_version IS NOT NULL GROUP BY {APP}, app_version""",
+    "scope_counts": f"SELECT {APP}, app_version, s AS scope, count(*) FILTER (rating <= 3 AND scope = s) AS count, {_share('count(*) FILTER (rating <= 3 AND scope = s)', 'count(*) FILTER (rating <= 3)')} AS share FROM scopes, (SELECT unnest({_list(fixed.SCOPES)}) AS s) WHERE app_version IS NOT NULL GROUP BY {APP}, app_version, s",
+}
+_TEXT = lambda x: f"coalesce(to_json({x}::VARCHAR)::VARCHAR, 'null')"
+_JSON = " || ',' || ".join(
+    f"'\"{name}\":' || {_TEXT(value)}"
+    for name, value in [
+        ("appId", "app_id"), ("appVersion", "app_version"), ("author", "author"), ("body", "body"), ("country", "country"), ("createdAt", _iso("created_ms")), ("helpfulCount", "printf('%.3f', helpful_count)"),
+        ("language", "language"), ("rating", "printf('%.3f', rating)"), ("reviewId", "review_id"), ("source", "source"), ("sourceUrl", "NULL"), ("title", "title"), ("updatedAt", _iso("updated_ms")),
+    ]
+)
+_JSON = f"'{{' || {_JSON} || '}}'"
+
 QUERIES = {
     "normalize_reviews": f"SELECT {APP}, review_id, title, body, rating, language, country, app_version, author, helpful_count, {_iso('created_ms')} AS created, {_iso('updated_ms')} AS updated, ordinal FROM norm",
     "clean_pages_text": f"SELECT page_id, {_clean('html')} AS text FROM pages",
@@ -290,11 +305,10 @@ QUERIES = {
     "version_negative_evidence": _top("(SELECT * FROM reviews WHERE rating <= 2 AND app_version IS NOT NULL)", f"{APP}, app_version", NEWEST, 3, f"{APP}, app_version, review_id"),
     "version_theme_signals": "SELECT * EXCLUDE (ordinal, intent) FROM signals",
     "release_link_kind": f"SELECT review_id, kind, {_JOIN('ex')} AS explicit_hits, {_JOIN('ch')} AS change_hits FROM links",
-    "version_release_link": f"""SELECT {APP}, app_version, count(*) FILTER (rating <= 3) AS low_rating_count, {_EXPLICIT} AS explicit_count, count(*) FILTER (rating <= 3 AND kind = 'change') AS change_count, {_LINKED} AS linked_count,
-      {_share(_LINKED, 'count(*) FILTER (rating <= 3)')} AS linked_share, CASE WHEN {_EXPLICIT} >= 2 OR ({_EXPLICIT} >= 1 AND {_LINKED} >= 2) THEN 'supported' WHEN {_LINKED} >= 1 THEN 'limited' ELSE 'none' END AS level FROM links WHERE app_version IS NOT NULL GROUP BY {APP}, app_version""",
+    "version_release_link": "SELECT * FROM link_levels",
     "release_link_evidence": _top("(SELECT * FROM links WHERE rating <= 3 AND kind <> 'none' AND app_version IS NOT NULL)", f"{APP}, app_version", f"(kind = 'explicit') DESC, {SCORE} DESC, {NEWEST}", 4, f"{APP}, app_version, review_id"),
     "review_scope": f"SELECT review_id, scope AS \"primary\", {_JOIN('list_concat(strong, list_transform(software_themes, lambda t: ' + _q('theme-') + ' || t))')} AS software, {_JOIN('policy')} AS product_policy, {_JOIN('community')} AS community, {_JOIN('support')} AS support, {_JOIN('software_themes')} AS software_themes FROM scopes",
-    "version_scope_counts": f"SELECT {APP}, app_version, s AS scope, count(*) FILTER (rating <= 3 AND scope = s) AS count, {_share('count(*) FILTER (rating <= 3 AND scope = s)', 'count(*) FILTER (rating <= 3)')} AS share FROM scopes, (SELECT unnest({_list(fixed.SCOPES)}) AS s) WHERE app_version IS NOT NULL GROUP BY {APP}, app_version, s",
+    "version_scope_counts": "SELECT * FROM scope_counts",
     "version_actionability": f"SELECT {APP}, app_version, count(*) FILTER (rating <= 3) AS low_rating_count, count(*) FILTER ({_SOFT}) AS software_count, count(*) FILTER ({_SOFT} AND kind <> 'none') AS release_linked_software_count, count(*) FILTER ({_SOFT} AND kind = 'explicit') AS explicit_release_software_count, {_share(f'count(*) FILTER ({_SOFT})', 'count(*) FILTER (rating <= 3)')} AS software_share FROM scopes WHERE app_version IS NOT NULL GROUP BY {APP}, app_version",
     "scope_evidence": _top("(SELECT *, scope AS category FROM scopes WHERE rating <= 3 AND app_version IS NOT NULL)", f"{APP}, app_version, category", f"{SCORE} DESC, {NEWEST}", 3, f"{APP}, app_version, category, review_id"),
     "actionable_known_issues": "SELECT * FROM known",
@@ -328,6 +342,14 @@ QUERIES = {
     "cohort_violation_counts": "SELECT id, count(*) AS cases FROM all_violations GROUP BY id",
     "cohort_insufficient_reasons": "SELECT reason, count(*) AS cases FROM verdicts WHERE status = 'insufficient-data' GROUP BY reason",
     "cohort_coverage": f"SELECT {APP}, count(*) AS complaints, count(*) FILTER ({' OR '.join(f'len({_col(t)}) > 0' for t in THEMES)}) AS matched, {_share('count(*) FILTER (' + ' OR '.join(f'len({_col(t)}) > 0' for t in THEMES) + ')', 'count(*)')} AS rate FROM hits JOIN (SELECT {APP}, current_version AS app_version FROM ready) USING ({APP}, app_version) WHERE rating <= 3 GROUP BY {APP}",
+    "cohort_triage_counts": "SELECT decision, count(*) AS cases FROM all_verdicts GROUP BY decision",
+    "cohort_link_levels": "SELECT coalesce(level, 'unknown') AS level, count(*) AS cases FROM ready r LEFT JOIN link_levels l ON l.source = r.source AND l.app_id = r.app_id AND l.app_version = r.current_version GROUP BY 1",
+    "cohort_scope_sums": "SELECT scope, sum(count)::BIGINT AS reviews FROM ready r JOIN scope_counts s ON s.source = r.source AND s.app_id = r.app_id AND s.app_version = r.current_version GROUP BY scope",
+    "issue_versions": f"SELECT {APP}, id, app_version, count(*) AS count FROM m_items WHERE app_version IS NOT NULL GROUP BY {APP}, id, app_version",
+    "issue_evidence": _top("(SELECT i.id, r.* FROM m_items i JOIN reviews r USING (source, app_id, review_id))", f"{APP}, id", f"{SCORE} DESC, {NEWEST}", 4, f"{APP}, id, review_id"),
+    "version_theme_evidence": _top("(SELECT * FROM mentions WHERE app_version IS NOT NULL)", f"{APP}, app_version, theme", f"{SCORE} DESC, {NEWEST}", 3, f"{APP}, app_version, theme, review_id"),
+    "provenance_hash": f"""SELECT {APP}, sum(n)::BIGINT AS review_count, sha256(string_agg(part, ',' ORDER BY block)) AS content_hash FROM (
+      SELECT {APP}, substr(digest, 1, 3) AS block, count(*) AS n, sha256(string_agg(digest, ',' ORDER BY digest)) AS part FROM (SELECT {APP}, sha256({_JSON}) AS digest FROM norm) GROUP BY ALL) GROUP BY {APP}""",
     "classifier_confusion": "SELECT * FROM confusion",
     "classifier_micro_metrics": f"""SELECT level, name, tp, fp, fn, {_metric('tp', 'tp + fp')} AS "precision", {_metric('tp', 'tp + fn')} AS recall, {_metric('2 * tp', '2 * tp + fp + fn')} AS f1 FROM (
       SELECT CASE WHEN label IS NOT NULL THEN 'label' WHEN language IS NOT NULL THEN 'language' ELSE 'all' END AS level, coalesce(label, language, 'all') AS name, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn FROM confusion GROUP BY GROUPING SETS ((label), (language), ()))""",

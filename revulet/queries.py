@@ -159,6 +159,11 @@ def version_theme_signals(spark, d):
     return A.version_theme_signals(themed(spark, d)).drop("ordinal", "label", "intent")
 
 
+@query
+def version_theme_evidence(spark, d):
+    return A.version_theme_evidence(themed(spark, d)).select(*APP, "app_version", "theme", "rank", "evidence.review_id")
+
+
 @query
 def release_link_kind(spark, d):
     rows = K.with_link(reviews(spark, d))
@@ -234,6 +239,17 @@ def discovered_issues(spark, d):
     return gate.discovered(themed(spark, d))[0]
 
 
+@query
+def issue_versions(spark, d):
+    return discover.issue_versions(gate.discovered(themed(spark, d))[1])
+
+
+@query
+def issue_evidence(spark, d):
+    rows = themed(spark, d)
+    return discover.issue_evidence(gate.discovered(rows)[1], rows).select(*APP, "id", "rank", "evidence.review_id")
+
+
 def _pairs(spark):
     return spark.createDataFrame([("google-play", "app-0", "google-play", "app-1"), ("google-play", "app-1", "apple-app-store", "app-2")], ", ".join(f"{c} string" for c in compare.PAIR))
 
@@ -331,6 +347,22 @@ def cohort_coverage(spark, d):
     return cohort.complaint_coverage(themed(spark, d), _gate(spark, d).verdicts)
 
 
+@query
+def cohort_triage_counts(spark, d):
+    return cohort.triage_counts(_gate(spark, d).verdicts)
+
+
+@query
+def cohort_link_levels(spark, d):
+    rows = K.with_link(reviews(spark, d))
+    return cohort.link_level_counts(_compared(spark, d)[1], A.version_release_link(rows))
+
+
+@query
+def cohort_scope_sums(spark, d):
+    return cohort.scope_sums(_compared(spark, d)[1], A.version_scope_counts(classified(spark, d)))
+
+
 def _examples(spark, d):
     """Predicted and expected themes of reviews whose sentence was written for a theme."""
     tags = spark.createDataFrame([(t, theme) for t, theme in TEMPLATES], "sentence string, expected string")
