@@ -52,7 +52,9 @@ def none(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-def test_substring_dedup(docs, none, texts):
+@pytest.mark.parametrize("hot", [1000, 2])
+def test_substring_dedup(docs, none, texts, hot, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "HOT", hot)
     got = {r.doc_id: r for r in substring_dedup.substring_dedup(docs, window=50).collect()}
     first = {}
     for i, t in texts:
