@@ -9,7 +9,7 @@ from dataclasses import fields
 from pyspark.sql import functions as F
 
 from .operators.regression import Policy, exit_code
-from .plans import render, report
+from .plans import render, report, result
 from .session import session
 from .sources.registry import ConnectorError, ConnectorNotFoundError, Dataset, Source, default_registry
 from .sources.store_urls import UnsupportedStoreUrlError, source_ref
@@ -73,7 +73,7 @@ def main(argv: list[str] | None = None) -> int:
         if args.command == "check":
             policy = Policy(**{f.name: getattr(args, f.name) for f in fields(Policy)})
             gate = report.check(data, policy)
-            text = render.gate_markdown(gate) if kind == "md" else render.json_text(gate.verdicts.collect())
+            text = render.gate_markdown(gate) if kind == "md" else render.json_text(result.document(gate).collect())
             render.write_text(text, args.output, args.force)
             return max([exit_code(v.status, args.fail_on_insufficient) for v in gate.verdicts.collect()], default=0)
         found = report.tables(data.reviews)

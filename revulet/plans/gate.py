@@ -68,6 +68,10 @@ class Gate:
     violations: DataFrame
     actionable: DataFrame
     verdicts: DataFrame
+    #: What the tables are made of: classified reviews, and the reviews of each phrase.
+    reviews: DataFrame
+    items: DataFrame
+    policy: R.Policy
 
 
 def evaluate(classified: DataFrame, policy: R.Policy | None = None, sources: DataFrame | None = None) -> Gate:
@@ -82,4 +86,4 @@ def evaluate(classified: DataFrame, policy: R.Policy | None = None, sources: Dat
     changes = R.issue_changes(compared, issues, D.issue_versions(items))
     found = R.violations(compared, themes, changes, policy)
     actionable = actionable_issues(classified, ready.select(*APP, F.col("current_version").alias("app_version")).where("app_version is not null"))
-    return Gate(versions, ready, compared, themes, changes, found, actionable, R.verdicts(ready, compared, found, actionable))
+    return Gate(versions, ready, compared, themes, changes, found, actionable, R.verdicts(ready, compared, found, actionable), classified, items, policy)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..operators.reviews import APP, iso
+from . import result
 from .gate import Gate
 
 #: FIXED VALUES: formats by name and by file ending; the columns of the CSV form, in order.
@@ -68,18 +69,36 @@ def _percent(x: float | None) -> str:
     return f"{int((x or 0) * 100 + 0.5)}%"
 
 
-def report_markdown(report: Row) -> str:
-    """Sample, findings, themes, versions and phrases of one application's report."""
+def _cited(evidence: list[Row] | None, most: int = 3) -> list[str]:
+    """A line for each of the first reviews: stars, version, day, excerpt."""
+    out = []
+    for e in (x["evidence"] for x in (evidence or [])[:most]):
+        version = f" · {escape_markdown(e['app_version'])}" if e["app_version"] else ""
+        out.append(f"- {e['rating']:g} stars{version} · {e['created_at']:%Y-%m-%d}: {escape_markdown(e['excerpt'])}")
+    return out
+
+
+def report_markdown(report: Row, gaps: list[Row] | None = None) -> str:
+    """Sample, findings, themes, versions and phrases of one application's report; gaps (compare.theme_gaps) add the
+    comparison with another application."""
     r = report["report"]
     lines = [f"# Reviews of {report['app_id']}", "", f"{r['sample']['total']} reviews, average {r['sample']['average_rating']}, {_percent(r['sample']['negative_share'])} with one or two stars.", "", "## Findings", ""]
     lines += [f"- **{i['severity']}** {i['statement']}" for i in r["insights"] or []] or ["None."]
     lines += ["", "## Themes", "", "| Theme | Reviews | Share | Complaints | Trend | Priority |", "| --- | ---: | ---: | ---: | ---: | ---: |"]
     lines += [f"| {t['label']} | {t['count']} | {_percent(t['share'])} | {t['complaint_count']} | {t['complaint_trend_percent']:+d}% | {t['priority_score']} |" for t in r["themes"] or []]
+    for t in (r["themes"] or [])[:3]:
+        lines += ["", f"### {t['label']}", "", *_cited(t["complaint_evidence"] or t["evidence"])]
     lines += ["", "## Repeated phrases without a theme", ""]
-    lines += [f"- {escape_markdown(i['label'])}: {i['count']} reviews ({_percent(i['share'])}), average {i['average_rating']}" for i in r["discovered_issues"] or []] or ["None."]
-    lines += ["", "## Versions", "", "| Version | Reviews | Average | Low ratings |", "| --- | ---: | ---: | ---: |"]
-    lines += [f"| {escape_markdown(v['app_version'])} | {v['count']} | {v['average_rating']} | {_percent(v['negative_share'])} |" for v in r["versions"] or []]
-    return "\n".join([*lines, "", "Words and patterns decide; a version's reviews show correlation, not cause.", ""])
+    for i in r["discovered_issues"] or []:
+        lines += [f"- {escape_markdown(i['label'])}: {i['count']} reviews ({_percent(i['share'])}), average {i['average_rating']}", *("  " + x for x in _cited(i["evidence"], 1))]
+    lines += [] if r["discovered_issues"] else ["None."]
+    lines += ["", "## Versions", "", "| Version | Reviews | Average | Low ratings | Link to a release | Software reviews |", "| --- | ---: | ---: | ---: | --- | ---: |"]
+    lines += [f"| {escape_markdown(v['app_version'])} | {v['count']} | {v['average_rating']} | {_percent(v['negative_share'])} | {v['release_link']['level']} | {v['actionability']['software_count']} |" for v in r["versions"] or []]
+    if gaps:
+        lines += ["", f"## Against {escape_markdown(gaps[0]['other_app_id'])}", "", "| Theme | Own share | Other share | Gap |", "| --- | ---: | ---: | ---: |"]
+        lines += [f"| {g['label']} | {_percent(g['primary_share'])} | {_percent(g['competitor_share'])} | {g['share_gap']:+.3f} |" for g in sorted(gaps, key=lambda g: g["rank"])]
+    lines += ["", "## Method", "", "Words and patterns decide; a version's reviews show correlation, not cause.", ""]
+    return "\n".join(lines)
 
 
 def escape_markdown(text: object) -> str:
@@ -112,14 +131,26 @@ REASONS = {
 
 
 def gate_markdown(gate: Gate) -> str:
-    """All applications' verdicts with what exceeds the policy."""
-    found: dict[tuple, list[Row]] = {}
-    for v in gate.violations.orderBy("kind_order", F.desc("value"), "tie").collect():
-        found.setdefault((v.source, v.app_id), []).append(v)
-    lines = ["# Release check", ""]
-    for v in gate.verdicts.orderBy(*APP).collect():
-        lines += [f"## {escape_markdown(v.app_id)} ({v.source}): {v.status}", "", f"{escape_markdown(v.current_version)} against {escape_markdown(v.baseline_version)}: {v.decision}. {REASONS[v.reason]}", ""]
-        lines += [f"- {x.severity}: {escape_markdown(x.id)} {x.value:+.3f} {x.unit} (limit {x.threshold})" for x in found.get((v.source, v.app_id), [])] + [""]
+    """All applications' results: verdict, metrics, release link, scopes, issues and violations with evidence."""
+    return "\n".join(_check_markdown(row) for row in result.document(gate).orderBy(*APP).collect())
+
+
+def _check_markdown(row: Row) -> str:
+    r = row["result"]
+    lines = [f"## {escape_markdown(row['app_id'])} ({row['source']}): {r['status']}", "", f"{escape_markdown(r['current_version'])} against {escape_markdown(r['baseline_version'])}: {r['decision']}{', blocking' if r['blocking'] else ''}. {REASONS[r['reason']]}", ""]
+    if m := r["metrics"]:
+        own, old = m["current"], m["baseline"]
+        lines += ["| Metric | Current | Baseline | Change | Limit |", "| --- | ---: | ---: | ---: | ---: |"]
+        lines += [f"| Average rating | {own['average_rating']} | {old['average_rating']} | {-m['rating_drop']:+.2f} | {-r['policy']['max_rating_drop']:+.2f} |"]
+        lines += [f"| One and two stars | {_percent(own['negative_share'])} | {_percent(old['negative_share'])} | {m['negative_share_increase']:+.3f} | {r['policy']['max_negative_share_increase']:+.3f} |", ""]
+    if (link := r["release_link"])["available"]:
+        lines += [f"Link to a release: {link['level']}; {link['linked_count']} of {link['low_rating_count']} reviews of up to three stars name one or a change ({link['explicit_count']} explicitly).", ""]
+    if (scope := r["actionability"])["available"]:
+        lines += ["| " + " | ".join(s["scope"] for s in scope["scopes"]) + " |", "|" + " ---: |" * len(scope["scopes"]), "| " + " | ".join(str(s["count"]) for s in scope["scopes"]) + " |", ""]
+    for i in r["issues"] or []:
+        lines += [f"### {escape_markdown(i['label'])}", "", f"{i['count']} software reviews, {i['release_linked_count']} of a change, {i['explicit_release_count']} of a release{'' if i['supported'] else ' (not supported)'}.", "", *_cited(i["evidence"]), ""]
+    for v in r["violations"] or []:
+        lines += [f"### {v['severity']}: {escape_markdown(v['title'])}", "", f"{escape_markdown(v['id'])} {v['value']:+.3f} {v['unit']} (limit {v['threshold']})", "", *_cited(v["evidence"]), ""]
     return "\n".join(lines)
 
 

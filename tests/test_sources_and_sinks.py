@@ -9,10 +9,11 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from revulet.__main__ import main
+from revulet.functions.classify import classify
 from revulet.operators.reviews import clean
-from revulet.plans import render, report
+from revulet.plans import gate, render, report, result
 from revulet.sources import registry, stores
-from revulet.sources.demo import demo_reviews
+from revulet.sources.demo import demo_competitor_reviews, demo_reviews
 from revulet.sources.store_urls import source_ref
 from revulet.streaming import reviews as streams
 
@@ -124,10 +125,36 @@ def test_report(spark):
     data = json.loads(render.report_json(row))
     assert data["schema_version"] == 1 and data["sample"]["total"] == 96 and [v["app_version"] for v in data["versions"]] == ["4.8.0", "4.7.2", "4.6.9"]
     assert "camera uploads" in render.report_markdown(row) and "<table>" in render.report_html(row)
+    newest = data["versions"][0]
+    assert len(newest["evidence"]) == 3 and len(newest["release_link"]["evidence"] or []) == min(4, newest["release_link"]["linked_count"])
+    assert sum(s["count"] for s in newest["actionability"]["scopes"]) == newest["actionability"]["low_rating_count"] == 30 and newest["themes"][0]["count"] >= newest["themes"][-1]["count"]
+    assert all(1 <= len(t["evidence"]) <= 4 for t in data["themes"]) and data["discovered_issues"][0]["versions"] and data["discovered_issues"][0]["evidence"][0]["evidence"]["review_id"]
     again = report.tables(demo_reviews(spark).repartition(5), run_time=RUN)["provenance"].collect()
     assert again[0].content_hash == data["provenance"]["content_hash"]
 
 
+def test_comparison_in_a_report(spark):
+    made = report.compared(demo_reviews(spark), demo_competitor_reviews(spark), RUN)
+    row = report.document(report.tables(demo_reviews(spark), run_time=RUN), RUN).collect()[0]
+    gaps = [g for g in made["gaps"].collect() if g.app_id == row.app_id]
+    assert gaps and "## Against" in render.report_markdown(row, gaps)
+
+
+def test_check_result(spark):
+    g = gate.evaluate(classify(clean(demo_reviews(spark), RUN)))
+    row = result.document(g, RUN).collect()[0]
+    r = row.result
+    assert (r.schema_version, r.status, r.decision, r.policy.min_version_reviews) == (1, "fail", "software-regression", 10) and r.metrics.current.version == "4.8.0" and r.metrics.baseline.average_rating == 3.31
+    assert [v.id for v in r.violations] == ["rating-drop", "negative-share-increase", "theme-stability", "discovered-66e943a4d5da"]
+    assert all(len(v.evidence) == 3 and [e["rank"] for e in v.evidence] == [1, 2, 3] for v in r.violations) and all(e.evidence.app_version == "4.8.0" for v in r.violations[:3] for e in v.evidence)
+    assert [s.scope for s in r.actionability.scopes] == ["software", "product-policy", "community", "support", "unclear"] and [s["count"] for s in r.actionability.scopes] == [21, 6, 0, 0, 3]
+    assert r.release_link.available and r.issues[0].supported and r.issues[0].evidence
+    text = render.gate_markdown(g)
+    assert "complaints up by" in text and "stars · 4.8.0" in text and "| software | product-policy |" in text
+    few = result.document(gate.evaluate(classify(clean(demo_reviews(spark, 6).withColumn("app_version", F.lit(None).cast("string")), RUN))), RUN).collect()[0].result
+    assert few.status == "insufficient-data" and few.metrics is None and few.violations is None and not few.release_link.available and few.release_link.level is None
+
+
 def test_command_line(spark, tmp_path, capsys):
     assert main(["connectors"]) == 0 and "apple-app-store" in capsys.readouterr().out
     assert main(["inspect", "https://example.com/x"]) == 2 and main(["nonsense"]) == 2
