@@ -143,13 +143,16 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, period: int = PERIOD,
     marked = rows.join(copies, "doc_id", "left")
     own = marked.where("copy is null").select("doc_id", "text")
     anchors = own.mapInArrow(lambda it: _anchors(it, window, period, False), "anchor long, doc_id long, place int")
-    distinct = own.mapInArrow(lambda it: _anchors(it, window, period, True), "anchor long")
+    # Both counts below read the same exchange; the filter, which the joins imply, is said once for both.
+    distinct = own.mapInArrow(lambda it: _anchors(it, window, period, True), "anchor long").where("anchor is not null")
     shared = distinct.groupBy("anchor").agg(F.count("*").alias("docs")).where("docs > 1")
     # The anchors of most documents are known to be shared. They are so few that every task has them all, and their
     # places are dealt out by themselves; of those left, none has more than one of HOTTEST parts of all rows.
     hot = F.broadcast(shared.where(F.col("docs") >= HOT).orderBy(F.desc("docs"), "anchor").limit(HOTTEST).select("anchor", F.lit(True).alias("hot")))
-    dealt = anchors.join(hot, "anchor", "left").select("doc_id", "place", "hot", F.when(F.col("hot"), F.xxhash64("doc_id", "place")).otherwise(F.col("anchor")).alias("anchor"))
-    kept = dealt.join(shared, "anchor", "left").where("hot or docs is not null")
+    # A hot anchor's places go below zero.
+    place = F.when(F.col("hot"), -1 - F.col("place")).otherwise(F.col("place"))
+    dealt = anchors.join(hot, "anchor", "left").select("doc_id", place.alias("place"), F.when(F.col("hot"), F.xxhash64("doc_id", "place")).otherwise(F.col("anchor")).alias("anchor"))
+    kept = dealt.join(shared, "anchor", "left").where("place < 0 or docs is not null").select("doc_id", F.when(F.col("place") < 0, -1 - F.col("place")).otherwise(F.col("place")).alias("place"))
     places = kept.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
     candidates = own.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(lambda it: _windows(it, window, period), "one long, two int, doc_id long")
     # The first document of each window owns it, and a document loses those that it doesn't own. So what goes back to
