@@ -19,7 +19,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    return spread(plain_table(spark, sf_dir, name))
+
+
+def plain_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table as its files are split."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def spread(rows: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 
 from . import decontaminate, html_text, language_id, near_dedup, packing, quality, substring_dedup, suffix_dedup, token_counts, top_k
-from .common import documents, table
+from .common import documents, plain_table, table
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +29,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    return decontaminate.contamination(plain_table(spark, sf_dir, "documents"), plain_table(spark, sf_dir, "benchmark"))
 
 
 def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
