@@ -279,7 +279,8 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most:
     segments = C.written(own.mapInArrow(lambda it: _segments(it, length, gram), "doc_id long, start int, size int, middle int, least long, one long, two long"), "segments")
     content = segments.groupBy("one", "two").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start", "size", "middle", "least")).alias("rep"))
     content = C.written(content.select("one", "two", "n", "rep.*"), "contents")
-    sharing = C.counted_apart(content, ["least"], F.sum(F.col("size").cast("long") + 1).alias("held")).where("n > 1")
+    # One exchange for counts and join: what is written as pieces then comes by minimiser, which compresses it well.
+    sharing = content.groupBy("least").agg(F.count("*").alias("contents"), F.sum(F.col("size").cast("long") + 1).alias("held")).where("contents > 1")
     wanted = content.join(sharing.select("least", "held"), "least")
     listed = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("least", "one", "two", "start", "size", "middle")).alias("found"))
     pieces = own.join(listed, "doc_id").select("text", "found").mapInArrow(_pieces, "least long, one long, two long, middle int, piece binary")
