@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import decontaminate, html_text, language_id, near_dedup, packing, quality, substring_dedup, suffix_dedup, token_counts, top_k
+from . import decontaminate, html_text, language_id, near_dedup, packing, quality, substring_dedup, suffix_dedup, token_alignment, token_counts, top_k, url_filter, whitening
 from .common import documents, plain_table, table
 
 
@@ -52,13 +53,30 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir))
 
 
+#: The rules that the URL query applies: host, path, verdict.
+URL_RULES = "('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')"
+
+
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.sql(f"SELECT * FROM VALUES {URL_RULES} AS rules(host, path, verdict)")
+    return url_filter.judge(plain_table(spark, sf_dir, "pages"), rules)
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.alignment(documents(spark, sf_dir))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(plain_table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
     return own | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1, "op5_decontamination": OP5, "op6_top_k": OP6}
+    return {"op1_substring_dedup": OP1, "op5_decontamination": OP5, "op6_top_k": OP6, "op11_url_filters": OP11}
 
 
 OP1 = r"""
@@ -108,3 +126,15 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
 ) WHERE rank <= 10
 """
+
+OP11 = f"""
+WITH rules(host, path, verdict) AS (VALUES {URL_RULES}),
+rests AS (SELECT page_id, row_number() OVER () AS n, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+hosts AS (SELECT *, regexp_extract(rest, '^[^/?#]*') AS whole FROM rests),
+urls AS (SELECT page_id, n, translate(whole, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(whole) + 1), '^[^?#]*') AS path FROM hosts),
+fits AS (
+  SELECT n, r.host || r.path AS rule, r.verdict, row_number() OVER (PARTITION BY n ORDER BY length(r.host) + length(r.path) DESC, length(r.host) DESC) AS k
+  FROM urls u JOIN rules r ON (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path)
+)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM urls LEFT JOIN (SELECT * FROM fits WHERE k = 1) USING (n)
+"""
