@@ -24,6 +24,25 @@ TEMPLATES = [
     ("Could you bring a reminder with backup, I wish", "feature-request"),
     ("Moderators banned me and customer support never replied", ""),
 ]
+#: For each of the templates, how it speaks of a release and what its review is about, as a reader would say.
+READINGS = [
+    ("explicit", "software"),
+    ("none", "software"),
+    ("none", "product-policy"),
+    ("none", "software"),
+    ("change", "software"),
+    ("none", "software"),
+    ("none", "product-policy"),
+    ("none", "product-policy"),
+    ("none", "product-policy"),
+    ("explicit", "software"),
+    ("explicit", "software"),
+    ("none", "software"),
+    ("none", "software"),
+    ("none", "unclear"),
+    ("none", "product-policy"),
+    ("none", "community"),
+]
 STEP = 1_000_000_000
 #: 2024-03-31 00:00 UTC in seconds.
 ANCHOR = 1_711_843_200

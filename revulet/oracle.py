@@ -372,8 +372,11 @@ def _needed(sql: str) -> list[str]:
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import flow_oracle
+
+    CTES.update(flow_oracle.CTES)
     out = {}
-    for key, sql in QUERIES.items():
+    for key, sql in (QUERIES | flow_oracle.QUERIES).items():
         parts = [f"{name} AS MATERIALIZED ({CTES[name]})" for name in _needed(sql)]
         body = sql
         if body.startswith("WITH "):

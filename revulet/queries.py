@@ -409,6 +409,8 @@ def demo_verdict(spark, d):
 
 
 def queries() -> dict[str, Query]:
+    from . import flow_queries  # noqa: F401  registers more
+
     return dict(_ALL)
 
 

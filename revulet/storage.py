@@ -1,15 +1,40 @@
-"""Cutting lineage by reliable checkpoints in the folder that driver and executors share."""
+"""Cutting lineage, and tables on the way, in the folder that driver and executors share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df by way of spark.checkpoint.dir; a local folder where that is unset."""
-    sc = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir. Where that is unset, a temporary folder on a local master; elsewhere executors could not
+    see one, so it is an error."""
+    sc = spark.sparkContext
+    where = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not where:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("Set spark.checkpoint.dir to a folder that driver and executors share.")
+        where = tempfile.mkdtemp(prefix="revulet-")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="revulet-"))
+        sc.setCheckpointDir(where)
+    return where
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df by way of a reliable checkpoint."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(True)
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df by way of Parquet in the shared folder; it stays there."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
