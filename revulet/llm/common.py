@@ -88,6 +88,31 @@ def counted_apart(df: DataFrame, keys: list[str], *measures) -> DataFrame:
     return df.groupBy(*keys, F.pmod(F.xxhash64(*keys), F.lit(2)).alias("_half")).agg(F.count("*").alias("n"), *measures).drop("_half")
 
 
+def numbered(docs: DataFrame, tmp: Scratch) -> tuple[DataFrame, str] | None:
+    """Where a doc_id occurs twice: docs, written, with a column that tells its rows apart, and that column's name.
+
+    Usually doc_ids are unique; this then returns None and costs an aggregation of the ids.
+    """
+    ids = docs.select(F.col("doc_id").cast("long").alias("_id")).where("_id is not null")
+    if ids.groupBy("_id").agg(F.count("*").alias("_n")).where("_n > 1").isEmpty():
+        return None
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    return tmp.written(docs.withColumn(row, F.monotonically_increasing_id()), "rows"), row
+
+
+def as_documents(rows: DataFrame, row: str) -> DataFrame:
+    """The rows of numbered() that have a doc_id, under their own numbers: doc_id (the number), text."""
+    return rows.where(F.col("doc_id").cast("long").isNotNull()).select(F.col(row).alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def own_ids(rows: DataFrame, row: str, found: DataFrame) -> DataFrame:
+    """found (doc_id is a number of numbered(), and more) with the doc_ids of its rows."""
+    ids = rows.select(F.col(row).alias("_number"), F.col("doc_id").cast("long").alias("_doc_id"))
+    return found.join(ids, found["doc_id"] == ids["_number"]).select(F.col("_doc_id").alias("doc_id"), *(found[c] for c in found.columns if c != "doc_id"))
+
+
 def bucket_of(col: str, modulus: int):
     """crc32 of the id as text, modulo modulus."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % modulus

@@ -114,9 +114,12 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
 
     A word is hit if it lies in an occurrence of a window of items (item_id, text). n_items counts the items with
     occurring windows; items_sha256 is of their ids, sorted as strings and joined by commas. Null and empty texts have
-    no words. Rows without doc_id or item_id are left out; a doc_id is expected once; other columns are ignored.
+    no words. Rows without doc_id or item_id are left out; rows of one doc_id are judged each by its own text; other
+    columns are ignored.
     """
     with C.Scratch() as tmp:
+        if again := C.numbered(docs, tmp):
+            return C.written(C.own_ids(*again, contamination(C.as_documents(*again), items, window)), "contamination")
         index, of_items, matches = _matches(docs, items, window, tmp)
         covered = matches.select("doc_id", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)).alias("position")).distinct()
         hits = covered.groupBy("doc_id").agg(F.count("*").alias("n_hit"))
@@ -138,6 +141,11 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
 
 def keep_clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of docs in which no window of items occurs, with all their columns; rows without doc_id stay."""
+    if again := C.numbered(docs, C.Scratch()):
+        rows, row = again
+        with C.Scratch() as tmp:
+            hit = C.written(_matches(C.as_documents(rows, row), items, window, tmp)[2].select(F.col("doc_id").alias(row)).distinct(), "hit")
+        return rows.join(hit, row, "left_anti").select(*docs.columns)
     with C.Scratch() as tmp:
         hit = C.written(_matches(docs, items, window, tmp)[2].select(F.col("doc_id").alias("_hit")).distinct(), "hit")
     return docs.join(hit, docs["doc_id"] == hit["_hit"], "left_anti")

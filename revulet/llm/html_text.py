@@ -11,6 +11,8 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -44,7 +46,7 @@ IMPLIED_END = {
 IMPLIED_END["thead"] = IMPLIED_END["tfoot"] = IMPLIED_END["tbody"]
 CLOSES_P = BLOCK - frozenset("body html li td th tr tbody thead tfoot caption option optgroup dd dt legend summary".split())
 FENCE = frozenset("table td th button object html body".split())
-#: Nesting beyond this is flattened: deeper elements join their ancestor of this depth.
+#: Nesting beyond this is flattened: what deeper elements show joins their ancestor of this depth.
 MAX_DEPTH = 400
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*(?:\"[^\"]*\"|'[^']*'|(?![\"'\s])|(?=>)))*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
@@ -79,22 +81,38 @@ def parse(page: str) -> Node:
     """The tree of a page. Children are nodes and strings, whose character references are resolved."""
     root = Node("html")
     stack = [root]
-    at, size = 0, len(page)
+    opened: defaultdict[str, list[int]] = defaultdict(list)  # by tag, the places in stack of its open elements
+    at, size, last = 0, len(page), page.rfind(">")
 
     def text(part: str) -> None:
         if part:
             stack[-1].children.append(html.unescape(part) if "&" in part else part)
 
+    def push(node: Node) -> None:
+        opened[node.tag].append(len(stack))
+        stack.append(node)
+
+    def cut(place: int) -> None:
+        while len(stack) > place:
+            opened[stack.pop().tag].pop()
+
+    def shield(fence: frozenset) -> int:
+        return max((opened[tag][-1] for tag in fence if opened.get(tag)), default=0)
+
     def close(tags: frozenset, fence: frozenset) -> None:
         """Closes the outermost open element of tags that no element of fence shields."""
-        cut = 0
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in fence:
-                break
-            if stack[i].tag in tags:
-                cut = i
-        if cut:
-            del stack[cut:]
+        inside = [own for tag in tags if (own := opened.get(tag))]
+        if inside:
+            low = shield(fence)
+            cut(min((own[k] for own in inside if (k := bisect_right(own, low)) < len(own)), default=len(stack)))
+
+    def attach(node: Node) -> None:
+        """Beyond MAX_DEPTH an element that is shown shares its parent's children, a hidden one is not in the tree."""
+        if len(stack) < MAX_DEPTH or node.tag in VOID or node.tag in RAW:
+            stack[-1].children.append(node)
+        elif not node.hidden:
+            stack[-1].children.append(Node(node.tag))  # where its lines begin
+            node.children = stack[-1].children
 
     while at < size:
         opening = page.find("<", at)
@@ -107,7 +125,7 @@ def parse(page: str) -> Node:
             end = page.find("-->" if comment else ">", opening + 2)
             at = size if end < 0 else end + (3 if comment else 1)
             continue
-        m = _TAG.match(page, opening) if page.find(">", opening) >= 0 else None
+        m = _TAG.match(page, opening) if opening < last else None
         if m is None:
             text("<")
             at = opening + 1
@@ -116,16 +134,12 @@ def parse(page: str) -> Node:
         closing, tag, attributes = m.group(1, 2, 3) if m.group(2) else m.group(4, 5, 6)
         tag = tag.lower()
         if closing:
-            if tag in ("br", "p") and not any(n.tag == tag for n in stack):
+            if tag in ("br", "p") and not opened.get(tag):
                 stack[-1].children.append(Node(tag))  # </br> and a stray </p> stand for empty elements
                 continue
             fence = frozenset() if tag in ("table", "body", "html") else FENCE - {tag}
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if stack[i].tag in fence:
-                    break
+            if opened.get(tag) and opened[tag][-1] > shield(fence):
+                cut(opened[tag][-1])
             continue
         if tag == "html":
             continue
@@ -135,14 +149,14 @@ def parse(page: str) -> Node:
             close(frozenset(["p"]), FENCE | {"li", "dd", "dt", "div"} if tag in CLOSES_P else FENCE | {"div"})
         if tag in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
             row = Node("tr")
-            stack[-1].children.append(row)
-            stack.append(row)
+            attach(row)
+            push(row)
         hidden = tag in HIDDEN or bool(attributes and _MAY_HIDE.search(attributes) and _hides(attributes))
-        foreign = next((n.tag for n in reversed(stack) if n.tag in UNSEEN), None)
+        foreign = max((x for x in UNSEEN if opened.get(x)), key=lambda x: opened[x][-1], default=None)
         hidden = hidden or foreign is not None and tag in UNSEEN[foreign]
         start = int(s.group(1)) if tag == "ol" and attributes and (s := _START.search(attributes)) else 1
         node = Node(tag, hidden, start)
-        stack[-1].children.append(node)
+        attach(node)
         if tag in VOID or (foreign or tag in UNSEEN) and attributes and attributes.rstrip().endswith("/"):
             continue
         if tag in RAW:
@@ -156,8 +170,7 @@ def parse(page: str) -> Node:
         if tag == "plaintext":
             node.children.append(page[at:])
             break
-        if len(stack) < MAX_DEPTH:
-            stack.append(node)
+        push(node)
     return root
 
 

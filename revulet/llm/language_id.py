@@ -22,8 +22,8 @@ from . import common as C
 DIMENSIONS = 1024
 UNKNOWN = "und"
 HELD_OUT_OF, HELD_OUT = 3, 1
-#: Code points in one numpy step.
-STEP = 1 << 20
+#: Code points in one numpy step, and cells of the matrix of rows and codes in one product.
+STEP, CODES = 1 << 20, 4096
 
 
 @lru_cache
@@ -69,6 +69,28 @@ def ngram_vectors(codes: np.ndarray, dimensions: int) -> np.ndarray:
     return np.roll(own, 2, axis=1)[at[0]] * np.roll(own, 1, axis=1)[at[1]] * own[at[2]]
 
 
+def bundles(row: np.ndarray, code: np.ndarray, n: int, dimensions: int) -> np.ndarray:
+    """The sums of the bound vectors of each of n rows' codes. Codes are taken CODES at a time and rows 256 at a time,
+    so the memory is the same however many different codes a text has."""
+    out = np.zeros((n, dimensions), np.float32 if len(code) < 1 << 24 else np.float64)
+    order = np.lexsort((row, code))
+    row, code = row[order], code[order]
+    new = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (code[1:] != code[:-1]))[: len(row)])
+    times = np.diff(np.append(new, len(row)))
+    row, code = row[new], code[new]
+    codes, at = np.unique(code, return_inverse=True)
+    for low in range(0, len(codes), CODES):
+        own = slice(np.searchsorted(at, low), np.searchsorted(at, low + CODES))
+        vectors = ngram_vectors(codes[low : low + CODES], dimensions).astype(out.dtype)
+        rows, of = np.unique(row[own], return_inverse=True)
+        for some in range(0, len(rows), 256):
+            mine = (of >= some) & (of < some + 256)
+            counts = np.zeros((min(256, len(rows) - some), len(vectors)), out.dtype)
+            counts[of[mine] - some, at[own][mine] - low] = times[own][mine]
+            out[rows[some : some + 256]] += counts @ vectors
+    return out
+
+
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return C.steps(batches, limit=STEP)
 
@@ -81,9 +103,7 @@ def _train(batches: Iterator[pa.RecordBatch], dimensions: int) -> Iterator[pa.Re
         if not len(code):
             continue
         names, of = np.unique(langs.astype(str), return_inverse=True)
-        codes, at = np.unique(code, return_inverse=True)
-        counts = np.bincount(of[row] * len(codes) + at, minlength=len(names) * len(codes)).reshape(len(names), -1)
-        sums = np.rint(counts.astype(np.float64) @ ngram_vectors(codes, dimensions).astype(np.float64)).astype(np.int64)
+        sums = np.rint(bundles(of[row], code, len(names), dimensions)).astype(np.int64)
         for name, vector in zip(names, sums, strict=True):
             total[name] = total.get(name, 0) + vector
     yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([v.tolist() for v in total.values()], pa.list_(pa.int64()))], names=["lang", "vector"])
@@ -105,18 +125,12 @@ def _predict(batches: Iterator[pa.RecordBatch], langs: list[str], prototypes: np
         row, code = _trigrams(texts)
         best, score = np.full(len(texts), len(langs)), np.zeros(len(texts))
         if len(code) and langs:
-            codes, at = np.unique(code, return_inverse=True)
-            vectors = ngram_vectors(codes, dimensions).astype(np.float32)
             rows, of = np.unique(row, return_inverse=True)
-            for low in range(0, len(rows), 256):
-                mine = (of >= low) & (of < low + 256)
-                n = min(256, len(rows) - low)
-                counts = np.bincount((of[mine] - low) * len(codes) + at[mine], minlength=n * len(codes)).reshape(n, -1).astype(np.float32)
-                bundle = counts @ vectors
-                size = np.linalg.norm(bundle, axis=1, keepdims=True)
-                cosine = (bundle / np.where(size > 0, size, 1)) @ unit.T
-                best[rows[low : low + n]] = cosine.argmax(axis=1)
-                score[rows[low : low + n]] = np.clip(cosine.max(axis=1), 0, 1)
+            bundle = bundles(of, code, len(rows), dimensions)
+            size = np.linalg.norm(bundle, axis=1, keepdims=True)
+            cosine = (bundle / np.where(size > 0, size, 1)) @ unit.T
+            best[rows] = cosine.argmax(axis=1)
+            score[rows] = np.clip(cosine.max(axis=1), 0, 1)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names[best], pa.string()), pa.array(score.astype(np.float64))], names=["doc_id", "lang_pred", "score"])
 
 

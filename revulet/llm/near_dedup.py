@@ -208,11 +208,14 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int
     A class is what links connect: two texts are linked if the weighted Jaccard similarity of their runs of `width`
     words is at least `similarity`. class_id is the smallest doc_id of the class. Equal texts share a class. Null
     texts and texts without words are classes of their own; a text with fewer words than width is one run. Rows
-    without doc_id are left out; a doc_id is expected once; other columns are ignored.
+    without doc_id are left out; rows of one doc_id are classed each by its own text; other columns are ignored.
 
     A pair at the threshold shares no band with a probability of (1 - similarity**rows)**count, three in a million.
     """
     with C.Scratch() as tmp:
+        if again := C.numbered(docs, tmp):
+            classes = _classes_of_rows(*again, similarity=similarity, width=width, count=count, rows=rows)
+            return C.written(classes.select("doc_id", "class_id"), "classes")
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
         signed = tmp.written(texts.mapInArrow(lambda it: _signed(it, count, rows, width), "doc_id long, key_a long, key_b long, bands array<long>"), "bands")
         first = C.counted_apart(signed, ["key_a", "key_b"], F.min("doc_id").alias("rep"))
@@ -243,7 +246,23 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int
         return C.written(texts.select("doc_id").join(classes, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id")), "classes")
 
 
+def _classes_of_rows(own: DataFrame, row: str, **options) -> DataFrame:
+    """number, doc_id, class_id, first (the number of the class's first row) of the rows that numbered() gives."""
+    classes = near_duplicates(C.as_documents(own, row), **options)
+    ids = own.select(F.col(row).alias("number"), F.col("doc_id").cast("long").alias("doc_id"))
+    placed = ids.join(classes.select(F.col("doc_id").alias("number"), F.col("class_id").alias("group")), "number")
+    least = placed.groupBy("group").agg(F.min(F.struct("doc_id", "number")).alias("least"))
+    return placed.join(least, "group").select("number", "doc_id", F.col("least.doc_id").alias("class_id"), F.col("least.number").alias("first"))
+
+
 def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that are the first of their class, with all their columns; rows without doc_id stay."""
+    """The rows of docs that are the first of their class, with all their columns; rows without doc_id stay.
+
+    The first has the smallest doc_id; of several rows with that doc_id one stays.
+    """
+    if again := C.numbered(docs, C.Scratch()):
+        rows, row = again
+        later = C.written(_classes_of_rows(rows, row, **options).where("number <> first").select(F.col("number").alias(row)), "later")
+        return rows.join(later, row, "left_anti").select(*docs.columns)
     later = near_duplicates(docs, **options).where("doc_id <> class_id").select(F.col("doc_id").alias("_later"))
     return docs.join(later, docs["doc_id"] == later["_later"], "left_anti")

@@ -14,7 +14,7 @@ from .common import documents, plain_table, table
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.substring_dedup(documents(spark, sf_dir), texts=False).drop("kept")
+    return substring_dedup.substring_dedup(documents(spark, sf_dir), texts=False).drop("kept", "carried")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -79,7 +79,9 @@ def _candidates(data: np.ndarray, offsets: np.ndarray, found: pa.ListArray, wind
     starts, ends, index = C.words(data, offsets)
     row, place, *hashes = C.windows(C.byte_hash(data, starts, ends), index, window, two=two)
     where = np.diff(found.offsets.to_numpy()) if len(found) else np.zeros(0, np.int64)
-    at = index[:-1][np.repeat(np.arange(len(where)), where)] + found.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    of = np.repeat(np.arange(len(where)), where)
+    at = index[:-1][of] + found.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    at = at[at < index[1:][of]]  # places of other texts with this doc_id can lie beyond the end
     count = np.zeros(len(starts) + 1, np.int64)
     np.add.at(count, at + 1, 1)
     count = np.cumsum(count)
@@ -122,25 +124,28 @@ def _finish(batches: Iterator[pa.RecordBatch], window: int, period: int, texts:
                 kept = [own[i] for i in np.flatnonzero(~gone)]
             joined = b" ".join(kept)
             out.append((doc, n, n - len(kept), hashlib.sha256(joined).hexdigest(), (text if len(kept) == n else joined.decode()) if texts else None))
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*out, strict=True)) or [()] * 5, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*out, strict=True)) or [()] * 5, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"]).append_column("carried", batch.column(5))
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, period: int = PERIOD, texts: bool = True) -> DataFrame:
-    """For each row of docs (doc_id, text): doc_id, n_words, n_removed, kept_sha256, kept.
+def substring_dedup(docs: DataFrame, window: int = WINDOW, period: int = PERIOD, texts: bool = True, carried: Column | None = None) -> DataFrame:
+    """For each row of docs (doc_id, text): doc_id, n_words, n_removed, kept_sha256, kept, and the long `carried`.
 
     Removed is each word in a run of `window` words that also starts in a document with a smaller doc_id, judged on
     the input. Null and empty texts have no words and stay, as do texts shorter than the window. Of equal texts only
-    that with the smallest doc_id counts as first; a doc_id is expected once, and rows without one are left out. Other
-    columns are ignored. kept is the words left, joined by one space, or the text as it is if none are removed (always
+    that with the smallest doc_id counts as first. Rows of one doc_id lose nothing to one another; those without a
+    doc_id are left out. Other columns are ignored. kept is the words left, joined by one space, or the text as it is if none are removed (always
     null unless texts); kept_sha256 is of the words left, joined by one space.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    carried = F.lit(None).cast("long") if carried is None else carried
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), carried.alias("carried")).where("doc_id is not null")
     # Whole copies: all but the first lose all their words, so only the first offers anchors and windows. Every step
     # that needs texts reads them from the one exchange by doc_id.
     digest = rows.select("doc_id", F.md5("text").alias("digest"))
     first = C.counted_apart(digest, ["digest"], F.min("doc_id").alias("first")).where("n > 1")
-    copies = digest.join(first, "digest").where("doc_id > first").select("doc_id", F.lit(True).alias("copy"))
-    marked = rows.join(copies, "doc_id", "left")
+    # A doc_id has one digest, unless its rows differ.
+    copies = digest.join(first, "digest").where("doc_id > first").groupBy("doc_id").agg(F.collect_set("digest").alias("digests"))
+    copy = F.when(F.col("digests").isNotNull() & F.array_contains("digests", F.md5("text")), True)
+    marked = rows.join(copies, "doc_id", "left").withColumn("copy", copy).drop("digests")
     own = marked.where("copy is null").select("doc_id", "text")
     anchors = own.mapInArrow(lambda it: _anchors(it, window, period, False), "anchor long, doc_id long, place int")
     # Both counts below read the same exchange; the filter, which the joins imply, is said once for both.
@@ -158,8 +163,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, period: int = PERIOD,
     # The first document of each window owns it, and a document loses those that it doesn't own. So what goes back to
     # documents is a row for each different window, and no row of a window that thousands share meets the others.
     owned = candidates.groupBy("one", "two").agg(F.min("doc_id").alias("doc_id")).groupBy("doc_id").agg(F.collect_list("one").alias("owned"))
-    rows = marked.join(places, "doc_id", "left").join(owned, "doc_id", "left").select("doc_id", "text", "copy", F.when(F.col("copy").isNull(), F.col("places")).alias("places"), "owned")
-    return rows.mapInArrow(lambda it: _finish(it, window, period, texts), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    rows = marked.join(places, "doc_id", "left").join(owned, "doc_id", "left").select("doc_id", "text", "copy", F.when(F.col("copy").isNull(), F.col("places")).alias("places"), "owned", "carried")
+    return rows.mapInArrow(lambda it: _finish(it, window, period, texts), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, carried long")
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -167,12 +172,15 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     Rows that lose all their words go; n_chars, where there, follows the text. Rows without doc_id stay as they are.
     """
-    left = substring_dedup(docs, window).select(F.col("doc_id").alias("_id"), "n_words", "n_removed", "kept")
+    key, columns = "doc_id", docs.columns
+    if again := C.numbered(docs, C.Scratch()):
+        docs, key = again
+    left = substring_dedup(docs, window, carried=F.col(key).cast("long")).select(F.col("carried").alias("_id"), "n_words", "n_removed", "kept")
     removed, n_words, kept = left["n_removed"], left["n_words"], left["kept"]
     # Texts come with the operator's rows; of docs only the other columns are exchanged, and texts without doc_id.
     others = docs.withColumn("text", F.when(F.col("doc_id").isNull(), F.col("text")))
-    rows = others.join(left, others["doc_id"] == left["_id"], "left").where(removed.isNull() | (removed == 0) | (removed < n_words))
+    rows = others.join(left, others[key] == left["_id"], "left").where(removed.isNull() | (removed == 0) | (removed < n_words))
     new = {"text": F.when(removed.isNull(), others["text"]).otherwise(kept).alias("text")}
-    if "n_chars" in docs.columns:
+    if "n_chars" in columns:
         new["n_chars"] = F.when(removed > 0, F.char_length(kept)).otherwise(others["n_chars"]).cast(docs.schema["n_chars"].dataType).alias("n_chars")
-    return rows.select(*(new.get(c, others[c]) for c in docs.columns))
+    return rows.select(*(new.get(c, others[c]) for c in columns))

@@ -266,10 +266,12 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most:
     Texts are UTF-8 bytes. Removed is each byte in a string of `length` bytes that also starts anywhere else, in the
     same text or another one, judged on the input; so of equal texts of that length none is left. Null and empty texts
     have no bytes. kept is the bytes left, which may end within a character (null unless texts). Rows without doc_id
-    are left out; a doc_id is expected once; other columns are ignored.
+    are left out; rows of one doc_id are texts each by itself; other columns are ignored.
     """
     if gram >= length:
         raise ValueError("gram must be shorter than length")
+    if again := C.numbered(docs, C.Scratch()):
+        return C.own_ids(*again, suffix_dedup(C.as_documents(*again), length, gram, most, texts))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     digest = rows.select("doc_id", F.md5("text").alias("digest"))
     groups = C.counted_apart(digest, ["digest"], F.min("doc_id").alias("first")).where("n > 1")
