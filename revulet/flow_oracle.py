@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from .fixtures import READINGS, TEMPLATES
+from . import flow_queries as flow
 from .functions import fixed
 from .operators.gates import LABELS
-from .oracle import APP, THEMES, _col, _found, _list, _q, _rnd
+from .oracle import APP, CTES as BASE, MINIMUM, THEMES, _col, _found, _list, _q, _rnd
 
 
 def _case(c: str, a: str, b: str) -> str:
@@ -67,3 +68,67 @@ QUERIES = {
     "evaluation_gates": "SELECT * FROM checked",
     "evaluation_status": "SELECT benchmark, count(*) AS gates, count(*) FILTER (NOT passed) AS failed, CASE WHEN count(*) FILTER (NOT passed) > 0 THEN 'fail' ELSE 'pass' END AS status FROM checked GROUP BY benchmark",
 }
+
+
+# --- cohorts: the gate's CTEs over reviews whose application is the case -------------------------------
+
+_FRONT = f"CASE WHEN (d // 6) % 2 = 0 THEN {_q(flow.FRONTS[0][0])} ELSE {_q(flow.FRONTS[1][0])} END"
+_ANY = " OR ".join(f"len({_col(t)}) > 0" for t in THEMES)
+_SCOPES = [s.replace("-", "_") for s in fixed.SCOPES]
+_ROWS = lambda rows: "(VALUES " + ", ".join("(" + ", ".join(map(_q, r)) + ")" for r in rows) + ")"
+
+COHORT = {
+    "raw_base": BASE["raw"],
+    "raw": f"SELECT * FROM (SELECT * REPLACE (app_id || '-' || source || '-' || {_FRONT} AS app_id) FROM raw_base) WHERE app_id NOT IN ({_q(flow.DOWN)}, {_q(flow.BROKEN)})",
+    "cases": f"""SELECT a || '-' || s || '-' || f AS slug, a AS app_slug, 'App ' || n AS name, 'test' AS category, s AS store, f AS storefront, c AS country, l AS language, u || n AS url
+    FROM (SELECT DISTINCT 'app-' || (doc_id % 3) AS a, (doc_id % 3)::VARCHAR AS n FROM documents UNION ALL SELECT {_q(flow.SILENT)}, '99') x, {_ROWS(flow.STORES.items())} y(s, u), {_ROWS(flow.FRONTS)} z(f, c, l)""",
+    "covered": f"SELECT r.app_id, count(*) AS complaints, count(*) FILTER ({_ANY}) AS matched FROM ready r JOIN hits h ON h.source = r.source AND h.app_id = r.app_id AND h.app_version = r.current_version AND h.rating <= 3 GROUP BY r.app_id",
+    "own_scopes": f"SELECT r.app_id, {', '.join(f'sum(s.count) FILTER (s.scope = {_q(s)})::BIGINT AS {n}' for s, n in zip(fixed.SCOPES, _SCOPES))} FROM ready r JOIN scope_counts s ON s.app_id = r.app_id AND s.app_version = r.current_version GROUP BY r.app_id",
+    "own_issues": f"""SELECT k.app_id, string_agg(k.id || ':' || k.count || ':' || k.supported, ',' ORDER BY k.id || ':' || k.count || ':' || k.supported) AS actionable,
+      coalesce(string_agg(k.id, ',' ORDER BY k.id) FILTER (k.supported), '') AS supported FROM actionable k JOIN ready r ON r.app_id = k.app_id AND r.current_version = k.app_version GROUP BY k.app_id""",
+    "own_violations": "SELECT app_id, string_agg(id || ':' || severity, ',' ORDER BY id || ':' || severity) AS violations FROM all_violations GROUP BY app_id",
+    "case_results": f"""SELECT c.slug, c.app_slug, c.store, c.storefront, coalesce(v.status, 'error') AS status,
+      CASE WHEN v.status IS NULL THEN CASE c.slug WHEN {_q(flow.DOWN)} THEN 'The store answered 503' WHEN {_q(flow.BROKEN)} THEN 'The answer can''t be read' ELSE 'The sources returned no reviews' END END AS message,
+      CASE WHEN v.status IS NOT NULL THEN 200 WHEN c.slug = {_q(flow.DOWN)} THEN 503 ELSE 502 END AS http_status, v.status IS NULL AND c.slug <> {_q(flow.BROKEN)} AS retryable,
+      coalesce(a.total, 0) AS fetched_reviews, r.current_version, r.baseline_version, coalesce(r.current_count, 0) AS current_reviews, r.reason,
+      CASE WHEN v.status IS NOT NULL THEN greatest(0, {MINIMUM} - coalesce(r.current_count, 0)) ELSE 0 END AS current_missing, CASE WHEN v.status IS NOT NULL THEN greatest(0, {MINIMUM} - coalesce(r.baseline_count, r.candidate_count, 0)) ELSE 0 END AS baseline_missing,
+      v.rating_drop, v.negative_share_increase, l.level AS link_level, coalesce(l.linked_count, 0) AS linked_count, coalesce(w.software, 0) AS software_count, coalesce(w.unclear, 0) AS unclear_count, {", ".join(f"w.{n} AS scope_{n}" for n in _SCOPES)},
+      coalesce(v.decision, 'observe') AS decision, CASE WHEN v.status = 'fail' THEN coalesce(i.supported, '') ELSE '' END AS issue_ids, coalesce(i.actionable, '') AS actionable, coalesce(m.complaints, 0) AS complaints, coalesce(m.matched, 0) AS matched,
+      CASE WHEN m.complaints > 0 THEN {_rnd("m.matched::DOUBLE / nullif(m.complaints, 0)", 3, False)} END AS rate, coalesce(x.violations, '') AS violations
+    FROM cases c LEFT JOIN all_verdicts v ON v.app_id = c.slug LEFT JOIN ready r ON r.app_id = c.slug LEFT JOIN anchors a ON a.app_id = c.slug LEFT JOIN link_levels l ON l.app_id = c.slug AND l.app_version = r.current_version
+    LEFT JOIN own_scopes w ON w.app_id = c.slug LEFT JOIN own_issues i ON i.app_id = c.slug LEFT JOIN covered m ON m.app_id = c.slug LEFT JOIN own_violations x ON x.app_id = c.slug""",
+}
+_N = lambda c: f"count(*) FILTER ({c})"
+_DONE = "status <> 'error'"
+_LEVEL = "coalesce(link_level, 'unknown')"
+_COUNTS = ", ".join(
+    [f"{_N(f'status = {_q(s)}')} AS {n}" for s, n in (("pass", "passed"), ("fail", "failed"), ("insufficient-data", "insufficient"), ("error", "errors"))]
+    + [f"{_N(f'{_DONE} AND {_LEVEL} = {_q(x)}')} AS link_{x}" for x in ("supported", "limited", "none", "unknown")]
+    + [f"coalesce(sum(scope_{n}) FILTER ({_DONE}), 0)::BIGINT AS scope_{n}" for n in _SCOPES]
+    + [f"{_N(f'{_DONE} AND decision = {_q(x)}')} AS triage_{x.replace('-', '_')}" for x in ("software-regression", "manual-review", "observe")]
+)
+_DROP = ", ".join(["reason", *(f"scope_{n}" for n in _SCOPES)])
+_REASON = "CASE reason WHEN 'partial-source' THEN 'source' WHEN 'current-too-small' THEN 'current' WHEN 'baseline-too-small' THEN 'baseline' WHEN 'no-baseline' THEN 'baseline' ELSE 'unavailable' END"
+
+COHORT_QUERIES = {
+    "manifest_cases": "SELECT * FROM cases",
+    "cohort_results": f"SELECT * EXCLUDE ({_DROP}) FROM case_results",
+    "cohort_roll_up": f"""SELECT *, total - errors AS completed, passed + failed AS decidable, CASE WHEN total - errors > 0 THEN {_rnd("(passed + failed)::DOUBLE / nullif(total - errors, 0)", 3, False)} ELSE 0 END AS decidable_rate,
+      CASE WHEN complaints > 0 THEN {_rnd("matched::DOUBLE / nullif(complaints, 0)", 3, False)} END AS coverage_rate FROM (
+      SELECT CASE WHEN store IS NOT NULL THEN 'store' WHEN storefront IS NOT NULL THEN 'storefront' ELSE 'all' END AS level, coalesce(store, storefront, 'all') AS name, count(*) AS total, {_COUNTS}, sum(complaints)::BIGINT AS complaints, sum(matched)::BIGINT AS matched
+      FROM case_results GROUP BY GROUPING SETS ((store), (storefront), ()))""",
+    "cohort_violation_ranks": "SELECT id, cases, row_number() OVER (ORDER BY cases DESC, id)::INTEGER AS rank FROM (SELECT id, count(*) AS cases FROM all_violations GROUP BY id)",
+    "cohort_reasons": f"SELECT reason, coalesce(n, 0) AS cases FROM (VALUES ('current'), ('baseline'), ('unavailable'), ('source')) t(reason) LEFT JOIN (SELECT {_REASON} AS reason, count(*) AS n FROM case_results WHERE status = 'insufficient-data' GROUP BY 1) USING (reason)",
+}
+
+_GOOGLE, _APPLE = _q(flow.STORES["google-play"]), _q(flow.STORES["apple-app-store"])
+_SLUG = "CASE WHEN page_id % 7 = 2 THEN 'Page ' ELSE 'page-' END || page_id"
+QUERIES["manifest_problems"] = f"""SELECT rule, subject, count(*) AS n FROM (
+  SELECT 'schema-version' AS rule, NULL AS subject FROM pages WHERE page_id % 5 = 4
+  UNION ALL SELECT 'limit', '10' FROM pages WHERE page_id % 6 = 5
+  UNION ALL SELECT 'too-few-storefronts', '1' FROM pages WHERE page_id % 8 = 7
+  UNION ALL SELECT 'slug', {_SLUG} FROM pages WHERE page_id % 7 = 2
+  UNION ALL SELECT 'no-name', {_SLUG} FROM pages WHERE page_id % 9 = 3
+  UNION ALL SELECT 'repeated-slug', slug FROM (SELECT {_SLUG} AS slug FROM pages) GROUP BY slug HAVING count(*) > 1
+  UNION ALL SELECT 'store', {_SLUG} FROM pages WHERE page_id % 4 = 1 AND NOT regexp_matches(url, '^https?://play[.]google[.]com/store/apps/details[?](.*&)?id=[^&#]')
+  UNION ALL SELECT 'expected-cases', CASE WHEN page_id % 8 = 7 THEN '2' ELSE '4' END FROM pages WHERE page_id % 10 = 9) GROUP BY ALL"""

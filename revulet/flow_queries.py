@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .fixtures import READINGS, TEMPLATES
-from .operators import gates
-from .queries import query, reviews
-from .sources import labelled
+from .fixtures import READINGS, TEMPLATES, raw_reviews
+from .operators import cohort_run, gates, privacy
+from .queries import POLICY, RUN, query, reviews
+from .sources import labelled, manifests
 from .storage import new_path
 
 BENCHMARKS = ("theme", "release-link", "actionability")
@@ -69,3 +69,99 @@ def evaluation_gates(spark, d):
 @query
 def evaluation_status(spark, d):
     return gates.status(gates.check(_measured(spark, d), gates.policy_gates(spark))).drop("worst")
+
+
+# --- cohorts ------------------------------------------------------------------------------------------
+
+FRONTS = [("us-en", "US", "en"), ("de-de", "DE", "de")]
+STORES = {"apple-app-store": "https://apps.apple.com/us/app/x/id", "google-play": "https://play.google.com/store/apps/details?id=com.x"}
+#: Cases whose first page can't be had or can't be read, and an application that has no reviews.
+DOWN, BROKEN, SILENT = "app-1-google-play-us-en", "app-2-apple-app-store-de-de", "app-silent"
+REVIEW = "struct<reviewId:string,body:string,score:double,language:string,country:string,version:string,userName:string,thumbsUp:long,date:string,updatedAt:string,ordinal:long>"
+PAGE = 50
+
+
+def manifest(spark: SparkSession, d: str) -> DataFrame:
+    """A matrix manifest of the documents' applications in two stores and storefronts, written as JSON and read."""
+    number = F.col("doc_id") % 3
+    apps = spark.read.parquet(f"{d}/documents.parquet").select(F.concat(F.lit("app-"), number.cast("string")).alias("slug"), number.cast("string").alias("n")).distinct()
+    apps = apps.unionByName(spark.createDataFrame([(SILENT, "99")], "slug string, n string"))
+    sources = F.array(*(F.struct(F.lit(s).alias("store"), F.concat(F.lit(url), "n").alias("url")) for s, url in STORES.items()))
+    app = F.struct("slug", F.concat(F.lit("App "), "n").alias("name"), F.lit("test").alias("category"), sources.alias("sources"))
+    fronts = F.array(*(F.struct(F.lit(s).alias("slug"), F.lit(c).alias("country"), F.lit(x).alias("language")) for s, c, x in FRONTS))
+    one = apps.agg(F.sort_array(F.collect_list(app)).alias("apps")).select(F.lit(1).alias("schemaVersion"), F.lit(2000).alias("limit"), fronts.alias("storefronts"), (F.size("apps") * 4).alias("expectedCases"), "apps")
+    path = new_path(spark, "manifest")
+    one.write.json(path)
+    return manifests.read_manifest(spark, path)
+
+
+def answers(spark: SparkSession, d: str) -> DataFrame:
+    """What the stores answered to each case's requests: pages of at most fifty documents' reviews."""
+    doc = F.col("reviewId").cast("long")
+    front = F.when(F.expr("cast(reviewId as long) div 6 % 2") == 0, FRONTS[0][0]).otherwise(FRONTS[1][0])
+    time = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias(c)
+    rows = raw_reviews(spark, d).select(F.concat_ws("-", "appId", "source", front).alias("slug"), (F.floor(doc / (12 * PAGE)) + 1).cast("int").alias("page"), "reviewId", "body", "score", "language", "country", "version", "userName", "thumbsUp", time("date"), time("updatedAt"), "ordinal")
+    body = F.to_json(F.collect_list(F.struct(*rows.columns[2:])))
+    pages = rows.groupBy("slug", "page").agg(body.alias("body"))
+    first = F.col("page") == 1
+    down, broken = first & (F.col("slug") == DOWN), first & (F.col("slug") == BROKEN)
+    return pages.select("slug", "page", F.when(down, 503).otherwise(200).alias("status"), F.when(broken, F.expr("substr(body, 1, length(body) - 2)")).otherwise(F.col("body")).alias("body"))
+
+
+def cohort_cases(spark: SparkSession, d: str) -> DataFrame:
+    """The results of the manifest's cases, as far as they may leave."""
+    cases = manifests.cases(manifest(spark, d))
+    rows = cohort_run.results(cases, cohort_run.outcomes(cases, answers(spark, d), REVIEW), POLICY, RUN)
+    return privacy.check(rows.select(*privacy.projection(rows.schema, [*privacy.COHORT, "reason"])))
+
+
+@query
+def manifest_cases(spark, d):
+    return manifests.cases(manifest(spark, d)).drop("limit")
+
+
+@query
+def cohort_results(spark, d):
+    rows = cohort_cases(spark, d)
+    listed = lambda c, f: F.concat_ws(",", F.array_sort(F.transform(c, f)))
+    return rows.select(
+        "slug", "app_slug", "store", "storefront", "status", F.col("error.message").alias("message"), F.coalesce("error.status", F.lit(200)).alias("http_status"), F.coalesce("error.retryable", F.lit(False)).alias("retryable"), "fetched_reviews", "current_version", "baseline_version", "current_reviews",
+        F.coalesce("version_evidence.current.missing_reviews", F.lit(0)).alias("current_missing"), F.coalesce("version_evidence.baseline.missing_reviews", F.lit(0)).alias("baseline_missing"), "rating_drop", "negative_share_increase", F.col("release_link.level").alias("link_level"),
+        F.coalesce("release_link.linked_count", F.lit(0)).alias("linked_count"), F.coalesce("actionability.software_count", F.lit(0)).alias("software_count"), F.coalesce("actionability.counts.unclear", F.lit(0)).alias("unclear_count"), F.col("triage.decision").alias("decision"), F.concat_ws(",", F.array_sort("triage.issue_ids")).alias("issue_ids"),
+        listed("actionability.actionable_issues", lambda x: F.concat_ws(":", x["id"], x["count"].cast("string"), x["supported"].cast("string"))).alias("actionable"),
+        F.col("coverage.complaints").alias("complaints"), F.col("coverage.matched").alias("matched"), F.col("coverage.rate").alias("rate"), listed("violations", lambda v: F.concat_ws(":", v["id"], v["severity"])).alias("violations"),
+    )
+
+
+@query
+def cohort_roll_up(spark, d):
+    return cohort_run.roll_up(cohort_cases(spark, d))
+
+
+@query
+def cohort_violation_ranks(spark, d):
+    return cohort_run.ranked_violations(cohort_cases(spark, d))
+
+
+@query
+def cohort_reasons(spark, d):
+    return cohort_run.reasons(cohort_cases(spark, d))
+
+
+@query
+def manifest_problems(spark, d):
+    """Every page as a manifest of its own, most of them faulty in a way that its id sets."""
+    i = F.col("page_id")
+    url = F.when(i % 4 == 1, F.col("url")).otherwise(F.concat(F.lit(STORES["google-play"]), i.cast("string")))
+    source = lambda store, address: F.struct(F.lit(store).alias("store"), address.alias("url"))
+    sources = F.array(source("google-play", url), source("apple-app-store", F.concat(F.lit(STORES["apple-app-store"]), i.cast("string"))))
+    app = lambda slug: F.struct(slug.alias("slug"), F.when(i % 9 == 3, " ").otherwise("Name").alias("name"), F.lit("c").alias("category"), sources.alias("sources"))
+    slug = F.concat(F.when(i % 7 == 2, F.lit("Page ")).otherwise(F.lit("page-")), i.cast("string"))
+    fronts = F.array(*(F.struct(F.lit(s).alias("slug"), F.lit(c).alias("country"), F.lit(x).alias("language")) for s, c, x in FRONTS))
+    rows = spark.read.parquet(f"{d}/pages.parquet").select(
+        F.when(i % 5 != 4, 1).alias("schemaVersion"), F.when(i % 6 == 5, 10).otherwise(300).alias("limit"), F.when(i % 8 == 7, F.slice(fronts, 1, 1)).otherwise(fronts).alias("storefronts"), F.when(i % 10 == 9, 5).otherwise(F.when(i % 8 == 7, 2).otherwise(4)).alias("expectedCases"), F.array(app(slug)).alias("apps")
+    )
+    path = new_path(spark, "manifests")
+    rows.write.json(path)
+    read = spark.read.schema(manifests.MANIFEST).json(path)
+    return manifests.problems(read).groupBy("rule", "subject").agg(F.count("*").alias("n"))

@@ -55,7 +55,7 @@ def summary(verdicts: DataFrame) -> DataFrame:
     )
     decidable = F.col("passed") + F.col("failed")
     return out.select(
-        "level", "name", "total", "passed", "failed", "insufficient", "errors", (F.col("total") - F.col("errors")).alias("completed"), decidable.alias("decidable"), F.when(F.col("total") == 0, 0.0).otherwise(half_up(decidable / F.nullif(F.col("total"), F.lit(0)), 3, epsilon=False)).alias("decidable_rate")
+        "level", "name", "total", "passed", "failed", "insufficient", "errors", (F.col("total") - F.col("errors")).alias("completed"), decidable.alias("decidable"), F.when(F.col("total") == F.col("errors"), 0.0).otherwise(half_up(decidable / F.nullif(F.col("total") - F.col("errors"), F.lit(0)), 3, epsilon=False)).alias("decidable_rate")
     )
 
 

@@ -358,30 +358,33 @@ QUERIES = {
 }
 
 
-def _needed(sql: str) -> list[str]:
-    """The names of CTES that a query reads, directly or not, in order."""
+def _needed(sql: str, ctes: dict[str, str]) -> list[str]:
+    """The names of CTEs that a query reads, directly or not, in order."""
     found: set[str] = set()
     todo = [sql]
     while todo:
         text = todo.pop()
-        for name in CTES:
+        for name in ctes:
             if name not in found and re.search(rf"\b(?:FROM|JOIN)\s+\(*{name}\b", text):
                 found.add(name)
-                todo.append(CTES[name])
-    return [name for name in CTES if name in found]
+                todo.append(ctes[name])
+    return [name for name in ctes if name in found]
+
+
+def _with(sql: str, ctes: dict[str, str]) -> str:
+    parts = [f"{name} AS MATERIALIZED ({ctes[name]})" for name in _needed(sql, ctes)]
+    if sql.startswith("WITH "):
+        head, body = sql[5:].split(")\n      SELECT", 1)
+        parts.append(head + ")")
+        sql = "SELECT" + body
+    return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + sql
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import flow_oracle
-
-    CTES.update(flow_oracle.CTES)
-    out = {}
-    for key, sql in (QUERIES | flow_oracle.QUERIES).items():
-        parts = [f"{name} AS MATERIALIZED ({CTES[name]})" for name in _needed(sql)]
-        body = sql
-        if body.startswith("WITH "):
-            head, body = body[5:].split(")\n      SELECT", 1)
-            parts.append(head + ")")
-            body = "SELECT" + body
-        out[key] = ("WITH " + ",\n".join(parts) + "\n" if parts else "") + body
-    return out
+    from . import flow_oracle as flow
+
+    ctes = CTES | flow.CTES
+    # The cohort's raw reviews take the place of the others; what is made of them follows in the same order.
+    of_cases = {name: sql for name, sql in flow.COHORT.items() if name in ("raw_base", "raw")}
+    of_cases |= {name: sql for name, sql in CTES.items() if name != "raw"} | {name: sql for name, sql in flow.COHORT.items() if name not in of_cases}
+    return {key: _with(sql, ctes) for key, sql in (QUERIES | flow.QUERIES).items()} | {key: _with(sql, of_cases) for key, sql in flow.COHORT_QUERIES.items()}
