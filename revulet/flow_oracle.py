@@ -6,7 +6,7 @@ from .fixtures import READINGS, TEMPLATES
 from . import flow_queries as flow
 from .functions import fixed
 from .operators.gates import LABELS
-from .oracle import APP, CTES as BASE, MINIMUM, THEMES, _col, _found, _list, _q, _rnd
+from .oracle import APP, CTES as BASE, MINIMUM, THEMES, _col, _found, _iso, _list, _q, _rnd
 
 
 def _case(c: str, a: str, b: str) -> str:
@@ -132,3 +132,35 @@ QUERIES["manifest_problems"] = f"""SELECT rule, subject, count(*) AS n FROM (
   UNION ALL SELECT 'repeated-slug', slug FROM (SELECT {_SLUG} AS slug FROM pages) GROUP BY slug HAVING count(*) > 1
   UNION ALL SELECT 'store', {_SLUG} FROM pages WHERE page_id % 4 = 1 AND NOT regexp_matches(url, '^https?://play[.]google[.]com/store/apps/details[?](.*&)?id=[^&#]')
   UNION ALL SELECT 'expected-cases', CASE WHEN page_id % 8 = 7 THEN '2' ELSE '4' END FROM pages WHERE page_id % 10 = 9) GROUP BY ALL"""
+
+
+# --- fingerprints and embedded reviews ----------------------------------------------------------------
+
+_STRING = lambda x: f"coalesce(to_json({x}::VARCHAR)::VARCHAR, 'null')"
+_NUMBER = lambda x: f"CASE WHEN {x} = floor({x}) THEN ({x})::BIGINT::VARCHAR ELSE ({x})::DOUBLE::VARCHAR END"
+_REPLY = f"""CASE WHEN d % 5 = 0 THEN '{{"body":' || {_STRING("'Thanks ' || chr(34) || d || chr(34)")} || ',"createdAt":' || CASE WHEN d % 10 = 0 THEN '"2024-03-31T00:00:00.000Z"' ELSE 'null' END || '}}' ELSE 'null' END"""
+_FIELDS = [
+    ("appId", _STRING("app_id")), ("appVersion", _STRING("app_version")), ("author", _STRING("author")), ("body", _STRING("body")), ("country", _STRING("country")), ("createdAt", _STRING(_iso("created_ms"))),
+    ("helpfulCount", _NUMBER("(helpful_count + CASE WHEN d % 6 = 5 THEN 0.1::DOUBLE ELSE 0 END)")), ("language", _STRING("language")), ("rating", _NUMBER("greatest(1, least(5, rating - CASE WHEN d % 4 = 1 THEN 0.25::DOUBLE ELSE 0 END))")),
+    ("reply", _REPLY), ("reviewId", _STRING("review_id")), ("source", _STRING("source")), ("sourceUrl", "'null'"), ("title", _STRING("title")), ("updatedAt", _STRING(_iso("updated_ms"))),
+]
+_RECORD = "'{' || " + " || ',' || ".join(f"{_q(chr(34) + name + chr(34) + ':')} || {value}" for name, value in _FIELDS) + " || '}'"
+CTES["records"] = f"SELECT {APP}, created_ms, position, {_RECORD} AS json FROM dedup"
+QUERIES["dataset_hashes"] = f"""SELECT source, app_id, review_count, content_hash, tree_hash FROM (
+  SELECT {APP}, count(*) AS review_count, CASE WHEN count(*) <= 2000 THEN sha256('[' || string_agg(json, ',' ORDER BY created_ms DESC, position) || ']') END AS content_hash FROM records GROUP BY ALL)
+  JOIN (SELECT {APP}, sha256(string_agg(part, ',' ORDER BY hour DESC)) AS tree_hash FROM (
+    SELECT {APP}, created_ms // 3600000 AS hour, sha256(string_agg(sha256(json), ',' ORDER BY created_ms DESC, position)) AS part FROM records GROUP BY ALL) GROUP BY {APP}) USING ({APP})"""
+
+_HEAD = """'{"$kind":"Review","id":"' || doc_id || '","title":"t","rating":' || (1 + doc_id % 6) || ',"reviewerName":"user ' || (doc_id % 17) || '","date":"2024-03-01T00:00:00Z"'"""
+_WRAP = lambda one, n: f"repeat('{{\"a\":[', ({n})::BIGINT) || {one} || '}}' || repeat(']}}', ({n})::BIGINT)"
+_OWN = _HEAD + """ || CASE WHEN doc_id % 10 = 9 THEN '' ELSE ',"contents":' || to_json(text)::VARCHAR END"""
+CTES["page_texts"] = f"""SELECT doc_id // 5 AS page, '[' || string_agg({_WRAP(_OWN, "doc_id % 4")} || ',' || {_WRAP(_HEAD + " || ',\"contents\":\"later\"'", "doc_id % 4 + 1 + doc_id % 2")}, ',' ORDER BY doc_id) || ']' AS data FROM documents WHERE text IS NOT NULL GROUP BY 1"""
+CTES["page_rows"] = "SELECT page, page % 20 = 5 AS none, page % 20 = 3 AS bad, replace(data, '</', '<_') AS data FROM page_texts"
+CTES["page_nodes"] = """SELECT page, j.id, length(regexp_replace(j.fullkey, '[^.\\[]', '', 'g')) AS depth, j.value AS node FROM (SELECT * FROM page_rows WHERE NOT none AND NOT bad) p, json_tree(p.data) j
+  WHERE j.type = 'OBJECT' AND json_extract_string(j.value, '$."$kind"') = 'Review'"""
+CTES["page_reviews"] = """SELECT *, row_number() OVER (PARTITION BY page ORDER BY depth, id) AS rank FROM (
+  SELECT page, id, depth, json_extract_string(node, '$.id') AS review_id, trim(json_extract_string(node, '$.contents')) AS body, json_extract_string(node, '$.rating')::DOUBLE AS rating, json_extract_string(node, '$.reviewerName') AS author, json_extract_string(node, '$.date') AS created_at FROM page_nodes)
+  WHERE body <> '' AND rating BETWEEN 1 AND 5 QUALIFY row_number() OVER (PARTITION BY page, review_id ORDER BY depth, id) = 1"""
+QUERIES["embedded_reviews"] = "SELECT page, rank::INTEGER AS rank, review_id, rating, author, created_at, depth::INTEGER AS depth, md5(body) AS body_md5 FROM (SELECT * EXCLUDE (rank), row_number() OVER (PARTITION BY page ORDER BY depth, id) AS rank FROM page_reviews) WHERE rank <= 3"
+QUERIES["embedded_page_status"] = """SELECT page, CASE WHEN none THEN 'no-data' WHEN bad THEN 'invalid-data' WHEN n IS NULL THEN 'no-reviews' ELSE 'ok' END AS status, none OR bad OR n IS NULL AS retryable, coalesce(n, 0) AS reviews
+  FROM page_rows LEFT JOIN (SELECT page, least(count(*), 10) AS n FROM page_reviews GROUP BY page) USING (page)"""

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .fixtures import READINGS, TEMPLATES, raw_reviews
-from .operators import cohort_run, gates, privacy
+from .operators import cohort_run, gates, privacy, provenance
+from .operators.reviews import latest
 from .queries import POLICY, RUN, query, reviews
-from .sources import labelled, manifests
+from .sources import embedded, labelled, manifests
 from .storage import new_path
 
 BENCHMARKS = ("theme", "release-link", "actionability")
@@ -165,3 +166,48 @@ def manifest_problems(spark, d):
     rows.write.json(path)
     read = spark.read.schema(manifests.MANIFEST).json(path)
     return manifests.problems(read).groupBy("rule", "subject").agg(F.count("*").alias("n"))
+
+
+# --- fingerprints -------------------------------------------------------------------------------------
+
+
+@query
+def dataset_hashes(spark, d):
+    """Hashes of whole datasets with replies to every fifth review."""
+    doc = F.col("reviewId").cast("long")
+    raw = raw_reviews(spark, d).withColumn("reply", F.when(doc % 5 == 0, F.struct(F.concat(F.lit('Thanks "'), "reviewId", F.lit('"')).alias("body"), F.when(doc % 10 == 0, F.lit("2024-03-31T00:00:00.000Z")).alias("created_at"))))
+    rated = raw.withColumns({"score": F.col("score") - F.when(doc % 4 == 1, 0.25).otherwise(0), "thumbsUp": F.col("thumbsUp") + F.when(doc % 6 == 5, 0.1).otherwise(0)})
+    return provenance.dataset_hashes(latest(rated, RUN))
+
+
+# --- reviews embedded in pages ------------------------------------------------------------------------
+
+
+def embedding_pages(spark: SparkSession, d: str) -> DataFrame:
+    """page, html: five documents a page as reviews in its data, at depths that differ, each a second time with another
+    text farther down. Some pages have no data or data that is no JSON, some reviews no text or too many stars."""
+    i = F.col("doc_id")
+    head = lambda text: F.concat(F.lit('{"$kind":"Review","id":"'), i.cast("string"), F.lit('","title":"t","rating":'), (1 + i % 6).cast("string"), F.lit(',"reviewerName":"user '), (i % 17).cast("string"), F.lit('","date":"2024-03-01T00:00:00Z"'), text, F.lit("}"))
+    wrapped = lambda one, n: F.concat(F.repeat(F.lit('{"a":['), n), one, F.repeat(F.lit("]}"), n))
+    depth = (i % 4).cast("int")
+    own = F.when(i % 10 == 9, F.lit("")).otherwise(F.concat(F.lit(',"contents":'), F.expr("substr(to_json(struct(text as x)), 6, length(to_json(struct(text as x))) - 6)")))
+    later = F.lit(',"contents":"later"')
+    both = F.concat(wrapped(head(own), depth), F.lit(","), wrapped(head(later), depth + 1 + (i % 2).cast("int")))
+    page = F.floor(i / 5)
+    rows = spark.read.parquet(f"{d}/documents.parquet").where("text is not null").select(page.alias("page"), i.alias("i"), both.alias("both"))
+    data = F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "both"))), lambda x: x["both"]), ","), F.lit("]"))
+    data = F.when(F.col("page") % 20 == 3, F.concat(F.lit("{"), data)).otherwise(data)
+    html = F.concat(F.lit("<html><script id="), F.when(F.col("page") % 20 == 5, F.lit("other")).otherwise(F.lit('"serialized-server-data"')), F.lit(' type="json">'), F.regexp_replace(data, "</", "<_"), F.lit("</script></html>"))
+    return rows.groupBy("page").agg(html.alias("html"))
+
+
+@query
+def embedded_reviews(spark, d):
+    found = embedded.embedded_reviews(embedding_pages(spark, d), limit=3)
+    return found.select("page", "rank", "review_id", "rating", "author", "created_at", "depth", F.md5("body").alias("body_md5"))
+
+
+@query
+def embedded_page_status(spark, d):
+    pages = embedding_pages(spark, d)
+    return embedded.page_status(pages, embedded.embedded_reviews(pages))
