@@ -6,7 +6,7 @@ from .fixtures import READINGS, TEMPLATES
 from . import flow_queries as flow
 from .functions import fixed
 from .operators.gates import LABELS
-from .oracle import APP, CTES as BASE, MINIMUM, THEMES, _col, _found, _iso, _list, _q, _rnd
+from .oracle import _FIRST, APP, CTES as BASE, NEWEST, QUERIES as BASE_QUERIES, MINIMUM, SCORE, THEMES, _col, _found, _iso, _list, _q, _rnd, _trend
 
 
 def _case(c: str, a: str, b: str) -> str:
@@ -164,3 +164,53 @@ CTES["page_reviews"] = """SELECT *, row_number() OVER (PARTITION BY page ORDER B
 QUERIES["embedded_reviews"] = "SELECT page, rank::INTEGER AS rank, review_id, rating, author, created_at, depth::INTEGER AS depth, md5(body) AS body_md5 FROM (SELECT * EXCLUDE (rank), row_number() OVER (PARTITION BY page ORDER BY depth, id) AS rank FROM page_reviews) WHERE rank <= 3"
 QUERIES["embedded_page_status"] = """SELECT page, CASE WHEN none THEN 'no-data' WHEN bad THEN 'invalid-data' WHEN n IS NULL THEN 'no-reviews' ELSE 'ok' END AS status, none OR bad OR n IS NULL AS retryable, coalesce(n, 0) AS reviews
   FROM page_rows LEFT JOIN (SELECT page, least(count(*), 10) AS n FROM page_reviews GROUP BY page) USING (page)"""
+
+
+# --- the feed -----------------------------------------------------------------------------------------
+
+_PAGE_2 = lambda app: f"page = 2 AND app_id = {_q(app)}"
+_NONE = " OR ".join(f"({_PAGE_2(app)})" for app in (flow.HOLE, flow.CLOSED, flow.TORN))
+CTES["feed_entries"] = "SELECT (doc_id % 6)::VARCHAR AS app_id, (doc_id // 6 // 50 + 1)::INTEGER AS page, doc_id, text, row_number() OVER (PARTITION BY doc_id % 6, doc_id // 6 // 50 ORDER BY doc_id) - 1 AS place, doc_id % 20 <> 7 AND text <> '' AS fine FROM documents"
+CTES["feed_log"] = f"""SELECT app_id, page, CASE WHEN {_NONE} THEN 0 ELSE n END AS entries, CASE WHEN {_NONE} THEN 0 ELSE k END AS kept, CASE WHEN {_PAGE_2(flow.SLOW)} OR {_PAGE_2(flow.HOLE)} THEN 3 ELSE 1 END AS attempts,
+  CASE WHEN {_PAGE_2(flow.CLOSED)} THEN 403 WHEN {_PAGE_2(flow.TORN)} THEN 502 ELSE 200 END AS status, FALSE AS retryable, CASE WHEN {_PAGE_2(flow.CLOSED)} THEN 'apple-app-store answered 403.' WHEN {_PAGE_2(flow.TORN)} THEN 'The feed''s answer is no JSON.' END AS error
+  FROM (SELECT app_id, page, count(*) AS n, count(*) FILTER (fine) AS k FROM feed_entries GROUP BY ALL)"""
+CTES["feed_stops"] = """SELECT app_id, page, reason, total FROM (SELECT *, CASE WHEN error IS NOT NULL THEN 'failed-page' WHEN entries = 0 THEN CASE WHEN total > 0 THEN 'empty-page' ELSE 'empty-feed' END WHEN entries < 50 THEN 'end-of-feed' END AS reason
+  FROM (SELECT *, sum(kept) OVER (PARTITION BY app_id ORDER BY page) AS total FROM feed_log))"""
+CTES["feed_ends"] = "SELECT app_id, min(page) FILTER (reason IS NOT NULL) AS stop_page, arg_min(reason, page) FILTER (reason IS NOT NULL) AS stop_reason FROM feed_stops GROUP BY app_id"
+QUERIES["feed_pages"] = "SELECT * FROM feed_log"
+QUERIES["feed_completeness"] = """SELECT 'apple-app-store' AS source, app_id, stop_page, stop_reason, coalesce(stop_reason <> 'end-of-feed', TRUE) AS partial_results, count(*) FILTER (l.entries > 0) AS pages_fetched, max(s.total)::BIGINT AS returned_reviews
+  FROM feed_ends JOIN feed_stops s USING (app_id) JOIN feed_log l USING (app_id, page) WHERE stop_page IS NULL OR page <= stop_page GROUP BY ALL"""
+QUERIES["feed_reviews"] = f"""SELECT app_id, page, place::INTEGER AS place, doc_id::VARCHAR AS review_id, (doc_id % 5 + 1)::VARCHAR AS rating, 'user ' || (doc_id % 17) AS author, '2024-03-01T00:00:00Z' AS created_at, md5(text) AS body_md5
+  FROM feed_entries JOIN feed_ends USING (app_id) WHERE fine AND NOT ({_NONE}) AND (stop_page IS NULL OR page <= stop_page)"""
+QUERIES["feed_apps"] = f"SELECT DISTINCT 'apple-app-store' AS source, app_id, CASE WHEN app_id = {_q(flow.HOLE)} THEN 'App ' ELSE 'Name ' END || app_id AS name, 'Maker' AS developer FROM feed_entries"
+
+QUERIES["stream_newest_reviews"] = BASE_QUERIES["dedupe_latest"]
+
+# --- counts by day, findings, comparison --------------------------------------------------------------
+
+_M = 2_592_000_000
+CTES["as_of"] = f"SELECT {APP}, anchor - k::BIGINT * 630720000 AS anchor FROM anchors, (VALUES (0), (1), (2), (3), (4)) t(k)"
+CTES["as_of_counts"] = f"""SELECT {APP}, anchor, theme, count(*) AS count, count(*) FILTER (age <= {_M}) AS recent_count, count(*) FILTER (age > {_M} AND age <= 2 * {_M}) AS previous_count,
+  count(*) FILTER (age <= {_M} AND c) AS recent_complaint_count, count(*) FILTER (age > {_M} AND age <= 2 * {_M} AND c) AS previous_complaint_count
+  FROM (SELECT {APP}, anchor, theme, anchor - created_ms AS age, rating <= 3 AND NOT only_asked AS c FROM mentions JOIN as_of USING ({APP})) WHERE age >= 0 GROUP BY ALL"""
+QUERIES["trend_as_of"] = f"SELECT *, {_trend('recent_count', 'previous_count')} AS trend_percent, {_trend('recent_complaint_count', 'previous_complaint_count')} AS complaint_trend_percent FROM as_of_counts"
+QUERIES["timeline_from_days"] = BASE_QUERIES["timeline_monthly"]
+QUERIES["theme_order"] = f"SELECT {APP}, theme, priority_score, row_number() OVER (PARTITION BY {APP} ORDER BY priority_score DESC, count DESC, ordinal)::INTEGER AS rank FROM themes"
+_PROBLEM = "WHERE intent = 'problem' AND"
+CTES["problem_finds"] = f"""SELECT {APP}, 'trend-' || theme AS id, 'emerging' AS kind, theme AS subject FROM (SELECT * FROM themes {_PROBLEM} recent_complaint_count >= 2 AND complaint_trend_percent > 20 QUALIFY {_FIRST})
+  UNION ALL SELECT {APP}, 'pain-' || theme, 'pain', theme FROM (SELECT * FROM themes {_PROBLEM} negative_count >= 2 QUALIFY {_FIRST})"""
+CTES["request_finds"] = f"SELECT {APP}, 'feature-demand' AS id, 'opportunity' AS kind, theme AS subject FROM (SELECT * FROM themes WHERE intent = 'request' AND count >= 2 QUALIFY {_FIRST})"
+CTES["version_finds"] = f"SELECT {APP}, 'version-' || app_version AS id, 'regression' AS kind, app_version AS subject FROM (SELECT * FROM versions WHERE rank <= 12 AND count >= 3 AND average_rating <= 2.8::DOUBLE QUALIFY row_number() OVER (PARTITION BY {APP} ORDER BY rank) = 1)"
+CTES["other_finds"] = f"SELECT {APP} FROM problem_finds UNION SELECT {APP} FROM request_finds UNION SELECT {APP} FROM version_finds"
+_CITED = lambda finds, rows, on, order, most: f"SELECT source, app_id, id, kind, review_id, row_number() OVER (PARTITION BY source, app_id, id ORDER BY {order}) AS rank FROM {finds} f JOIN {rows} r USING (source, app_id) WHERE {on} QUALIFY rank <= {most}"
+QUERIES["insight_evidence"] = f"""SELECT source, app_id, id, kind, review_id, rank::INTEGER AS rank FROM (
+  {_CITED("problem_finds", "mentions", "r.theme = f.subject AND rating <= 3 AND NOT only_asked", f"{SCORE} DESC, {NEWEST}", 4)}
+  UNION ALL {_CITED("request_finds", "mentions", "r.theme = f.subject", f"{SCORE} DESC, {NEWEST}", 4)}
+  UNION ALL {_CITED("version_finds", "reviews", "r.app_version = f.subject AND rating <= 2", NEWEST, 3)}
+  UNION ALL SELECT source, app_id, 'baseline', 'baseline', review_id, row_number() OVER (PARTITION BY source, app_id ORDER BY {NEWEST}) AS rank FROM reviews ANTI JOIN other_finds USING (source, app_id) QUALIFY rank <= 3)"""
+CTES["all_pairs"] = f"SELECT DISTINCT {APP}, source AS other_source, 'app-' || ((right(app_id, 1)::INT + 1) % 3) AS other_app_id FROM themes"
+CTES["all_gaps0"] = """SELECT p.*, g.ordinal, g.theme, coalesce(a.count, 0) AS primary_count, coalesce(a.share, 0) AS primary_share, coalesce(b.count, 0) AS competitor_count, coalesce(b.share, 0) AS competitor_share
+  FROM all_pairs p CROSS JOIN (SELECT DISTINCT ordinal, theme FROM themes) g LEFT JOIN themes a ON a.source = p.source AND a.app_id = p.app_id AND a.theme = g.theme LEFT JOIN themes b ON b.source = p.other_source AND b.app_id = p.other_app_id AND b.theme = g.theme WHERE a.theme IS NOT NULL OR b.theme IS NOT NULL"""
+CTES["all_gaps"] = f"SELECT *, {_rnd('competitor_share - primary_share', 3)} AS share_gap FROM all_gaps0"
+QUERIES["comparison_opportunities_all"] = """SELECT * EXCLUDE (ordinal, theme, r), 'competitor-' || theme AS id, r::INTEGER AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY source, app_id ORDER BY abs(share_gap) DESC, ordinal) AS r FROM all_gaps WHERE competitor_count >= 2 AND share_gap >= 0.03::DOUBLE) WHERE r <= 4"""

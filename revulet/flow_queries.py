@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .fixtures import READINGS, TEMPLATES, raw_reviews
-from .operators import cohort_run, gates, privacy, provenance
-from .operators.reviews import latest
-from .queries import POLICY, RUN, query, reviews
-from .sources import embedded, labelled, manifests
+from .operators import aggregate as A
+from .operators import cohort_run, compare, daily, gates, privacy, provenance
+from .operators import insights as insight_rules
+from .operators.reviews import APP, iso, latest
+from .queries import POLICY, RUN, query, reviews, themed
+from .sources import embedded, feed_source, labelled, manifests
 from .storage import new_path
+from .streaming import newest
 
 BENCHMARKS = ("theme", "release-link", "actionability")
 
@@ -211,3 +214,124 @@ def embedded_reviews(spark, d):
 def embedded_page_status(spark, d):
     pages = embedding_pages(spark, d)
     return embedded.page_status(pages, embedded.embedded_reviews(pages))
+
+
+# --- the feed as a data source ------------------------------------------------------------------------
+
+#: Applications whose second page is empty, is first answered with 503, is refused, and is no JSON.
+HOLE, SLOW, CLOSED, TORN = "1", "2", "3", "4"
+
+
+def recorded_feed(spark: SparkSession, d: str) -> str:
+    """The folder of the feeds' recorded answers: documents as entries, fifty a page, for six applications."""
+    i = F.col("doc_id")
+    rows = spark.read.parquet(f"{d}/documents.parquet").select((i % 6).cast("string").alias("app"), (F.floor(F.floor(i / 6) / 50) + 1).cast("int").alias("page"), i.alias("i"), "text")
+    label = lambda c: F.struct(c.cast("string").alias("label"))
+    stars = F.when(F.col("i") % 20 != 7, F.col("i") % 5 + 1)
+    entry = F.struct(label(F.col("i")).alias("id"), label(F.lit("t")).alias("title"), label(F.col("text")).alias("content"), label(stars).alias("im:rating"), label(F.lit("1.0")).alias("im:version"), F.struct(label(F.concat(F.lit("user "), (F.col("i") % 17).cast("string"))).alias("name")).alias("author"), label(F.lit("2024-03-01T00:00:00Z")).alias("updated"))
+    pages = rows.withColumn("entry", F.to_json(entry)).groupBy("app", "page").agg(F.concat(F.lit('{"feed":{"entry":['), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "entry"))), lambda x: x["entry"]), ","), F.lit("]}}")).alias("body"))
+    second = lambda app: (F.col("page") == 2) & (F.col("app") == app)
+    body = F.when(second(HOLE), '{"feed":{}}').when(second(TORN), F.expr("substr(body, 1, length(body) - 3)")).otherwise(F.col("body"))
+    answer = lambda turn, status, text: F.struct(F.lit(turn).alias("turn"), F.lit(status).alias("status"), F.lit("0").alias("retryAfter"), text.alias("body"))
+    none = F.lit(None).cast("string")
+    turns = F.when(second(SLOW), F.array(answer(1, 503, none), answer(2, 429, none), answer(3, 200, body))).when(second(CLOSED), F.array(answer(1, 403, none))).otherwise(F.array(answer(1, 200, body)))
+    lookup = rows.select("app").distinct().select("app", F.lit(0).alias("page"), F.array(answer(1, 200, F.to_json(F.struct(F.array(F.struct(F.when(F.col("app") != HOLE, F.concat(F.lit("Name "), "app")).alias("trackName"), F.lit("Maker").alias("artistName"))).alias("results"))))).alias("turns"))
+    path = new_path(spark, "feed")
+    lines = pages.select("app", "page", turns.alias("turns")).unionByName(lookup).select("app", "page", F.explode("turns").alias("x"))
+    lines.select("app", "page", F.to_json("x").alias("value")).repartition("app", "page").write.partitionBy("app", "page").text(path)
+    return path
+
+
+def feed(spark: SparkSession, path: str, table: str) -> DataFrame:
+    spark.dataSource.register(feed_source.AppReviews)
+    return spark.read.format("app-reviews").options(path=path, table=table, pause="0", onError="skip").load()
+
+
+@query
+def feed_pages(spark, d):
+    return feed(spark, recorded_feed(spark, d), "pages").drop("source")
+
+
+@query
+def feed_completeness(spark, d):
+    return feed_source.completeness(feed(spark, recorded_feed(spark, d), "pages"), 10**9)
+
+
+@query
+def feed_reviews(spark, d):
+    path = recorded_feed(spark, d)
+    complete = feed_source.completeness(feed(spark, path, "pages"), 10**9)
+    rows = feed_source.within(feed(spark, path, "reviews"), complete, 10**9)
+    return rows.select("app_id", "page", "place", "review_id", "rating", "author", "created_at", F.md5("body").alias("body_md5"))
+
+
+@query
+def feed_apps(spark, d):
+    return feed(spark, recorded_feed(spark, d), "apps").select("source", "app_id", "name", "developer")
+
+
+# --- streams ------------------------------------------------------------------------------------------
+
+
+@query
+def stream_newest_reviews(spark, d):
+    """The newest record of each review after a stream has brought all records in four batches, in no order."""
+    folder, table = new_path(spark, "arrivals"), new_path(spark, "newest")
+    raw = raw_reviews(spark, d)
+    raw.repartition(4, F.xxhash64("reviewId", "ordinal")).write.parquet(folder)
+    for key, value in newest.STATE_STORE.items():
+        spark.conf.set(key, value)
+    stream = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    newest.follow(stream, table, new_path(spark, "progress"), RUN).awaitTermination()
+    rows = newest.table_of(spark, table, newest.record_schema(raw, RUN))
+    return rows.select(*APP, "review_id", "body", iso(F.col("updated_at")).alias("updated"), "ordinal", "position")
+
+
+# --- counts by day, findings, comparison --------------------------------------------------------------
+
+
+def day_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """detail and sums of all reviews, which came in two parts."""
+    path, rows = new_path(spark, "daily"), themed(spark, d)
+    half = F.col("review_id").cast("long") % 3 == 0
+    for part in (rows.where(half), rows.where(~half)):
+        daily.add(spark, path, daily.detail(part))
+    return daily.read(spark, path, "detail"), daily.read(spark, path, "sums")
+
+
+@query
+def trend_as_of(spark, d):
+    """Trends as of five anchors of each application: its newest review, and 7.3 days earlier each time."""
+    detail, sums = day_tables(spark, d)
+    newest_ms = detail.groupBy(*APP).agg(F.max("created_ms").alias("newest"))
+    anchors = newest_ms.select(*APP, F.explode(F.array(*(F.col("newest") - F.lit(k * 630_720_000) for k in range(5)))).alias("anchor"))
+    return daily.windows(detail, sums, anchors)
+
+
+@query
+def timeline_from_days(spark, d):
+    return daily.timeline(day_tables(spark, d)[1])
+
+
+@query
+def theme_order(spark, d):
+    """The themes of each application by priority, with their ranks."""
+    rows = A.theme_summary(themed(spark, d))
+    return A.top(rows, APP, [F.desc("priority_score"), F.desc("count"), F.asc("ordinal")], 1 << 30).select(*APP, "theme", "priority_score", "rank")
+
+
+@query
+def insight_evidence(spark, d):
+    rows = themed(spark, d)
+    found = insight_rules.insights(A.theme_summary(rows), A.version_summary(rows), A.sample_summary(rows))
+    return insight_rules.insight_evidence(found, rows).select(*APP, "id", "kind", "rank", "evidence.review_id")
+
+
+@query
+def comparison_opportunities_all(spark, d):
+    """Opportunities of every pair of applications that follow each other by name, in a table of pairs."""
+    themes = A.theme_summary(themed(spark, d))
+    apps = themes.select(*APP).distinct()
+    number = F.regexp_extract("app_id", r"(\d+)$", 1).cast("int")
+    pairs = apps.select(*APP, F.col("source").alias("other_source"), F.concat(F.lit("app-"), ((number + 1) % 3).cast("string")).alias("other_app_id"))
+    return compare.opportunities(compare.theme_gaps(pairs, themes)).drop("ordinal", "label", "theme")

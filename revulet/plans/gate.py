@@ -13,7 +13,7 @@ from ..functions.text import kept_apart
 from ..operators import aggregate as A
 from ..operators import discover as D
 from ..operators import regression as R
-from ..operators.reviews import APP
+from ..operators.reviews import APP, excerpt
 from ..storage import cut
 
 
@@ -56,6 +56,17 @@ def actionable_issues(classified: DataFrame, current: DataFrame | None = None) -
     return known.unionByName(fresh)
 
 
+def short_bodies(classified: DataFrame) -> DataFrame:
+    """classified with whole bodies only where phrases are mined in them, in low-rated reviews that no theme or no software
+    theme explains; others keep what evidence shows of them."""
+    known = F.lit(False)
+    for theme in fixed.THEMES:
+        known = known | K.has(theme)
+    unexplained = ~known | ((F.col("scope.primary") == "software") & (F.size("scope.software_themes") == 0) & (F.col("link.kind") == "explicit"))
+    mined = (F.col("rating") <= 3) & unexplained
+    return classified.withColumn("body", F.when(mined, F.col("body")).otherwise(excerpt(F.col("body"))))
+
+
 @dataclass(frozen=True)
 class Gate:
     """The tables of a gate's evaluation; each is a plan of its own."""
@@ -77,7 +88,7 @@ class Gate:
 def evaluate(classified: DataFrame, policy: R.Policy | None = None, sources: DataFrame | None = None) -> Gate:
     """The gate for classified reviews (see classify.classify); sources says which samples are partial."""
     policy = policy or R.Policy()
-    classified = cut(classified)  # five tables are made of it; the rules run once
+    classified = cut(short_bodies(classified))  # five tables are made of it; the rules run once
     versions = A.version_summary(classified)
     ready = R.readiness(app_totals(classified), versions, policy, sources)
     compared = R.metrics(ready)

@@ -272,7 +272,7 @@ def comparison_rating_gap(spark, d):
 @query
 def insights(spark, d):
     rows = themed(spark, d)
-    return insight_rules.insights(A.theme_summary(rows), A.version_summary(rows), A.sample_summary(rows)).drop("statement")
+    return insight_rules.insights(A.theme_summary(rows), A.version_summary(rows), A.sample_summary(rows)).select(*APP, "ordinal", "id", "kind", "severity")
 
 
 def _gate(spark, d):

@@ -12,6 +12,8 @@ import time
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
+from datetime import datetime, timezone
+from email.utils import parsedate_to_datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,10 +45,24 @@ def http(url: str, timeout: float = TIMEOUT_S) -> bytes:
         raise HttpError(e.code, e.headers.get("retry-after")) from e
 
 
-def retry_wait(attempt: int, retry_after: str | None) -> float:
-    """Seconds before the next attempt: what the store asks for, up to ten, else a pause that doubles."""
-    if retry_after and retry_after.strip().isdigit():
-        return min(MOST_WAIT_S, int(retry_after))
+def timeout_s(value: object = None) -> float:
+    """A timeout between 1 and 60 seconds; 20 for anything that is no number."""
+    try:
+        return max(1.0, min(60.0, float(value)))
+    except (TypeError, ValueError):
+        return float(TIMEOUT_S)
+
+
+def retry_wait(attempt: int, retry_after: str | None, now: datetime | None = None) -> float:
+    """Seconds before the next attempt: what the store asks for in seconds or as a date, up to ten, else a pause that
+    doubles."""
+    asked = (retry_after or "").strip()
+    if asked.isdigit():
+        return min(MOST_WAIT_S, int(asked))
+    try:
+        return max(0.0, min(MOST_WAIT_S, (parsedate_to_datetime(asked) - (now or datetime.now(timezone.utc))).total_seconds()))
+    except (TypeError, ValueError):
+        pass
     return BACKOFF_MS * 2 ** (attempt - 1) / 1000
 
 

@@ -1,57 +1,20 @@
-"""Reviews as a stream of files: an upserted table of the newest records, and windowed counts.
-
-The batch rule, that the record updated last stands, is kept by merging each micro-batch into the table; a stream's own
-duplicate removal would keep the first.
-"""
+"""Reviews as a stream of files, and windowed counts. The newest record of each review is kept by newest.py."""
 
 from __future__ import annotations
 
-import os
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
-
-from ..operators.reviews import APP, deduplicate, normalize
 
-BUCKETS = 16
+from ..operators.reviews import APP, normalize
 
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType, kind: str = "json") -> DataFrame:
     return spark.readStream.format(kind).schema(schema).load(path)
 
 
-def merge(table: DataFrame | None, batch: DataFrame, run_time: datetime | None = None) -> DataFrame:
-    """The table's and the batch's records, each key's newest."""
-    rows = normalize(batch, run_time)
-    return deduplicate(rows if table is None else table.unionByName(rows)).drop("position")
-
-
-def upsert(stream: DataFrame, table: str, checkpoint: str, run_time: datetime | None = None, available_now: bool = True) -> StreamingQuery:
-    """Keeps the newest record of each review under the folder table. Every micro-batch writes the next version of the
-    table, named by the batch's number, so a repeated batch overwrites its own version only."""
-
-    def apply(batch: DataFrame, number: int) -> None:
-        last = current(batch.sparkSession, table, before=number)
-        merge(last, batch, run_time).withColumn("bucket", F.pmod(F.xxhash64(*APP, "review_id"), F.lit(BUCKETS))).write.mode("overwrite").partitionBy("bucket").parquet(f"{table}/version={number:010d}")
-
-    writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
-
-
-def current(spark: SparkSession, table: str, before: int | None = None) -> DataFrame | None:
-    """The newest version of the table, or the newest before a batch; None if there is none."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(table)
-    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(root):
-        return None
-    numbers = sorted(int(os.path.basename(str(s.getPath())).split("=")[1]) for s in files.listStatus(root) if "version=" in str(s.getPath()))
-    numbers = [n for n in numbers if before is None or n < before]
-    return spark.read.parquet(f"{table}/version={numbers[-1]:010d}").drop("bucket") if numbers else None
-
-
 def windowed_counts(stream: DataFrame, window: str = "30 days", late: str = "7 days", run_time: datetime | None = None) -> DataFrame:
     """Reviews and negative reviews of each application in windows of created_at; records later than `late` are left out."""
     rows = normalize(stream.withColumn("ordinal", F.lit(0).cast("long")), run_time).withWatermark("created_at", late)

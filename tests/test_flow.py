@@ -135,3 +135,104 @@ def test_aggregate_only_file(spark, tmp_path):
     df = spark.createDataFrame([("s", "text", 1, ("i", [("c", "secret")]), ("me",))], SCHEMA)
     privacy.write_aggregate(df, str(tmp_path / "out"), ["slug", "inner.id"])
     assert [json.loads(x.value) for x in spark.read.text(str(tmp_path / "out")).collect()] == [{"slug": "s", "inner": {"id": "i"}}]
+
+
+def test_days_give_any_window_and_only_their_own_files_change(spark, tmp_path):
+    import os
+    from datetime import timedelta
+
+    from revulet.functions import classify as K
+    from revulet.operators import aggregate as A
+    from revulet.operators import daily
+    from revulet.operators.reviews import APP, clean
+
+    start = datetime(2024, 1, 1, 5, 30, tzinfo=timezone.utc)
+    texts = ["It crashes all the time", "Sync is gone and login fails", "Please add an export, I wish", "Nice"]
+    raw = [("s", f"a{i % 2}", str(i), texts[i % 4], float(1 + i % 5), start + timedelta(hours=7 * i, milliseconds=i), i) for i in range(260)]
+    rows = K.with_themes(clean(spark.createDataFrame(raw, "source string, app_id string, review_id string, body string, rating double, created_at timestamp, ordinal long"), RUN))
+    path = str(tmp_path / "days")
+    late = F.col("created_at") >= F.lit(start + timedelta(days=70))
+    daily.add(spark, path, daily.detail(rows.where(~late)))
+    before = {f: os.stat(os.path.join(d, f)).st_mtime_ns for d, _, files in os.walk(path) for f in files if f.endswith(".parquet")}
+    days = daily.add(spark, path, daily.detail(rows.where(late)))
+    after = {f: os.stat(os.path.join(d, f)).st_mtime_ns for d, _, files in os.walk(path) for f in files if f.endswith(".parquet")}
+    gone = before.keys() - after.keys()
+    assert all(after[f] == before[f] for f in before if f in after) and len(gone) <= 1 and len(days) == 6
+    detail, sums = daily.read(spark, path, "detail"), daily.read(spark, path, "sums")
+    for back in (0, 0.4, 11, 29.99, 55):
+        anchor = int((start + timedelta(hours=7 * 259) - timedelta(days=back)).timestamp() * 1000)
+        anchors = rows.select(*APP).distinct().withColumn("anchor", F.lit(anchor))
+        got = {(r.app_id, r.theme): r for r in daily.windows(detail, sums, anchors).collect()}
+        seen = rows.where(F.unix_millis("created_at") <= anchor)
+        newest = {r.app_id: r.a for r in seen.groupBy("app_id").agg(F.max(F.unix_millis("created_at")).alias("a")).collect()}
+        mentions = A._mentioned(seen, APP, "rating", "created_at").select("app_id", "theme", "rating", "only_asked", F.unix_millis("created_at").alias("t")).collect()
+        month = 30 * 86_400_000
+        for key in {(m.app_id, m.theme) for m in mentions}:
+            own = [(anchor - m.t, m.rating <= 3 and not m.only_asked) for m in mentions if (m.app_id, m.theme) == key]
+            want = (len(own), sum(a <= month for a, _ in own), sum(month < a <= 2 * month for a, _ in own), sum(c and a <= month for a, c in own), sum(c and month < a <= 2 * month for a, c in own))
+            r = got.pop(key)
+            assert (r["count"], r.recent_count, r.previous_count, r.recent_complaint_count, r.previous_complaint_count) == want
+        assert not got and newest
+    order = lambda df: sorted(map(str, df.collect()))
+    assert order(daily.timeline(sums)) == order(A.timeline(rows))
+    assert daily.add(spark, path, daily.detail(rows.limit(0))) == []
+
+
+def test_embedded_reviews_at_any_depth(spark):
+    from revulet.sources import embedded
+
+    review = lambda i, **more: {"$kind": "Review", "id": i, "contents": f"text {i}", "rating": 5} | more
+    deep = review("deep")
+    for _ in range(150):
+        deep = {"x": [deep]}
+    data = {"a": [review("1"), {"b": review("2", rating="4")}], "c": review("1", contents="again"), "z": [review("3", rating=6), review("4", contents=" "), review(5), review("") | {"inner": review("6")}], "deep": deep}
+    page = lambda text: f'<html><SCRIPT type="x" id=serialized-server-data>{text}</script><p>'
+    rows = [("p", page(json.dumps(data))), ("bad", page("{")), ("none", "<html>"), ("null", None), ("empty", page("[]")), ("many", page(json.dumps([review(str(i)) for i in range(30)])))]
+    pages = spark.createDataFrame(rows, "page string, html string")
+    spark.conf.set("spark.sql.cteRecursionRowLimit", 20)
+    try:
+        found = embedded.embedded_reviews(pages).collect()
+        state = {r.page: (r.status, r.retryable, r.reviews) for r in embedded.page_status(pages, embedded.embedded_reviews(pages)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.cteRecursionRowLimit")
+    got = {p: [(r.review_id, r.body) for r in sorted(found, key=lambda r: r.rank) if r.page == p] for p, _ in rows}
+    # Level by level; of one id the first, here that in c, which is nearer to the root than those in a.
+    assert got["p"] == [("1", "again"), ("5", "text 5"), ("2", "text 2"), ("6", "text 6"), ("deep", "text deep")]
+    assert [r.depth for r in found if r.review_id == "deep"] == [301] and len(got["many"]) == 10 and got["many"][9][0] == "9"
+    assert state == {"p": ("ok", False, 5), "bad": ("invalid-data", True, 0), "none": ("no-data", True, 0), "null": ("no-data", True, 0), "empty": ("no-reviews", True, 0), "many": ("ok", False, 10)}
+
+
+def test_canonical_json(spark):
+    from revulet.functions.canonical import canonical
+
+    values = [0.0, -0.0, 5.0, 4.5, 0.1, 1e7, 12345678.5, 1e20, 1e21, 1.5e300, 1e-6, 1e-7, 2.5e-7, 123456.789, -3.25, 0.000123]
+    want = ["0", "0", "5", "4.5", "0.1", "10000000", "12345678.5", "100000000000000000000", "1e+21", "1.5e+300", "0.000001", "1e-7", "2.5e-7", "123456.789", "-3.25", "0.000123"]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert [r[0] for r in df.select(canonical(F.col("v"), df.schema["v"].dataType)).collect()] == want
+    strings = ['a"b\\c', "\n\t\r\b\f", "\x0b\x1f\x00", "é漢🙂 /", "\\u000B", ""]
+    df = spark.createDataFrame([(s,) for s in strings], "s string")
+    assert [r[0] for r in df.select(canonical(F.col("s"), df.schema["s"].dataType)).collect()] == ['"a\\"b\\\\c"', '"\\n\\t\\r\\b\\f"', '"\\u000b\\u001f\\u0000"', '"é漢🙂 /"', '"\\\\u000B"', '""']
+    df = spark.createDataFrame([((2, [1, None], {"b": 1.0, "a": None}, True, None),)], "r struct<z_y:int,list:array<int>,m:map<string,double>,ok:boolean,none:string>")
+    assert df.select(canonical(F.col("r"), df.schema["r"].dataType)).collect()[0][0] == '{"list":[1,null],"m":{"a":null,"b":1},"none":null,"ok":true,"zY":2}'
+
+
+def test_a_changed_reply_changes_the_hashes(spark):
+    import hashlib
+
+    from revulet.operators import provenance
+    from revulet.operators.reviews import latest
+
+    shape = "source string, app_id string, review_id string, body string, rating double, created_at string, reply struct<body:string,created_at:string>, ordinal long"
+    rows = [("s", "a", str(i), f"text {i}", 4.5, f"2024-03-{1 + i % 3:02d}T00:00:00Z", (f"re {i}", None) if i % 2 else None, i) for i in range(7)]
+    hashes = lambda rows, **k: provenance.dataset_hashes(latest(spark.createDataFrame(rows, shape).repartition(3), RUN), **k).collect()[0]
+    one = hashes(rows)
+    assert one == hashes(rows[::-1]) and one.review_count == 7
+    changed = [r if r[2] != "3" else (*r[:6], ("re 4", None), r[7]) for r in rows]
+    assert hashes(changed).content_hash != one.content_hash and hashes(changed).tree_hash != one.tree_hash
+    assert hashes(rows, exact=6).content_hash is None and hashes(rows, exact=6).tree_hash == one.tree_hash
+    order = sorted(rows, key=lambda r: (-int(r[5][8:10]), r[7]))
+    records = [
+        {"appId": "a", "appVersion": None, "author": "Anonymous", "body": r[3], "country": None, "createdAt": r[5].replace("Z", ".000Z"), "helpfulCount": 0, "language": None, "rating": 4.5, "reply": {"body": r[6][0], "createdAt": None} if r[6] else None, "reviewId": r[2], "source": "s", "sourceUrl": None, "title": "", "updatedAt": r[5].replace("Z", ".000Z")}
+        for r in order
+    ]
+    assert one.content_hash == hashlib.sha256(json.dumps(records, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
