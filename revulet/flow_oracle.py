@@ -6,7 +6,8 @@ from .fixtures import READINGS, TEMPLATES
 from . import flow_queries as flow
 from .functions import fixed
 from .operators.gates import LABELS
-from .oracle import _FIRST, APP, CTES as BASE, NEWEST, QUERIES as BASE_QUERIES, MINIMUM, SCORE, THEMES, _col, _found, _iso, _list, _q, _rnd, _trend
+from .sources import demo
+from .oracle import _clean, _FIRST, APP, CTES as BASE, NEWEST, QUERIES as BASE_QUERIES, MINIMUM, SCORE, THEMES, _col, _found, _iso, _list, _q, _rnd, _trend
 
 
 def _case(c: str, a: str, b: str) -> str:
@@ -214,3 +215,19 @@ CTES["all_gaps0"] = """SELECT p.*, g.ordinal, g.theme, coalesce(a.count, 0) AS p
 CTES["all_gaps"] = f"SELECT *, {_rnd('competitor_share - primary_share', 3)} AS share_gap FROM all_gaps0"
 QUERIES["comparison_opportunities_all"] = """SELECT * EXCLUDE (ordinal, theme, r), 'competitor-' || theme AS id, r::INTEGER AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY source, app_id ORDER BY abs(share_gap) DESC, ordinal) AS r FROM all_gaps WHERE competitor_count >= 2 AND share_gap >= 0.03::DOUBLE) WHERE r <= 4"""
+
+
+# --- the demo set, once for every 96 documents --------------------------------------------------------
+
+_TEXT = f"{_list(t for _, t in demo.ROWS)}[i % {len(demo.ROWS)} + 1]"
+_STARS = f"[{', '.join(str(r) for r, _ in demo.ROWS)}][i % {len(demo.ROWS)} + 1]"
+_CRASH, _CAMERA = "i < 36 AND i % 3 = 0", "i < 36 AND i % 7 = 2 AND i % 3 <> 0"
+DEMO = {
+    "raw": f"""SELECT i AS d, 0 AS again, {_q(demo.APP["source"])} AS source, app_id, 'demo-' || (i + 1) AS review_id, CASE WHEN i % 12 = 8 THEN 'A thoughtful update' ELSE '' END AS title,
+      CASE WHEN {_CAMERA} THEN {_q(demo.CAMERA)} WHEN {_CRASH} THEN {_q(demo.CRASH)} || {_TEXT} ELSE {_TEXT} END AS body, 'en' AS language, ['US', 'GB', 'CA', 'AU'][i % 4 + 1] AS country, 'Sample user ' || (i + 1) AS author,
+      (i * 7 % 43)::DOUBLE AS helpful_count, CASE WHEN i < 36 THEN '4.8.0' WHEN i < 68 THEN '4.7.2' ELSE '4.6.9' END AS app_version, {demo.ANCHOR_MS} - i * 155520000 AS created_ms, {demo.ANCHOR_MS} - i * 155520000 AS updated_ms, i AS ordinal,
+      CASE WHEN {_CAMERA} OR {_CRASH} THEN 1 WHEN i >= 36 AND i < 68 THEN least(5, {_STARS} + 1) ELSE {_STARS} END::DOUBLE AS rating
+    FROM (SELECT 'com.demo.pulse-' || (doc_id // 96) AS app_id, doc_id % 96 AS i FROM documents)""",
+    "norm": f"SELECT * EXCLUDE (body), {_clean('body')} AS body FROM raw",
+}
+DEMO_QUERIES = {"demo_versions": BASE_QUERIES["version_summary"], "demo_verdict": BASE_QUERIES["regression_verdict"]}

@@ -387,4 +387,6 @@ def oracle_sql() -> dict[str, str]:
     # The cohort's raw reviews take the place of the others; what is made of them follows in the same order.
     of_cases = {name: sql for name, sql in flow.COHORT.items() if name in ("raw_base", "raw")}
     of_cases |= {name: sql for name, sql in CTES.items() if name != "raw"} | {name: sql for name, sql in flow.COHORT.items() if name not in of_cases}
-    return {key: _with(sql, ctes) for key, sql in (QUERIES | flow.QUERIES).items()} | {key: _with(sql, of_cases) for key, sql in flow.COHORT_QUERIES.items()}
+    of_demo = {name: flow.DEMO.get(name, sql) for name, sql in CTES.items()}
+    found = {key: _with(sql, ctes) for key, sql in (QUERIES | flow.QUERIES).items()}
+    return found | {key: _with(sql, of_cases) for key, sql in flow.COHORT_QUERIES.items()} | {key: _with(sql, of_demo) for key, sql in flow.DEMO_QUERIES.items()}

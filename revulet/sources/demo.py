@@ -38,16 +38,17 @@ def _pick(values, index):
     return F.element_at(F.array(*(F.lit(v) for v in values)), (index % len(values) + 1).cast("int"))
 
 
-def demo_reviews(spark: SparkSession, limit: int = 96) -> DataFrame:
-    """limit rows (1 to 500), newest first: the first 36 of 4.8.0, 32 of 4.7.2, the rest of 4.6.9."""
+def demo_rows(places: DataFrame) -> DataFrame:
+    """The review of each of places (app_id, id: its place in the application's set, newest first): the first 36 of
+    4.8.0, 32 of 4.7.2, the rest of 4.6.9."""
     i = F.col("id")
     now, before = i < 36, (i >= 36) & (i < 68)
     crash = now & (i % 3 == 0)
     camera = now & (i % 7 == 2) & (i % 3 != 0)
     rating, text = _pick([r for r, _ in ROWS], i), _pick([t for _, t in ROWS], i)
-    return spark.range(max(1, min(500, limit))).select(
+    return places.select(
         F.lit(APP["source"]).alias("source"),
-        F.lit(APP["app_id"]).alias("app_id"),
+        "app_id",
         F.concat(F.lit("demo-"), (i + 1).cast("string")).alias("review_id"),
         F.when(i % len(ROWS) == 8, "A thoughtful update").alias("title"),
         F.when(camera, CAMERA).when(crash, F.concat(F.lit(CRASH), text)).otherwise(text).alias("body"),
@@ -62,6 +63,11 @@ def demo_reviews(spark: SparkSession, limit: int = 96) -> DataFrame:
     )
 
 
+def demo_reviews(spark: SparkSession, limit: int = 96) -> DataFrame:
+    """limit rows (1 to 500) of one application."""
+    return demo_rows(spark.range(max(1, min(500, limit))).withColumn("app_id", F.lit(APP["app_id"])))
+
+
 def demo_competitor_reviews(spark: SparkSession, limit: int = 84) -> DataFrame:
     """The other application: every third row complains of prices; the first 30 are of 7.2.0, the rest of 7.1.4."""
     rows = demo_reviews(spark, limit)
