@@ -231,3 +231,13 @@ DEMO = {
     "norm": f"SELECT * EXCLUDE (body), {_clean('body')} AS body FROM raw",
 }
 DEMO_QUERIES = {"demo_versions": BASE_QUERIES["version_summary"], "demo_verdict": BASE_QUERIES["regression_verdict"]}
+
+
+# --- the CSV file -------------------------------------------------------------------------------------
+
+_CELL = lambda x: f"(CASE WHEN left({x}, 1) IN ('=', '+', '-', '@') THEN '''' || {x} ELSE {x} END)"
+_PLAIN = lambda x: f"regexp_replace({x}::VARCHAR, '[.]0$', '')"
+_CELLS = ["source", "app_id", "review_id", _iso("created_ms"), _PLAIN("rating"), "title", "body", "language", "country", "app_version", "author", _PLAIN("helpful_count")]
+_LINE = " || ',' || ".join("chr(34) || replace(" + _CELL(f"coalesce({c}, '')") + ", chr(34), chr(34) || chr(34)) || chr(34)" for c in _CELLS)
+QUERIES["csv_file_lines"] = f"""SELECT {_LINE} AS line FROM reviews UNION ALL
+  SELECT '"source","appId","reviewId","createdAt","rating","title","body","language","country","appVersion","author","helpfulCount"'"""

@@ -335,3 +335,16 @@ def comparison_opportunities_all(spark, d):
     number = F.regexp_extract("app_id", r"(\d+)$", 1).cast("int")
     pairs = apps.select(*APP, F.col("source").alias("other_source"), F.concat(F.lit("app-"), ((number + 1) % 3).cast("string")).alias("other_app_id"))
     return compare.opportunities(compare.theme_gaps(pairs, themes)).drop("ordinal", "label", "theme")
+
+
+# --- the CSV file -------------------------------------------------------------------------------------
+
+
+@query
+def csv_file_lines(spark, d):
+    """The lines of one CSV file with the reviews of all applications, read back as text."""
+    from .plans import render
+
+    path = new_path(spark, "reviews") + ".csv"
+    render.write_csv_file(reviews(spark, d), path)
+    return spark.read.option("lineSep", "\r\n").text(path).select(F.col("value").alias("line"))

@@ -47,6 +47,13 @@ def write_csv(reviews: DataFrame, path: str, overwrite: bool = False) -> None:
     csv_rows(reviews).write.mode("overwrite" if overwrite else "errorifexists").csv(path, header=True, quoteAll=True, escape='"', lineSep="\r\n", emptyValue="", nullValue="")
 
 
+def write_csv_file(reviews: DataFrame, path: str, overwrite: bool = False) -> None:
+    """The same bytes as csv_text() in one file, of any number of reviews, which the executors write."""
+    from ..sources.csv_file import save
+
+    save(csv_rows(reviews), path, overwrite)
+
+
 def csv_text(reviews: DataFrame, most: int = 100_000) -> str:
     """One CSV text with a byte order mark, of at most so many reviews (more are a ValueError: use write_csv)."""
     rows = csv_rows(reviews).limit(most + 1).collect()

@@ -124,3 +124,27 @@ def test_newest_records_from_batches_out_of_order(spark, tmp_path):
     newest.compact(spark, str(tmp_path / "table"), str(tmp_path / "short"))
     assert order(newest.table_of(spark, str(tmp_path / "short"), schema)) == order(got)
 
+
+
+def test_one_csv_file_by_two_phases(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from revulet.operators.reviews import clean
+    from revulet.plans import render
+    from revulet.sources import csv_file
+    from revulet.sources.demo import demo_reviews
+
+    rows = clean(demo_reviews(spark), RUN).withColumn("title", F.concat(F.lit('=1,"'), "review_id"))
+    path = tmp_path / "reviews.csv"
+    render.write_csv_file(rows.repartition(5), str(path))
+    assert path.read_bytes() == render.csv_text(rows).encode() and [p.name for p in tmp_path.iterdir()] == ["reviews.csv"]
+    with pytest.raises(Exception, match="is there already"):
+        render.write_csv_file(rows, str(path))
+    bad = rows.withColumn("title", F.when(F.col("ordinal") == 90, F.raise_error(F.lit("broken row"))).otherwise(F.col("title")))
+    before = path.read_bytes()
+    for target, overwrite in ((path, True), (tmp_path / "other.csv", False)):
+        with pytest.raises(Exception, match="broken row"):
+            csv_file.save(bad.select("title", "body").repartition(3), str(target), overwrite)
+    assert path.read_bytes() == before and [p.name for p in tmp_path.iterdir()] == ["reviews.csv"]
+    render.write_csv_file(rows.limit(0), str(path), overwrite=True)
+    assert path.read_bytes() == render.csv_text(rows.limit(0)).encode()
