@@ -136,8 +136,9 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, period: int = PERIOD,
     doc_id are left out. Other columns are ignored. kept is the words left, joined by one space, or the text as it is if none are removed (always
     null unless texts); kept_sha256 is of the words left, joined by one space.
     """
-    carried = F.lit(None).cast("long") if carried is None else carried
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), carried.alias("carried")).where("doc_id is not null")
+    # What is carried goes through the exchange of texts, which all steps share only if they need the same columns.
+    extra = [] if carried is None else [carried.alias("carried")]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *extra).where("doc_id is not null")
     # Whole copies: all but the first lose all their words, so only the first offers anchors and windows. Every step
     # that needs texts reads them from the one exchange by doc_id.
     digest = rows.select("doc_id", F.md5("text").alias("digest"))
@@ -163,7 +164,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, period: int = PERIOD,
     # The first document of each window owns it, and a document loses those that it doesn't own. So what goes back to
     # documents is a row for each different window, and no row of a window that thousands share meets the others.
     owned = candidates.groupBy("one", "two").agg(F.min("doc_id").alias("doc_id")).groupBy("doc_id").agg(F.collect_list("one").alias("owned"))
-    rows = marked.join(places, "doc_id", "left").join(owned, "doc_id", "left").select("doc_id", "text", "copy", F.when(F.col("copy").isNull(), F.col("places")).alias("places"), "owned", "carried")
+    rows = marked.join(places, "doc_id", "left").join(owned, "doc_id", "left").select("doc_id", "text", "copy", F.when(F.col("copy").isNull(), F.col("places")).alias("places"), "owned", "carried" if extra else F.lit(None).cast("long").alias("carried"))
     return rows.mapInArrow(lambda it: _finish(it, window, period, texts), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, carried long")
 
 
@@ -175,7 +176,8 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     key, columns = "doc_id", docs.columns
     if again := C.numbered(docs, C.Scratch()):
         docs, key = again
-    left = substring_dedup(docs, window, carried=F.col(key).cast("long")).select(F.col("carried").alias("_id"), "n_words", "n_removed", "kept")
+    found = substring_dedup(docs, window, carried=F.col(key).cast("long") if again else None)
+    left = found.select(found["carried" if again else "doc_id"].alias("_id"), "n_words", "n_removed", "kept")
     removed, n_words, kept = left["n_removed"], left["n_words"], left["kept"]
     # Texts come with the operator's rows; of docs only the other columns are exchanged, and texts without doc_id.
     others = docs.withColumn("text", F.when(F.col("doc_id").isNull(), F.col("text")))
