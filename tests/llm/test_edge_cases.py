@@ -130,7 +130,7 @@ def test_packing_is_a_partition_of_all_ids(docs, none, texts):
     from revulet.llm.tokens import default_vocabulary, encoder
 
     rows = packing.pack(docs).collect()
-    encode = encoder(default_vocabulary())
+    encode = encoder(default_vocabulary(), special=True)
     for i, t in texts:
         ids = np.array([*encode(t), 0], "<u4")
         mine = sorted((r for r in rows if r.doc_id == i), key=lambda r: r.start)
@@ -165,6 +165,42 @@ def test_sum_of_squares_takes_the_least_level():
         assert (packer.level[:8] ** 2).sum() == min(map(total, options))
 
 
+def test_packing_keeps_few_windows_open_and_pieces_in_place():
+    rng = np.random.default_rng(5)
+    packer, closed, placed = packing.Packer(64, 0), [], {}
+    sizes = [int(x) for x in rng.integers(1, 150, 3000)]
+    for doc, size in enumerate(sizes):
+        closed += packer.add(doc, np.arange(size, dtype="<u4"))
+        assert packer.level.sum() == sum(map(len, packer.open)) <= packing.OPEN
+    online = packer.next
+    placed = {(p[0], p[1]) for windows in packer.open for window in windows for p in window}
+    last = list(packer.finish())
+    assert packer.next - online <= packing.OPEN + 6
+    assert sum((r[0], r[1]) in placed for r in last) >= len(placed) - 6  # pieces begin where they were cut before
+    lengths, fills = {}, {}
+    for doc, start, length, _, total, sequence, offset in closed + last:
+        lengths.setdefault(doc, []).append((start, length))
+        assert offset == fills.get(sequence, 0) and total == sizes[doc]
+        fills[sequence] = offset + length
+    for doc, size in enumerate(sizes):
+        at = 0
+        for start, length in sorted(lengths[doc]):
+            assert start == at and length > 0
+            at += length
+        assert at == size
+    assert all(x == 64 or x & (x - 1) == 0 for x in fills.values()) and sum(x < 64 for x in fills.values()) <= 6
+
+
+def test_ids_of_the_vocabulary_file_as_it_is():
+    from tokenizers import Tokenizer
+
+    from revulet.llm.tokens import Encoder, default_vocabulary
+
+    plain, own = Tokenizer.from_file(default_vocabulary()), Encoder(default_vocabulary(), special=True)
+    for text in ("a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>  x", "<|endoftext", "漢<|endoftext|>\n\n é", words(9, 300)):
+        assert own(text) == plain.encode(text, add_special_tokens=False).ids
+
+
 def test_vocabularies_agree():
     from revulet.llm.tokens import Encoder, default_vocabulary
 

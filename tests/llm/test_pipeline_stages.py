@@ -120,7 +120,7 @@ def test_decontamination_stage(spark, small, docs):
 
 def test_packing_stage(spark, small, docs):
     """Every id of every document is in one piece, and windows are full or a power of two."""
-    encode, rows = encoder(default_vocabulary()), STAGES["packing"](spark, docs, small).collect()
+    encode, rows = encoder(default_vocabulary(), special=True), STAGES["packing"](spark, docs, small).collect()
     pieces, windows = {}, {}
     for r in rows:
         pieces.setdefault(r.doc_id, []).append(r)
