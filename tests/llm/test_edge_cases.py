@@ -251,6 +251,37 @@ def test_top_k(spark):
     assert top_k.top_k(frame.limit(0)).count() == 0
 
 
+def test_top_k_reads_lists_as_far_as_it_must_and_scores_exactly(spark):
+    rng = np.random.default_rng(8)
+    heavy = rng.pareto(1.1, size=(3000, 12))
+    near = np.array([[94906267.0, 1.0 + i % 3] for i in range(50)]) / 1024  # inner products beyond 2**53
+    large = rng.integers(-(10**6), 10**6, (300, 5)).astype(float)
+    for vectors in (heavy, near, large, np.zeros((30, 4)), rng.integers(-2, 3, (400, 3)).astype(float)):
+        frame = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+        entries = spark.sparkContext.accumulator(0)
+        got = [tuple(r) for r in top_k.top_k(frame, every=25, entries=entries).orderBy("query_id", "rank").collect()]
+        whole = [[int(x) for x in np.floor(1024 * v)] for v in vectors]
+        want = []
+        for q in range(0, len(whole), 25):
+            best = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=True)), i) for i, v in enumerate(whole) if i != q)[:10]
+            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+        assert got == want
+        most = sum(sum(map(bool, v)) for v in whole[::25]) * len(whole)
+        assert entries.value <= most and (vectors is not heavy or 0 < entries.value < most / 2)
+    with pytest.raises(Exception, match="too large"):
+        top_k.top_k(spark.createDataFrame([(0, [1e9]), (1, [1e9])], "vec_id long, embedding array<double>")).collect()
+
+
+def test_top_k_over_several_blocks_of_queries_and_parts(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    vectors = rng.normal(size=(900, 7))
+    frame = spark.createDataFrame([(i // 2 if i % 50 == 1 else i, [float(x) for x in v]) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>").repartition(3)
+    want = [tuple(r) for r in top_k.top_k(frame, every=3).orderBy("query_id", "rank", "vec_id").collect()]
+    for name, value in (("QUERY_BLOCK", 70), ("PART", 100)):
+        monkeypatch.setattr(top_k, name, value)
+    assert [tuple(r) for r in top_k.top_k(frame, every=3).orderBy("query_id", "rank", "vec_id").collect()] == want
+
+
 def test_quality(spark, none):
     junk = [(i, "word | " * 30, 0) for i in range(0, 80)]
     prose = [(i, words(i, 40).capitalize() + ".", 1) for i in range(80, 200)]
