@@ -24,7 +24,7 @@ from .tokens import default_vocabulary, encoder
 CONTEXT = 1024
 END_ID = 0
 #: Windows of one task that are open at a time.
-OPEN = 32
+OPEN = 16
 FIELDS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
