@@ -142,19 +142,26 @@ def _similar(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Rec
 def components(edges: DataFrame) -> DataFrame:
     """doc_id, label: for each document in edges (a, b) the smallest one it is connected with.
 
-    Labels spread along the edges and are then looked up in one another, so the number of rounds grows with the
-    logarithm of the paths' lengths; each round's labels are cut off from their lineage.
+    First every document moves to the smallest of itself and its neighbours, and edges move along: those that become
+    loops or the same go, so what a class of many links leaves is few edges, and all links are read once only. Along
+    the rest labels spread and are then looked up in one another, so the number of rounds grows with the logarithm of
+    the paths' lengths; each round's labels are cut off from their lineage.
     """
-    both = C.cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    both = edges.select("a", "b").union(edges.select("b", "a"))
+    moved = C.cut(both.groupBy(F.col("a").alias("doc_id")).agg(F.least(F.min("b"), F.min("a")).alias("to")))
+    left = edges.join(moved.select(F.col("doc_id").alias("a"), F.col("to").alias("low")), "a").join(moved.select(F.col("doc_id").alias("b"), F.col("to").alias("high")), "b")
+    left = left.where("low <> high").select(F.least("low", "high").alias("a"), F.greatest("low", "high").alias("b")).distinct()
+    both = C.cut(left.union(left.select("b", "a")))
     labels = C.cut(both.groupBy(F.col("a").alias("doc_id")).agg(F.least(F.min("b"), F.min("a")).alias("label")))
-    while True:
+    while not both.isEmpty():
         near = both.join(labels.withColumnRenamed("doc_id", "b"), "b").groupBy(F.col("a").alias("doc_id")).agg(F.min("label").alias("near"))
         spread = labels.join(near, "doc_id").select("doc_id", F.col("label").alias("was"), F.least("label", "near").alias("label"))
         through = labels.select(F.col("doc_id").alias("label"), F.col("label").alias("through"))
         now = C.cut(spread.join(through, "label", "left").select("doc_id", "was", F.least("label", F.coalesce("through", "label")).alias("label")))
         labels = now.select("doc_id", "label")
         if now.where("label <> was").isEmpty():
-            return labels
+            break
+    return moved.join(labels.withColumnRenamed("doc_id", "to"), "to", "left").select("doc_id", F.coalesce("label", "to").alias("label"))
 
 
 def _pairs(members: DataFrame, hubs: DataFrame) -> DataFrame:
@@ -235,12 +242,13 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int
         needed = members.select("doc_id").distinct()
         sets = tmp.written(texts.join(needed, "doc_id", "left_semi").mapInArrow(lambda it: _sets(it, width), "doc_id long, units binary"), "sets")
         links = tmp.written(_verified(pairs, sets, similarity), "links")
-        labels = components(links)
+        labels = C.cut(components(links))
         # What hubs and neighbours don't show: all members of buckets that still hold several classes.
         more = tmp.written(_across(members, labels, sets, similarity, tmp).join(pairs, ["a", "b"], "left_anti"), "pairs")
         found = tmp.written(_verified(more, sets, similarity), "links")
         if not found.isEmpty():
-            labels = components(links.union(found))
+            # Classes go on as stars: their links need not be read again.
+            labels = components(labels.select(F.col("label").alias("a"), F.col("doc_id").alias("b")).union(found))
         classes = of_set.join(labels.withColumnRenamed("doc_id", "rep"), "rep", "left").select("doc_id", F.coalesce("label", "rep").alias("class_id"))
         # What was written for it goes, so the result, two numbers a row, is written too.
         return C.written(texts.select("doc_id").join(classes, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id")), "classes")
