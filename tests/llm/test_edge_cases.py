@@ -100,6 +100,19 @@ def test_suffix_dedup(docs, none, texts, most):
     assert suffix_dedup.suffix_dedup(none).count() == 0
 
 
+def test_passages_are_judged_by_bytes_and_lose_their_first_copies(spark):
+    """A passage of over 50 words stays if it has fewer than 400 bytes; of 400 or more, the first copy goes as well."""
+    rows, want = [], {}
+    for k, n in enumerate((399, 400, 401)):
+        passage = words(20 + k, 100)[:n]
+        assert len(passage.split()) > 50
+        for side, edge in enumerate("XY"):  # no byte beside the passage is the same in both
+            rows.append((2 * k + side, f"{words(30 + 2 * k + side, 80)} {edge}{passage}{edge} {words(40 + 2 * k + side, 80)}"))
+            want[2 * k + side] = (n, 1) if n >= 400 else (0, 0)
+    found = suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: (r.n_removed, r.n_spans) for r in found.collect()} == want
+
+
 def test_interval_expansion_against_counting():
     rng = np.random.default_rng(7)
     for _ in range(150):
