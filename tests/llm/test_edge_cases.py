@@ -113,6 +113,23 @@ def test_passages_are_judged_by_bytes_and_lose_their_first_copies(spark):
     assert {r.doc_id: (r.n_removed, r.n_spans) for r in found.collect()} == want
 
 
+@pytest.mark.parametrize("most", [1 << 20, 900])
+def test_bytes_of_later_copies(spark, docs, texts, most):
+    """n_later: the bytes in strings that a smaller doc_id has, too; not those of first copies and of one text alone."""
+    length, passage, own = 100, words(50, 40), words(51, 40)
+    more = [(20, f"{words(52, 60)} {passage} {words(53, 30)}"), (21, f"{passage} {own} {words(54, 9)} {own}"), (22, f"{words(55, 20)} {passage} {own}"), (23, f"{words(56, 20)} {passage} {own}")]
+    both = docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
+    got = {r.doc_id: r.n_later for r in suffix_dedup.suffix_dedup(both, length, 16, most, False).collect()}
+    bodies = {i: (t or "").encode() for i, t in texts + more}
+    first = {}
+    for i, b in bodies.items():
+        for k in range(len(b) - length + 1):
+            first[b[k : k + length]] = min(i, first.get(b[k : k + length], i))
+    want = {i: len({p for k in range(len(b) - length + 1) if first[b[k : k + length]] < i for p in range(k, k + length)}) for i, b in bodies.items()}
+    assert got == want and got[1] == got[20] == 0 and got[2] == len(bodies[2])
+    assert len(passage) <= got[21] < len(passage) + 9 and got[22] >= len(passage + own)
+
+
 def test_interval_expansion_against_counting():
     rng = np.random.default_rng(7)
     for _ in range(150):

@@ -72,6 +72,20 @@ def test_suffix_dedup(docs):
     assert got == want
 
 
+def test_later_copies_go_by_doc_id(docs):
+    """Rows of one doc_id count in the order of their MD5, whatever the order of the table's rows."""
+    length = 100
+    got = Counter((r.doc_id, r.n_bytes, r.n_later) for r in suffix_dedup.suffix_dedup(docs.orderBy(F.desc("doc_id")), length, 16).collect())
+    bodies = sorted((i, hashlib.md5(t.encode()).hexdigest() if t is not None else "", (t or "").encode()) for i, t in with_id())
+    seen, want = {}, Counter()
+    for at, (_, _, b) in enumerate(bodies):
+        for k in range(len(b) - length + 1):
+            seen.setdefault(b[k : k + length], at)
+    for at, (i, _, b) in enumerate(bodies):
+        want[i, len(b), len({p for k in range(len(b) - length + 1) if seen[b[k : k + length]] < at for p in range(k, k + length)})] += 1
+    assert got == want
+
+
 def test_decontamination(spark, docs):
     items = spark.createDataFrame([(7, " ".join(PASSAGE.split()[:30])), (8, "short")], "item_id long, text string")
     got = Counter((r.doc_id, r.n_words, r.n_hit, r.n_items, r.contaminated) for r in decontaminate.contamination(docs, items).collect())
