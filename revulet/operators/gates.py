@@ -54,29 +54,35 @@ def metrics(predicted: DataFrame) -> DataFrame:
     agree, examples their number (of a label: those that expect it), languages the number of languages. A label of the
     benchmark that no example has counts nothing: its ratios are 1. Ratios are rounded half up to three digits; f1 is
     taken of unrounded ratios, and is 1 where both are 0.
+
+    The predictions are read once: they are counted by language and label, and all scopes are sums of these counts.
     """
-    spark = predicted.sparkSession
-    names = spark.createDataFrame([(b, x) for b, every in LABELS.items() for x in every], "benchmark string, label string")
-    names = names.join(predicted.select("benchmark").distinct(), "benchmark", "left_semi")
+    every = F.create_map(*(x for b, labels in LABELS.items() for x in (F.lit(b), F.array(*map(F.lit, labels)))))
+    own = F.coalesce(F.try_element_at(every, F.col("benchmark")), F.array().cast("array<string>"))
     count = lambda c: F.count(F.when(c, 1))
-    sides = predicted.select("benchmark", "language", F.explode(F.array_union("predicted", "expected")).alias("label"), "predicted", "expected")
+    # Each example has a row without a label for itself, and one for each label that is said or expected.
+    none = F.lit(None).cast("string")
+    found = F.coalesce(F.array_compact(F.array_union("predicted", "expected")), F.array().cast("array<string>"))
+    sides = predicted.select("benchmark", "language", F.explode(F.concat(F.array(none), found)).alias("label"), "predicted", "expected")
+    itself = F.col("label").isNull()
     said, true = F.array_contains("predicted", F.col("label")), F.array_contains("expected", F.col("label"))
-    cells = sides.groupBy("benchmark", "language", "label").agg(count(said & true).alias("tp"), count(said & ~true).alias("fp"), count(~said & true).alias("fn"))
-    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp", "fp", "fn")]
     same = F.array_sort("predicted") == F.array_sort("expected")
-    totals = predicted.groupingSets([["benchmark", "language"], ["benchmark"]], "benchmark", "language").agg(
-        F.count("*").alias("examples"), F.countDistinct(F.col("language")).alias("languages"), count(same).alias("same"), F.grouping("language").alias("over")
+    cells = sides.groupBy("benchmark", "language", "label").agg(
+        count(itself).alias("examples"), count(itself & same).alias("same"), count(said & true).alias("tp"), count(said & ~true).alias("fp"), count(~said & true).alias("fn")
+    )
+    # The benchmark's own labels join as rows that count nothing.
+    numbers = ("examples", "same", "tp", "fp", "fn")
+    known = F.transform(own, lambda x: F.struct(x.alias("label"), *(F.lit(0).cast("long").alias(n) for n in numbers), F.lit(None).cast("string").alias("seen")))
+    counted = F.array(F.struct("label", *numbers, F.when(itself, F.col("language")).alias("seen")))
+    cells = cells.select("benchmark", "language", F.inline(F.when(itself, F.concat(counted, known)).otherwise(counted)))
+    rows = cells.groupingSets([["benchmark", "language"], ["benchmark"], ["benchmark", "label"]], "benchmark", "language", "label").agg(
+        *(F.sum(n).alias(n) for n in numbers), F.count("seen").alias("languages"), F.grouping("language").alias("_all_languages"), F.grouping("label").alias("_all_labels")
     )
-    by_language = cells.groupBy("benchmark", "language").agg(*sums)
-    overall = cells.groupBy("benchmark").agg(*sums)
-    own = totals.where("over = 0").join(by_language, ["benchmark", "language"], "left")
-    rows = own.select("benchmark", F.lit("language").alias("scope"), "language", F.lit(None).cast("string").alias("label"), "examples", "languages", "same", "tp", "fp", "fn")
-    every = totals.where("over = 1").join(overall, "benchmark", "left")
-    rows = rows.unionByName(every.select("benchmark", F.lit("overall").alias("scope"), F.lit(None).cast("string").alias("language"), F.lit(None).cast("string").alias("label"), "examples", "languages", "same", "tp", "fp", "fn"))
-    labels = names.join(cells.groupBy("benchmark", "label").agg(*sums), ["benchmark", "label"], "left")
-    nothing = F.lit(None).cast("long")
-    rows = rows.unionByName(labels.select("benchmark", F.lit("label").alias("scope"), F.lit(None).cast("string").alias("language"), "label", (F.coalesce("tp", F.lit(0)) + F.coalesce("fn", F.lit(0))).alias("examples"), nothing.alias("languages"), nothing.alias("same"), "tp", "fp", "fn"))
-    tp, fp, fn = (F.coalesce(c, F.lit(0)) for c in ("tp", "fp", "fn"))
+    of_label = F.col("_all_labels") == 0
+    rows = rows.where((F.col("_all_labels") == 1) | F.array_contains(own, F.col("label")))
+    scope = F.when(of_label, "label").when(F.col("_all_languages") == 0, "language").otherwise("overall")
+    rows = rows.select("benchmark", scope.alias("scope"), "language", "label", F.when(of_label, F.col("tp") + F.col("fn")).otherwise(F.col("examples")).alias("examples"), F.when(~of_label, F.col("languages")).alias("languages"), F.when(~of_label, F.col("same")).alias("same"), "tp", "fp", "fn")
+    tp, fp, fn = map(F.col, ("tp", "fp", "fn"))
     precision, recall = _ratio(tp, tp + fp), _ratio(tp, tp + fn)
     values = {
         "examples": F.col("examples").cast("double"),

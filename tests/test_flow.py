@@ -52,6 +52,27 @@ def test_metrics_and_gates(spark):
         gates.policy_gates(spark, {"theme": {"overall": {"": {"speed": 1}}}})
 
 
+def test_metrics_read_each_prediction_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def classifier(said):
+        made.add(1)
+        return said
+
+    rows = [("theme", "en", ["sync"], ["sync"]), ("theme", None, [], ["account"]), ("release-link", "de", ["none"], ["change"]), ("other", "de", ["x"], ["x"])]
+    classified = F.udf(classifier, "array<string>").asNondeterministic()
+    predicted = spark.createDataFrame(rows, PREDICTED).withColumn("predicted", classified("predicted"))
+    policy = {"theme": {"overall": {"": {"examples": 2, "languages": 2}}, "label": {"*": {"precision": 0.5}}}}
+    state = gates.status(gates.check(gates.metrics(predicted), gates.policy_gates(spark, policy))).collect()
+    assert made.value == len(rows)
+    # All labels of the benchmark but account have a precision of 1; no language is none.
+    assert [(r.gates, r.failed) for r in state] == [(2 + len(gates.LABELS["theme"]), 2)]
+    value = {(r.benchmark, r.scope, r.language, r.label, r.metric): r.value for r in gates.metrics(predicted).collect()}
+    assert value["theme", "overall", None, None, "exact"] == 0.5 and value["theme", "language", None, None, "precision"] == 0 and value["theme", "label", None, "account", "examples"] == 0
+    assert value["other", "overall", None, None, "recall"] == 1 and not any(k[:2] == ("other", "label") for k in value)
+    assert {k[3] for k in value if k[:2] == ("release-link", "label")} == set(gates.LABELS["release-link"])
+
+
 APPS = [{"slug": f"app-{i}", "name": f"App {i}", "category": "x", "url": f"https://play.google.com/store/apps/details?id=a{i}"} for i in range(20)]
 
 
