@@ -78,10 +78,13 @@ def keywords(reviews: DataFrame, apps: DataFrame | None = None, limit: int = 20)
     return top(counts, APP, [F.desc("count"), F.asc("_seen")], limit).select(*APP, "term", "count", "rank")
 
 
-def _mentioned(classified: DataFrame, keys: list[str], *columns: str) -> DataFrame:
+def _mentioned(classified: DataFrame, keys: list[str], *columns: str, itself: str | None = None) -> DataFrame:
     """keys, ordinal, theme, only_asked and these columns: a row for each review and theme that it mentions, of rows as
-    narrow as that. Reviews without a theme have none, so there are about as many rows as reviews."""
+    narrow as that. Reviews without a theme have none, so there are about as many rows as reviews. If itself is given,
+    each review has one more row, with that as its theme."""
     found = [F.when(K.has(t), F.struct(F.lit(i).alias("ordinal"), F.lit(t).alias("theme"), K.only_requested(t).alias("only_asked"))) for i, t in enumerate(fixed.THEMES)]
+    if itself is not None:
+        found.append(F.struct(F.lit(-1).alias("ordinal"), F.lit(itself).alias("theme"), F.lit(False).alias("only_asked")))
     return classified.select(*keys, *columns, F.explode(F.array_compact(F.array(*found))).alias("x")).select(*keys, *columns, "x.*")
 
 

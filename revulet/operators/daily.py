@@ -1,14 +1,17 @@
 """Counts by day that are kept up to date: windows of 30 and 60 days for any anchor, and the timeline, without reading all
 reviews again.
 
-A folder holds two tables, both partitioned by day. `detail` has a narrow row for each review and for each theme that it
-mentions; `sums` has a row for each application, theme and day. Adding reviews writes the detail of their days and the
-sums of these days alone. A window takes whole days from the sums and cuts the days at its edges out of the detail, so it
-is exact to the millisecond.
+A folder holds two tables, both partitioned by batch: what was added at once. `detail` has a narrow row for each review
+and for each theme that it mentions, and is partitioned by month, too; `sums` has a row for each batch, application, theme
+and day, which add up. Adding reviews writes the files of its own batch alone. Files are as many as batches and months,
+however few reviews a day has. A window takes whole days from the sums and cuts the days at its edges out of the detail,
+so it is exact to the millisecond.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,9 +28,9 @@ WINDOW = 30 * DAY_MS
 
 def detail(classified: DataFrame) -> DataFrame:
     """DETAIL rows of classified reviews (see classify.with_themes)."""
-    found = A._mentioned(classified, APP, "rating", "created_at").select(*APP, "theme", "created_at", "rating", (A.low() & ~F.col("only_asked")).alias("complaint"))
-    rows = classified.select(*APP, F.lit(ALL).alias("theme"), "created_at", "rating", F.lit(False).alias("complaint")).unionByName(found)
-    return rows.select(*APP, "theme", F.unix_millis("created_at").alias("created_ms"), "rating", "complaint", F.to_date("created_at").alias("day"))
+    rows = A._mentioned(classified, APP, "rating", "created_at", itself=ALL)
+    complaint = (F.col("theme") != ALL) & A.low() & ~F.col("only_asked")
+    return rows.select(*APP, "theme", F.unix_millis("created_at").alias("created_ms"), "rating", complaint.alias("complaint"), F.to_date("created_at").alias("day"))
 
 
 def sums(rows: DataFrame) -> DataFrame:
@@ -36,16 +39,18 @@ def sums(rows: DataFrame) -> DataFrame:
 
 def read(spark: SparkSession, path: str, table: str) -> DataFrame:
     """The table detail or sums of a folder."""
-    return spark.read.schema(DETAIL if table == "detail" else SUMS).parquet(f"{path}/{table}")
+    return spark.read.schema(DETAIL if table == "detail" else SUMS).parquet(f"{path}/{table}").drop("batch", "month")
 
 
 def add(spark: SparkSession, path: str, fresh: DataFrame) -> list:
-    """Adds DETAIL rows to the folder and returns their days; other days' files are left as they are."""
-    fresh.repartition("day").write.mode("append").partitionBy("day").parquet(f"{path}/detail")
-    days = [r.day for r in fresh.select("day").distinct().orderBy("day").collect()]
-    touched = read(spark, path, "detail").where(F.col("day").isin(days)) if days else fresh.limit(0)
-    sums(touched).repartition("day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(f"{path}/sums")
-    return days
+    """Adds DETAIL rows to the folder and returns their days; files that are there are left as they are.
+
+    fresh is evaluated once, for the detail; its sums and days are taken from the files of that."""
+    batch = uuid.uuid4().hex
+    detail_path, sums_path = (f"{path}/{table}/batch={batch}" for table in ("detail", "sums"))
+    fresh.withColumn("month", F.date_format("day", "yyyy-MM")).hint("rebalance", "month").write.partitionBy("month").parquet(detail_path)
+    sums(spark.read.schema(DETAIL).parquet(detail_path)).hint("rebalance").write.parquet(sums_path)
+    return [r.day for r in spark.read.schema(SUMS).parquet(sums_path).select("day").distinct().orderBy("day").collect()]
 
 
 def windows(detail_rows: DataFrame, day_sums: DataFrame, anchors: DataFrame) -> DataFrame:

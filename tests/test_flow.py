@@ -257,3 +257,33 @@ def test_a_changed_reply_changes_the_hashes(spark):
         for r in order
     ]
     assert one.content_hash == hashlib.sha256(json.dumps(records, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+
+
+def test_days_are_written_in_one_pass_and_few_files(spark, tmp_path):
+    from datetime import date, timedelta
+
+    from revulet.operators import daily
+
+    made, path = spark.sparkContext.accumulator(0), str(tmp_path / "days")
+
+    def rated(rating):
+        made.add(1)
+        return rating
+
+    days = [date(2024, 1, 1) + timedelta(days=k) for k in range(90)]
+    ms = lambda day: (day - date(1970, 1, 1)).days * 86_400_000
+    rows = [("s", "a", theme, ms(day) + 5, float(1 + day.day % 5), theme != daily.ALL, day) for day in days for theme in (daily.ALL, "sync")]
+    fresh = spark.createDataFrame(rows, daily.DETAIL).withColumn("rating", F.udf(rated, "double").asNondeterministic()("rating"))
+    assert daily.add(spark, path, fresh) == days
+    assert made.value == len(rows)
+    files = [f for f in (tmp_path / "days").rglob("*.parquet") if f.is_file()]
+    assert len(files) <= 4
+    # The same days come once more: the sums of both parts count, and nothing that was there is written again.
+    assert daily.add(spark, path, fresh.where("day >= '2024-03-01'")) == days[60:]
+    assert all(f.is_file() for f in files) and len(list((tmp_path / "days").rglob("*.parquet"))) <= 6
+    assert daily.read(spark, path, "detail").columns == [c.split()[0] for c in daily.DETAIL.split(", ")]
+    got = {r.period: r["count"] for r in daily.timeline(daily.read(spark, path, "sums")).collect()}
+    assert got == {"2024-01": 31, "2024-02": 29, "2024-03": 60}
+    anchors = spark.createDataFrame([("s", "a", ms(days[-1]) + 4)], "source string, app_id string, anchor long")
+    r = daily.windows(daily.read(spark, path, "detail"), daily.read(spark, path, "sums"), anchors).collect()[0]
+    assert (r.theme, r["count"], r.recent_count, r.previous_count) == ("sync", 60 + 29 * 2, 1 + 29 * 2, 30)
