@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fixed
-from .prefilter import dotted, folded, matching
+from .prefilter import dotted, folded, matching, run_of
 from .text import APART, CJK, ENDINGS, LETTERS, collapse, strings, wide, word_pattern
 
 SOFTWARE_THEMES = ("stability", "performance", "account", "sync", "notifications")
@@ -37,7 +37,7 @@ def _forms() -> dict[str, list[str]]:
         for ending in ("", *ENDINGS) if len(word) >= 4 else ("",):
             out.setdefault(word + ending, []).append(word)
     for phrase in PHRASES:
-        out.setdefault(max(re.findall(f"[{LETTERS}]+", phrase), key=len), []).append(phrase)
+        out.setdefault(run_of(phrase), []).append(phrase)
     return out
 
 
@@ -59,16 +59,17 @@ def matched_words(text: Column) -> Column:
 
 def rule_hits(rules) -> Column:
     """The ids of the rules whose patterns a row matches, in order; for rows with_plain()."""
-    return matching(rules, F.col("_plain"), F.col("_folded"), F.col("_wide"), F.col("_dotted"))
+    return matching(rules, F.col("_plain"), F.col("_folded"), F.col("_wide"), F.col("_cjk"), F.col("_dotted"))
 
 
-PLAIN = ("_plain", "_text", "_folded", "_wide", "_dotted")
+PLAIN = ("_plain", "_text", "_folded", "_wide", "_cjk", "_dotted")
 
 
 def with_plain(rows: DataFrame) -> DataFrame:
     """rows with what the rules look at."""
-    text = F.col("_plain")
-    return rows.withColumn("_plain", haystack()).withColumns({"_text": F.lower(text), "_folded": folded(text), "_wide": wide(text), "_dotted": dotted(text)})
+    text, lower = F.col("_plain"), F.col("_text")
+    rows = rows.withColumn("_plain", haystack()).withColumns({"_text": F.lower(text), "_wide": wide(text), "_dotted": dotted(text)})
+    return rows.withColumns({"_folded": F.when(F.col("_wide"), folded(text)).otherwise(lower), "_cjk": F.col("_wide") & text.rlike(f"[{CJK}]")})
 
 
 def hit(theme: str) -> Column:

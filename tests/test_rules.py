@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from revulet.functions import classify as K
 from revulet.functions import fixed
 from revulet.functions.numeric import half_up, trend
-from revulet.functions.prefilter import needed
+from revulet.functions.prefilter import needed, opened, run_of, shared_stems
 from revulet.functions.text import BOUNDARY, CJK, clean_text, contains_word, portable, stem
 from revulet.operators.reviews import clean, deduplicate, has_words, normalize
 
@@ -49,6 +49,21 @@ def test_rules_by_needed_words(spark):
     assert wrong == []
 
 
+def test_rules_in_long_texts(spark):
+    """Strings are looked for by runs of letters and their shared parts; within words, in long texts and after odd letters, too."""
+    rules = [r for n in ("SOFTWARE", "COMMUNITY", "SUPPORT", "POLICY", "EXPLICIT", "CHANGE") for r in getattr(fixed, f"{n}_RULES")]
+    prose = ["lorem ipsum dolor, sit amet. " * 40, "Ärger über Ödnis und naïve façades; " * 40, "\u017Feit \u0130stanbul \u212Aein " * 40]
+    said = ["It crashes", "xcrash crashx", "since the", "update", "can't log in any-more, no  longer works", "l\u00e4sst sich nicht \u00f6ffnen", "v\u00e9rification de l\u2019\u00e2ge", "4.8.1 nach 4.8.1", "更新后闪退", "プライバシーポリシー", "PAY TO win", "ne marche plus"]
+    texts = [a + b + c for a in prose for b in said for c in ("", " " + a)]
+    rows = K.with_plain(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, body string").withColumn("title", F.lit("")))
+    bare = F.array_compact(F.array(*(F.when(F.col("_plain").rlike(portable(p)), F.lit(i)) for i, p in rules)))
+    found = rows.select("body", K.rule_hits(rules).alias("got"), bare.alias("want")).collect()
+    assert [r for r in found if r.got != r.want] == [] and sum(len(r.got) > 0 for r in found) > 40
+    assert (run_of("since the update"), run_of(" update"), run_of("apr\u00e8s "), run_of("4.2")) == ("update", "update", "apr\u00e8s", "")
+    assert shared_stems(["no longer works", "longer", "a crash", "4.2", "pay"]) == {"longer": ["no longer works", "longer"], "crash": ["a crash"], "": ["4.2"], "pay": ["pay"]}
+    assert opened(r"\b(?:ab|[cé]d?)x").startswith(r"(?=[ACac\x{80}-\x{10FFFF}])(?iu)") and opened(r"\d+a") == portable(r"\d+a") and opened(r"(?:a)?\s*b") == portable(r"(?:a)?\s*b")
+
+
 def test_needed():
     assert set(needed(r"\b(?:since|after)\s+(?:the\s+)?update\b")) == {"since the update", "since update", "after the update", "after update"}
     assert needed(r"\bused\s+to\b") == ("used to",) and needed(r"[a-z]+") is None and needed(r"(?:ab|[a-z])c?") is None
