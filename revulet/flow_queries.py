@@ -16,6 +16,8 @@ from .storage import new_path
 from .streaming import newest
 
 BENCHMARKS = ("theme", "release-link", "actionability")
+#: The lines hold every text three times, which takes more disk than the limit as it is.
+PACKED = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED"}
 
 
 def labelled_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -39,7 +41,7 @@ def labelled_lines(spark: SparkSession, d: str) -> DataFrame:
 def labelled_sets(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     """The lines of each benchmark, written to the shared folder and read as labelled sets."""
     path = new_path(spark, "labelled")
-    labelled_lines(spark, d).write.partitionBy("benchmark").text(path)
+    labelled_lines(spark, d).write.partitionBy("benchmark").options(**PACKED).text(path)
     return {b: labelled.read_labelled(spark, f"{path}/benchmark={b}") for b in BENCHMARKS}
 
 

@@ -1,6 +1,7 @@
 """Labelled sets and gates, manifests and cohort runs with failing cases, and what may leave of their results."""
 
 import json
+import os
 from datetime import datetime, timezone
 
 import pytest
@@ -27,6 +28,14 @@ def test_labelled_lines(spark, tmp_path):
     assert labelled.read_labelled(spark, str(tmp_path)).where("language = 'unknown'").count() >= 3
 
 
+def test_labelled_sets_are_packed(spark, small):
+    rows = flow.labelled_sets(spark, small)["theme"]
+    files = rows.inputFiles()
+    packed = sum(os.path.getsize(f.removeprefix("file://")) for f in files)
+    plain = rows.where("problem is null").selectExpr("sum(octet_length(text))").collect()[0][0]
+    assert files and all(f.endswith(".gz") for f in files) and packed * 2 < plain
+
+
 PREDICTED = "benchmark string, language string, expected array<string>, predicted array<string>"
 
 
